@@ -85,16 +85,19 @@ def text_findings(
         "uri_password": F.when(body.contains("://"), _matches(body, URI_PASSWORD))
         .otherwise(none),
     }
-    tagged = [
-        F.transform(found, lambda v, i, c=cls: F.struct(
-            F.lit(c).alias("class"), i.alias("pos"), v.alias("value")))
-        for cls, found in by_class.items()
-    ]
+    tagged = [_tagged(cls, found) for cls, found in by_class.items()]
     return df.select(F.col(key), F.explode(F.concat(*tagged)).alias("f")).select(
         key, "f.class", "f.pos", "f.value"
     )
 
 
+def _tagged(cls: str, found: Column) -> Column:
+    return F.transform(
+        found,
+        lambda v, i: F.struct(F.lit(cls).alias("class"), i.alias("pos"), v.alias("value")),
+    )
+
+
 def redact_text(text: Column, keys: Sequence[str] = CREDENTIAL_KEYS) -> Column:
     """The text with every finding replaced by its masked form."""
     out = scrub_secrets(text, keys)

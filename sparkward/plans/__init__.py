@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("access",)
+MODULES = ("access", "masked", "results")
 
 
 def load_all():
