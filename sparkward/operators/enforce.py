@@ -400,6 +400,25 @@ def reset_epochs(
     ).drop("_r")
 
 
+def state_rows(
+    violations: DataFrame, keys: Sequence[str], limits: Limits = DEFAULTS
+) -> DataFrame:
+    """What each violation writes to the state table: count, quarantine in force, time."""
+    counted = violation_window(violations, keys, limits)
+    trips = F.when(F.col("n_violations") >= limits.max_violations, F.col("us"))
+    latest = running(
+        counted.withColumn("_trip", trips), keys, "us", limits.stretch_us,
+        {"_last": Running("_trip", "max")},
+    )
+    until = F.col("_last") + limits.quarantine_us
+    return latest.select(
+        *keys,
+        F.col("n_violations").alias("violations"),
+        F.when(until > F.col("us"), until).alias("quarantine_until"),
+        F.col("us").alias("last_seen"),
+    )
+
+
 def state_upsert(stored: DataFrame, updates: DataFrame, key: str = "session_id") -> DataFrame:
     """The state table after the updates: per session the row seen last wins."""
     rest = [c for c in stored.columns if c not in (key, "last_seen")]

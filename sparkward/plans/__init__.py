@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("access", "masked", "results")
+MODULES = ("access", "masked", "results", "changes", "relational", "scalar", "auditing", "enforcing")
 
 
 def load_all():

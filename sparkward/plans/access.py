@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import partial, reduce
+from functools import lru_cache, partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +19,7 @@ from sparkward.sources import audit_log as A
 from sparkward.streaming.streams import run_to_table, split_alerts
 
 
+@lru_cache(maxsize=16)
 def role_session(spark: SparkSession, root: str, role: str = "reader") -> GovernedSession:
     """The session of a shipped role over the given tables, customers masked."""
     loaders = {t: partial(I.table, root=root, name=t) for t in I.TABLES}
