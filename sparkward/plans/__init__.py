@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("access", "masked", "results", "changes", "relational", "scalar", "auditing", "enforcing")
+MODULES = (
+    "access", "masked", "results", "changes", "relational", "scalar", "auditing", "enforcing", "live",
+)
 
 
 def load_all():
