@@ -52,7 +52,7 @@ def _entries(spark, root) -> DataFrame:
     SELECT CASE WHEN event_id % 97 = 0 THEN 'BAD LINE' ELSE type END AS type, count(*) AS n,
            CAST(coalesce(sum(CASE WHEN event_id % 97 <> 0 THEN row_count END), 0) AS BIGINT) AS n_rows,
            count(CASE WHEN event_id % 97 <> 0 THEN stage END) AS n_staged,
-           CAST(coalesce(sum(CASE WHEN event_id % 97 <> 0 THEN us END), 0) AS BIGINT) AS us_sum
+           max(CASE WHEN event_id % 97 <> 0 THEN us ELSE 0 END) AS last_us
     FROM audit GROUP BY 1"""))
 def audit_read(spark, root):
     entries = _entries(spark, root)
@@ -65,7 +65,7 @@ def audit_read(spark, root):
     at_us = F.unix_micros(A.event_time(F.col("ts")))
     return log.groupBy(F.coalesce("type", F.lit("BAD LINE")).alias("type")).agg(
         F.count("*").alias("n"), F.coalesce(F.sum("row_count"), F.lit(0)).alias("n_rows"),
-        F.count("stage").alias("n_staged"), F.coalesce(F.sum(at_us), F.lit(0)).alias("us_sum"),
+        F.count("stage").alias("n_staged"), F.coalesce(F.max(at_us), F.lit(0)).alias("last_us"),
     )
 
 
