@@ -45,9 +45,15 @@ def key_value_pattern(keys: Sequence[str] = CREDENTIAL_KEYS) -> str:
 
 def scrub_secrets(text: Column, keys: Sequence[str] = CREDENTIAL_KEYS) -> Column:
     """URI passwords, then `key = value` pairs, then SQL `PASSWORD '...'` literals."""
-    out = F.regexp_replace(text, URI_PASSWORD, "$1***$3")
-    out = F.regexp_replace(out, key_value_pattern(keys), "$1=***")
-    return F.regexp_replace(out, SQL_PASSWORD, "PASSWORD '***'")
+    out = F.when(
+        text.contains("://"), F.regexp_replace(text, URI_PASSWORD, "$1***$3")
+    ).otherwise(text)
+    out = F.when(
+        out.contains("="), F.regexp_replace(out, key_value_pattern(keys), "$1=***")
+    ).otherwise(out)
+    return F.when(
+        out.contains("'"), F.regexp_replace(out, SQL_PASSWORD, "PASSWORD '***'")
+    ).otherwise(out)
 
 
 def scrub_events(df: DataFrame, out: str = "line") -> DataFrame:
@@ -79,7 +85,7 @@ def text_findings(
     none = F.array().cast("array<string>")
     by_class = {
         "email": F.when(body.contains("@"), _matches(body, EMAIL_IN_TEXT)).otherwise(none),
-        "phone": _matches(body, PHONE_IN_TEXT),
+        "phone": F.when(body.rlike(r"\p{Nd}{4}"), _matches(body, PHONE_IN_TEXT)).otherwise(none),
         "credential": F.when(body.contains("="), _matches(body, key_value_pattern(keys)))
         .otherwise(none),
         "uri_password": F.when(body.contains("://"), _matches(body, URI_PASSWORD))
@@ -105,4 +111,6 @@ def redact_text(text: Column, keys: Sequence[str] = CREDENTIAL_KEYS) -> Column:
     # leaves only the stars.
     masked = F.regexp_replace(out, EMAIL_PARTS_IN_TEXT, "$1***$2@$3")
     out = F.when(out.contains("@"), masked).otherwise(out)
-    return F.regexp_replace(out, PHONE_IN_TEXT, "***-***-$1")
+    return F.when(
+        out.rlike(r"\p{Nd}{4}"), F.regexp_replace(out, PHONE_IN_TEXT, "***-***-$1")
+    ).otherwise(out)

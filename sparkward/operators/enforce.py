@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkward.operators.running import HOUR_US, Running, Sliding, flag, running, sliding
+from sparkward.operators.running import (
+    HOUR_US, STRETCH, Running, Sliding, flag, running, sliding,
+)
 from sparkward.session import written
 
 SECOND_US = 1_000_000
@@ -63,13 +65,16 @@ def log_violation() -> Column:
 
 
 def violation_window(
-    violations: DataFrame, keys: Sequence[str], limits: Limits = DEFAULTS
+    violations: DataFrame,
+    keys: Sequence[str],
+    limits: Limits = DEFAULTS,
+    keep_stretch: bool = False,
 ) -> DataFrame:
     """Adds `n_violations`: violations in the trailing window, this one included."""
     counted = violations.withColumn("_one", F.lit(1).cast("bigint"))
     out = sliding(
         counted, keys, "us", {"n_violations": Sliding("_one", limits.violation_us)},
-        limits.stretch_us,
+        limits.stretch_us, keep_stretch,
     )
     return out.drop("_one")
 
@@ -127,7 +132,7 @@ def with_trips(
     flagged = events.withColumn("_v", flag(is_violation))
     counted = sliding(
         flagged, keys, "us", {"n_violations": Sliding("_v", limits.violation_us)},
-        limits.stretch_us,
+        limits.stretch_us, keep_stretch=True,
     )
     trips = (F.col("_v") == 1) & (F.col("n_violations") >= limits.max_violations)
     return counted.withColumn("trip_us", F.when(trips, F.col("us"))).drop("_v")
@@ -193,7 +198,7 @@ def write_gate(
             "_n_queries": Sliding("_q", limits.rate_us, before=True),
             "_spent": Sliding(spent_us, limits.compute_us, before=True),
         },
-        limits.stretch_us,
+        limits.stretch_us, keep_stretch=True,
     )
     trips = (F.col("_v") == 1) & (F.col("_n_violations") >= limits.max_violations)
     latest = running(
@@ -230,21 +235,22 @@ def rate_admission(
     """
     span = max(limits.stretch_us, limits.rate_us)
     columns = events.columns
-    counted = rate_window(events, [key], limits).withColumn(
-        "_slot", F.floor(F.col("us") / F.lit(span)).cast("bigint")
+    counted = sliding(
+        events.withColumn("_one", F.lit(1).cast("bigint")), [key], "us",
+        {"n_queries": Sliding("_one", limits.rate_us)}, span, keep_stretch=True,
     )
     placed = counted.join(
-        _contested_runs(counted, key, limits, rows_per_task), [key, "_slot"], "left"
+        _contested_runs(counted, key, span, limits, rows_per_task), [key, STRETCH], "left"
     )
     calm = placed.filter(F.col("_run").isNull()).select(*columns, F.lit(True).alias("admitted"))
     leads = F.col("_run").isNull() & (
-        F.col("us") > (F.col("_slot") + 1) * span - limits.rate_us
+        F.col("us") > F.col(STRETCH) + span - limits.rate_us
     )
     contested = placed.select(
         *columns,
         F.coalesce("_run", F.when(leads, F.col("_lead_run"))).alias("_run"),
         F.col("_run").isNotNull().alias("_judged"),
-        ((F.col("_last_slot") + 1) * span).alias("_wave_end"),
+        (F.col("_last") + span).alias("_wave_end"),
         F.coalesce("_wave", F.lit(0).cast("bigint")).alias("_wave"),
     ).filter(F.col("_run").isNotNull())
     stored = written(contested, "contested", by="_wave")
@@ -265,35 +271,31 @@ def rate_admission(
 
 
 def _contested_runs(
-    counted: DataFrame, key: str, limits: Limits, rows_per_task: int
+    counted: DataFrame, key: str, span: int, limits: Limits, rows_per_task: int
 ) -> DataFrame:
     """Per session and stretch: the run it belongs to, or the run it leads into."""
-    slots = (
-        counted.groupBy(key, "_slot")
-        .agg(F.max("n_queries").alias("_peak"), F.count("*").alias("_n"))
-        .withColumn("_hot", F.col("_peak") > limits.max_queries)
+    in_order = Window.partitionBy(key).orderBy(STRETCH)
+    follows = (F.lag(STRETCH).over(in_order) == F.col(STRETCH) - span) & F.lag("_hot").over(in_order)
+    precedes = (F.lead(STRETCH).over(in_order) == F.col(STRETCH) + span) & F.lead("_hot").over(in_order)
+    stretches = counted.groupBy(key, STRETCH).agg(
+        (F.max("n_queries") > limits.max_queries).alias("_hot"), F.count("*").alias("_n")
+    ).withColumns(
+        {"_starts": F.col("_hot") & ~F.coalesce(follows, F.lit(False)),
+         "_leads": ~F.col("_hot") & precedes}
     )
-    in_order = Window.partitionBy(key).orderBy("_slot")
-    follows = (F.lag("_slot").over(in_order) == F.col("_slot") - 1) & F.lag("_hot").over(in_order)
-    starts = F.col("_hot") & ~F.coalesce(follows, F.lit(False))
-    leads = (
-        ~F.col("_hot")
-        & (F.lead("_slot").over(in_order) == F.col("_slot") + 1)
-        & F.lead("_hot").over(in_order)
+    start = F.when(F.col("_starts"), F.col(STRETCH))
+    runs = stretches.withColumns(
+        {"_run": F.when(F.col("_hot"), F.last(start, ignorenulls=True).over(in_order)),
+         "_lead_run": F.when(F.col("_leads"), F.col(STRETCH) + span)}
     )
-    first = F.last(F.when(F.col("_starts"), F.col("_slot")), ignorenulls=True).over(in_order)
-    runs = slots.withColumns({"_starts": starts, "_leads": leads}).withColumns(
-        {"_run": F.when(F.col("_hot"), first),
-         "_lead_run": F.when(F.col("_leads"), F.col("_slot") + 1)}
-    )
-    in_run = Window.partitionBy(key, "_run").orderBy("_slot")
+    in_run = Window.partitionBy(key, "_run").orderBy(STRETCH)
     done = F.sum("_n").over(in_run) - F.col("_n")
     waves = runs.withColumn(
         "_wave", F.when(F.col("_hot"), F.floor(done / F.lit(rows_per_task)).cast("bigint"))
     )
     in_wave = Window.partitionBy(key, "_run", "_wave")
-    return waves.withColumn("_last_slot", F.max("_slot").over(in_wave)).select(
-        key, "_slot", "_run", "_lead_run", "_wave", "_last_slot"
+    return waves.withColumn("_last", F.max(STRETCH).over(in_wave)).select(
+        key, STRETCH, "_run", "_lead_run", "_wave", "_last"
     )
 
 
@@ -404,7 +406,7 @@ def state_rows(
     violations: DataFrame, keys: Sequence[str], limits: Limits = DEFAULTS
 ) -> DataFrame:
     """What each violation writes to the state table: count, quarantine in force, time."""
-    counted = violation_window(violations, keys, limits)
+    counted = violation_window(violations, keys, limits, keep_stretch=True)
     trips = F.when(F.col("n_violations") >= limits.max_violations, F.col("us"))
     latest = running(
         counted.withColumn("_trip", trips), keys, "us", limits.stretch_us,

@@ -139,8 +139,8 @@ def mutation_lifecycle(
     )
 
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    """Versions whose write was committed."""
+def versions(spark: SparkSession, root: str, committed: bool = True) -> list[int]:
+    """Versions under `root`, in order; with `committed`, those whose write finished."""
     path = spark._jvm.org.apache.hadoop.fs.Path
     folder = path(root)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -149,26 +149,28 @@ def _versions(spark: SparkSession, root: str) -> list[int]:
     names = [s.getPath().getName() for s in fs.listStatus(folder)]
     return sorted(
         int(n[1:]) for n in names
-        if n.startswith("v") and n[1:].isdigit() and fs.exists(path(f"{root}/{n}/_SUCCESS"))
+        if n.startswith("v") and n[1:].isdigit()
+        and (not committed or fs.exists(path(f"{root}/{n}/_SUCCESS")))
     )
 
 
 def read_version(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
     """The table at a version; the newest committed one by default."""
-    known = _versions(spark, root)
+    known = versions(spark, root)
     if not known:
         raise FileNotFoundError(f"no committed version under {root}")
     return spark.read.parquet(f"{root}/v{known[-1] if version is None else version}")
 
 
-def write_version(df: DataFrame, root: str, version: int | None = None) -> int:
+def write_version(df: DataFrame, root: str) -> int:
     """Commit the next version beside the others.
 
-    The version being read is never overwritten, readers move on when the commit
-    marker appears, and of two writers of one version the second fails.
+    The version being read is never overwritten and readers move on when the commit
+    marker appears. Of two writers of one version the second fails; what a writer
+    that died left behind is stepped over.
     """
-    known = _versions(df.sparkSession, root)
-    number = (known[-1] + 1 if known else 1) if version is None else version
+    tried = versions(df.sparkSession, root, committed=False)
+    number = tried[-1] + 1 if tried else 1
     df.write.mode("errorifexists").parquet(f"{root}/v{number}")
     return number
 

@@ -109,15 +109,21 @@ def denied_tables(
     request: str = "request_id",
     tables: str = "tables_accessed",
 ) -> DataFrame:
-    """Requests that touch tables their role was not granted, with those tables."""
-    touched = requests.select(
-        request, "role", F.explode(F.array_distinct(F.transform(tables, F.lower))).alias("table_name")
+    """Requests that touch tables their role was not granted, with those tables.
+
+    One join per request, on the role: a role's grants, at most the catalog's
+    tables, travel as one row, so requests are neither exploded nor regrouped.
+    """
+    held = (
+        grants.filter(F.col("privilege") == privilege)
+        .groupBy("role").agg(F.collect_set("table_name").alias("_held"))
     )
-    allowed = grants.filter(F.col("privilege") == privilege).select("role", "table_name").distinct()
-    denied = touched.join(allowed, ["role", "table_name"], "left_anti")
-    return denied.groupBy(request, "role").agg(
-        F.array_sort(F.collect_set("table_name")).alias("denied")
+    touched = F.array_distinct(F.transform(tables, F.lower))
+    left_out = F.array_except(touched, F.coalesce("_held", F.array().cast("array<string>")))
+    denied = requests.join(held, "role", "left").select(
+        request, "role", F.array_sort(left_out).alias("denied")
     )
+    return denied.filter(F.size("denied") > 0)
 
 
 def capability_gate(requests: DataFrame, policy: DataFrame, kind: str = "kind") -> DataFrame:

@@ -17,7 +17,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_STRETCH = "_stretch"
+# The stretch a row belongs to, named by where it starts. Results that keep this
+# column stay partitioned by key and stretch, so a further pass needs no shuffle.
+STRETCH = "_stretch"
 _STEP = "_step"
 HOUR_US = 3_600_000_000
 DAY_US = 24 * HOUR_US
@@ -37,32 +39,36 @@ class Running:
     ahead: bool = False
 
 
+def stretch_of(moment: Column, width: int) -> Column:
+    return moment - F.pmod(moment, F.lit(width))
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
-    stretch: int,
+    width: int,
     aggregates: Mapping[str, Running],
 ) -> DataFrame:
     """Add running aggregates over an integer `order` column, per `keys`.
 
-    `stretch` is the width, in units of `order`, of what one task takes at a time.
-    The carried totals have one row per key and stretch in use.
+    `width` is how much of the order column one task takes at a time; rows that
+    already carry `STRETCH` keep the stretch they have. The carried totals have one
+    row per key and stretch in use.
     """
-    cut = F.floor(F.col(order) / F.lit(stretch)).cast("bigint")
-    rows = df.withColumn(_STRETCH, cut)
-    totals = rows.groupBy(*keys, _STRETCH).agg(
+    rows = df if STRETCH in df.columns else df.withColumn(STRETCH, stretch_of(F.col(order), width))
+    totals = rows.groupBy(*keys, STRETCH).agg(
         *[_fold(a.how)(a.column).alias(f"_t_{name}") for name, a in aggregates.items()]
     )
     carry = totals.select(
         *keys,
-        _STRETCH,
+        STRETCH,
         *[
             _fold(a.how)(f"_t_{name}").over(_others(keys, a.ahead)).alias(f"_c_{name}")
             for name, a in aggregates.items()
         ],
     )
-    joined = rows.join(carry, [*keys, _STRETCH], "left")
+    joined = rows.join(carry, [*keys, STRETCH], "left")
     added = []
     for name, a in aggregates.items():
         own = _fold(a.how)(a.column).over(_within(keys, order, a))
@@ -81,14 +87,14 @@ def _fold(how: str):
 
 
 def _others(keys: Sequence[str], ahead: bool):
-    by = F.col(_STRETCH).desc() if ahead else F.col(_STRETCH)
+    by = F.col(STRETCH).desc() if ahead else F.col(STRETCH)
     return Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def _within(keys: Sequence[str], order: str, a: Running):
     by = F.col(order).desc() if a.ahead else F.col(order)
     last = -1 if a.before else 0
-    frame = Window.partitionBy(*keys, _STRETCH).orderBy(by)
+    frame = Window.partitionBy(*keys, STRETCH).orderBy(by)
     return frame.rangeBetween(Window.unboundedPreceding, last)
 
 
@@ -111,6 +117,7 @@ def sliding(
     us: str,
     totals: Mapping[str, Sliding],
     stretch_us: int = HOUR_US,
+    keep_stretch: bool = False,
 ) -> DataFrame:
     """Add sliding sums to every row; all of them in one shuffle of the rows.
 
@@ -122,11 +129,12 @@ def sliding(
     moments = F.explode(F.array(F.lit(0), *[F.lit(w) for w in widths])).alias("_width")
     payload = [c for c in df.columns if c not in keys]
     arrives = F.col("_width") == 0
+    at = (F.col(us) + F.col("_width")).cast("bigint")
     spread = df.select("*", moments).select(
         *keys,
         *[F.when(arrives, F.col(f"`{c}`")).alias(c) for c in payload],
-        F.when(arrives, F.col(us) * 2 + 1).otherwise((F.col(us) + F.col("_width")) * 2)
-        .cast("bigint").alias(_STEP),
+        stretch_of(at, stretch_us).alias(STRETCH),
+        (at * 2 + F.when(arrives, 1).otherwise(0)).alias(_STEP),
         *[
             F.when(arrives, F.col(s.column))
             .when(F.col("_width") == s.width_us, -F.col(s.column))
@@ -138,8 +146,8 @@ def sliding(
     wanted = {
         name: Running(f"_m_{name}", "sum", before=s.before) for name, s in totals.items()
     }
-    out = running(spread, keys, _STEP, 2 * stretch_us, wanted)
-    return out.filter("_arrives").select(*df.columns, *totals)
+    out = running(spread, keys, _STEP, 2 * stretch_us, wanted).filter("_arrives")
+    return out.select(*df.columns, *([STRETCH] if keep_stretch else []), *totals)
 
 
 def flag(condition: Column) -> Column:

@@ -66,7 +66,8 @@ def good_events(log: DataFrame) -> DataFrame:
 
 
 def bad_lines(log: DataFrame) -> DataFrame:
-    return log.filter(F.col(CORRUPT).isNotNull()).select(CORRUPT)
+    """The lines kept aside. (Spark reads them only along with another column.)"""
+    return log.filter(F.col(CORRUPT).isNotNull() & F.col("type").isNull()).select(CORRUPT)
 
 
 def append_audit(events: DataFrame, path: str) -> None:

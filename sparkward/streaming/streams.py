@@ -11,12 +11,12 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sparkward.operators.enforce import DEFAULTS, Limits, state_upsert
-from sparkward.operators.mutate import PROPOSAL_TTL_S, read_version, write_version
+from sparkward.operators.mutate import PROPOSAL_TTL_S, read_version, versions
 from sparkward.session import scratch_path
 from sparkward.sources.audit_log import alert_events
 
@@ -81,19 +81,14 @@ def _judge(
             until = us + limits.quarantine_us
         rows.append((key[0], us, len(recent), tripped, until))
     waiting = waiting[n_ready:]
-    if waiting:
+    # Come back when the next one is due, or when nothing that is kept counts any more.
+    due = waiting[0] if waiting else max([until, *(t + limits.violation_us for t in recent)])
+    due_ms = due // 1000 + 1
+    if waiting or due_ms > state.getCurrentWatermarkMs():
         state.update((waiting, recent, until))
-        state.setTimeoutTimestamp(max(waiting[0] // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-    else:
-        # Nothing to judge: what is kept matters only until it is too old to count.
-        state.update((waiting, recent, until))
-        keep_until = max([until, *(t + limits.violation_us for t in recent)]) // 1000 + 1
-        if keep_until > state.getCurrentWatermarkMs() and not state.hasTimedOut:
-            state.setTimeoutTimestamp(keep_until)
-        elif keep_until > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(keep_until)
-        else:
-            state.remove()
+        state.setTimeoutTimestamp(max(due_ms, state.getCurrentWatermarkMs() + 1))
+    elif state.exists:
+        state.remove()
     yield pd.DataFrame(
         rows, columns=["session_id", "us", "n_violations", "tripped", "quarantine_until_us"]
     )
@@ -188,14 +183,12 @@ def upsert_stream(updates: DataFrame, root: str, checkpoint: str, key: str = "se
     changes nothing.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark: SparkSession = batch.sparkSession
+        spark, version = batch.sparkSession, batch_id + 1
+        if version in versions(spark, root):
+            return
         stored = batch.limit(0) if batch_id == 0 else read_version(spark, root, batch_id)
-        merged = state_upsert(stored, batch, key)
-        try:
-            write_version(merged, root, batch_id + 1)
-        except Exception:
-            if batch_id + 1 not in _committed(spark, root):
-                raise
+        # The checkpoint lets one writer in; what it left unfinished is replaced.
+        state_upsert(stored, batch, key).write.mode("overwrite").parquet(f"{root}/v{version}")
 
     return (
         updates.writeStream.foreachBatch(merge)
@@ -204,8 +197,3 @@ def upsert_stream(updates: DataFrame, root: str, checkpoint: str, key: str = "se
         .start()
     )
 
-
-def _committed(spark: SparkSession, root: str) -> list[int]:
-    from sparkward.operators.mutate import _versions
-
-    return _versions(spark, root)
