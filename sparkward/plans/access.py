@@ -13,7 +13,9 @@ from sparkward.operators.discover import table_rows
 from sparkward.plans import check_sql as C
 from sparkward.plans import inputs as I
 from sparkward.plans.registry import query
-from sparkward.plans.views import GovernedSession, governed_query, governed_session, readable_tables
+from sparkward.plans.views import (
+    GovernedSession, governed_query, governed_result, governed_session, readable_tables,
+)
 from sparkward.session import scratch_path
 from sparkward.sources import audit_log as A
 from sparkward.streaming.streams import run_to_table, split_alerts
@@ -301,3 +303,20 @@ REVENUE_SQL = I.with_sql("customer_pii", "").rstrip() + f""", view AS ({C.CUSTOM
 @query("governed_query", REVENUE_SQL)
 def governed_read(spark, root):
     return governed_query(role_session(spark, root), REVENUE_TEXT)
+
+
+_CONTACT_TEXT = """SELECT c_custkey, c_name, email, phone FROM customer
+    WHERE c_custkey IN (SELECT o_custkey FROM orders) ORDER BY c_custkey DESC"""
+
+
+@query("governed_result", I.with_sql("customer_pii", "").rstrip() + f""", view AS ({C.CUSTOMER_VIEW}),
+    top AS (SELECT c_custkey, c_name, {C.mask('email', 'email')} AS email, {C.mask('phone', 'phone')} AS phone
+            FROM view WHERE c_custkey IN (SELECT o_custkey FROM orders) ORDER BY c_custkey DESC LIMIT 100),
+    sized AS (SELECT CAST(sum(octet_length(encode(to_json({{c_custkey: c_custkey, c_name: c_name, email: email,
+              phone: phone}})))) OVER (ORDER BY c_custkey DESC) AS BIGINT) AS upto FROM top)
+    SELECT count(*) AS row_count, max(upto) AS payload_bytes, true AS truncated,
+           'Result truncated: Exceeded maximum payload size (6 KB).' AS truncation_reason, 'customer,orders' AS tables
+    FROM sized WHERE upto <= 6144""")
+def governed_measures(spark, root):
+    result = governed_result(role_session(spark, root), _CONTACT_TEXT, max_bytes=6 * 1024)
+    return result.metrics.withColumn("tables", F.lit(",".join(result.tables)))

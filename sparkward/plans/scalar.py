@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkward.functions import compat as X
+from sparkward.operators.ranking import neighbours, ranks
 from sparkward.plans import inputs as I
 from sparkward.plans.registry import query
 from sparkward.plans.relational import reader_query
@@ -205,6 +206,35 @@ reader_query("fn_offset", f"""
                ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), -1) AS second FROM lineitem""")
 
 
+# The same functions over five keys that each hold a fifth of the rows.
+_BY_TYPE = "PARTITION BY event_type ORDER BY us"
+
+
+@query("fn_rank_skewed", I.with_sql("ev", f"""
+    SELECT event_id, event_type, row_number() OVER ({_BY_TYPE}, event_id) AS row_number,
+           rank() OVER ({_BY_TYPE}) AS rank, dense_rank() OVER ({_BY_TYPE}) AS dense_rank,
+           percent_rank() OVER ({_BY_TYPE}) AS percent_rank, cume_dist() OVER ({_BY_TYPE}) AS cume_dist,
+           ntile(4) OVER ({_BY_TYPE}, event_id) AS ntile
+    FROM (SELECT * REPLACE (us // 60000000 AS us) FROM ev)"""))
+def fn_rank_skewed(spark, root):
+    events = I.events(spark, root).select("event_id", "event_type", F.expr("us div 60000000").alias("us"))
+    return ranks(events, ["event_type"], "us", ["event_id"], width=24 * 60).drop("us")
+
+
+@query("fn_offset_skewed", I.with_sql("ev", f"""
+    SELECT event_id, event_type, coalesce(lag(event_id) OVER ({_BY_TYPE}, event_id), -1) AS lag,
+           coalesce(lead(event_id) OVER ({_BY_TYPE}, event_id), -1) AS lead,
+           first_value(event_id) OVER ({_BY_TYPE}, event_id) AS first_value,
+           last_value(event_id) OVER ({_BY_TYPE}, event_id
+               ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_value
+    FROM (SELECT * REPLACE (us // 60000000 AS us) FROM ev)"""))
+def fn_offset_skewed(spark, root):
+    events = I.events(spark, root).select("event_id", "event_type", F.expr("us div 60000000").alias("us"))
+    near = neighbours(events, ["event_type"], "us", ["event_id"], "event_id", width=24 * 60)
+    absent = F.lit(-1)
+    return near.drop("us").withColumns({"lag": F.coalesce("lag", absent), "lead": F.coalesce("lead", absent)})
+
+
 @query("fn_typeof", """
     SELECT 'bigint' AS key_type, 'double' AS price_type, 'string' AS status_type, count(*) AS n FROM orders""")
 def fn_typeof(spark, root):

@@ -7,11 +7,11 @@ from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException, ParseException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkward.functions.masking import mask_frame
-from sparkward.operators.bounded import MAX_ROWS, clamp
+from sparkward.operators.bounded import MAX_BYTES, MAX_ROWS, clamp, row_bytes
 from sparkward.operators.policy import row_filter
 from sparkward.session import written
 
@@ -107,6 +107,43 @@ def governed_query(governed: GovernedSession, text: str, limit: int | None = Non
     return mask_frame(_scoped(governed, f"SELECT * FROM (\n{body}\n) q LIMIT {most}"))
 
 
+@dataclass(frozen=True)
+class GovernedResult:
+    """What a read returns: the rows that fit, the tables it read, and its measures."""
+
+    rows: DataFrame
+    tables: list[str]
+    metrics: DataFrame
+
+
+def governed_result(
+    governed: GovernedSession, text: str, limit: int | None = None, max_bytes: int = MAX_BYTES
+) -> GovernedResult:
+    """A read with its byte budget kept and its measures taken.
+
+    The clamped result is one partition of at most the row limit, so its own order
+    can be numbered.
+    """
+    read = governed_query(governed, text, limit)
+    numbered = read.coalesce(1).withColumn("_at", F.monotonically_increasing_id())
+    sized = numbered.withColumn("_bytes", row_bytes(read))
+    upto = F.sum("_bytes").over(Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    fits = sized.withColumn("_upto", upto)
+    cut = F.coalesce(F.max("_upto") > max_bytes, F.lit(False))
+    reason = F.when(
+        cut, f"Result truncated: Exceeded maximum payload size ({max_bytes // 1024} KB)."
+    ).otherwise("")
+    metrics = fits.agg(
+        F.count_if(F.col("_upto") <= max_bytes).alias("row_count"),
+        F.coalesce(F.max(F.when(F.col("_upto") <= max_bytes, F.col("_upto"))), F.lit(0))
+        .alias("payload_bytes"),
+        cut.alias("truncated"),
+        reason.alias("truncation_reason"),
+    )
+    rows = fits.filter(F.col("_upto") <= max_bytes).select(*read.columns)
+    return GovernedResult(rows, tables_accessed(read), metrics)
+
+
 def tables_accessed(df: DataFrame) -> list[str]:
     """The views a plan reads, sorted."""
     plan = df._jdf.queryExecution().analyzed().toString()

@@ -115,7 +115,14 @@ def stream_rate(
 def stream_sessions(
     events: DataFrame, by: str = "role", gap: str = "5 minutes", watermark: str = WATERMARK
 ) -> DataFrame:
-    """Periods of activity per role, closed by a gap without events."""
+    """Periods of activity per role, closed by a gap without events.
+
+    Roles are few and each has many events: sessions are merged within each task
+    before they are shuffled.
+    """
+    events.sparkSession.conf.set(
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true"
+    )
     return (
         events.withWatermark("at", watermark)
         .groupBy(F.session_window("at", gap).alias("w"), by)
