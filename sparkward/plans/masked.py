@@ -190,7 +190,7 @@ def _found(cls: str, pattern: str, group: int, options: str = "") -> str:
     extra = f", '{options}'" if options else ""
     return (
         f"SELECT source_table, id, '{cls}' AS class, unnest(f) AS value, "
-        f"unnest(range(len(f))) AS pos FROM (SELECT source_table, id, "
+        f"CAST(unnest(range(len(f))) AS INT) AS pos FROM (SELECT source_table, id, "
         f"regexp_extract_all(text, '{pattern}', {group}{extra}) AS f FROM texts)"
     )
 

@@ -157,9 +157,9 @@ reader_query("q_set_ops", """
         (SELECT o_custkey AS k FROM orders EXCEPT ALL SELECT c_custkey FROM customer) a""")
 
 reader_query("q_unnest", """
-    SELECT doc_id, count(*) AS n_sentences, max(length(part)) AS longest
+    SELECT doc_id, count(*) AS n_sentences, CAST(max(length(part)) AS INT) AS longest
     FROM documents LATERAL VIEW explode(split(text, '[.]')) s AS part GROUP BY doc_id""", """
-    SELECT doc_id, count(*) AS n_sentences, max(length(part)) AS longest
+    SELECT doc_id, count(*) AS n_sentences, CAST(max(length(part)) AS INT) AS longest
     FROM documents, unnest(string_split(text, '.')) s(part) GROUP BY doc_id""")
 
 reader_query("q_series", """
@@ -167,5 +167,5 @@ reader_query("q_series", """
         SELECT explode(sequence(1, CAST(l_quantity AS INT), 5)) AS l_shipmode FROM lineitem) s
     GROUP BY l_shipmode""", """
     SELECT l_shipmode, count(*) AS n FROM (
-        SELECT unnest(generate_series(1, CAST(l_quantity AS INT), 5)) AS l_shipmode FROM lineitem) s
+        SELECT CAST(unnest(generate_series(1, CAST(l_quantity AS INT), 5)) AS INT) AS l_shipmode FROM lineitem) s
     GROUP BY l_shipmode""")

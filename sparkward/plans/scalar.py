@@ -18,7 +18,7 @@ _GAP = "CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_linenumber END"
 @query("fn_agg", f"""
     SELECT l_orderkey, count(*) AS n, count(g) AS n_g, CAST(sum(g) AS BIGINT) AS sum_g, min(l_quantity) AS min_q,
            max(l_quantity) AS max_q, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) / count(*) AS avg_q,
-           len(array_agg(g)) AS n_collected,
+           CAST(len(array_agg(g)) AS INT) AS n_collected,
            string_agg(l_returnflag, ',' ORDER BY l_returnflag) AS flags
     FROM (SELECT *, {_GAP} AS g FROM lineitem) GROUP BY l_orderkey""")
 def fn_agg(spark, root):
@@ -39,11 +39,11 @@ reader_query("fn_bool_agg", """
 
 reader_query("fn_case_trim", """
     SELECT p_partkey, upper(p_name) AS up, lower(p_type) AS low, trim(concat('  ', p_name, ' ')) AS t,
-           ltrim(concat('  ', p_name)) AS lt, rtrim(concat(p_name, '  ')) AS rt, length(p_name) AS len,
-           char_length(p_brand) AS chars, initcap(p_name) AS cap FROM part""", """
+           ltrim(concat('  ', p_name)) AS lt, rtrim(concat(p_name, '  ')) AS rt, CAST(length(p_name) AS INT) AS len,
+           CAST(char_length(p_brand) AS INT) AS chars, initcap(p_name) AS cap FROM part""", """
     SELECT p_partkey, upper(p_name) AS up, lower(p_type) AS low, trim(concat('  ', p_name, ' ')) AS t,
-           ltrim(concat('  ', p_name)) AS lt, rtrim(concat(p_name, '  ')) AS rt, length(p_name) AS len,
-           length(p_brand) AS chars,
+           ltrim(concat('  ', p_name)) AS lt, rtrim(concat(p_name, '  ')) AS rt, CAST(length(p_name) AS INT) AS len,
+           CAST(length(p_brand) AS INT) AS chars,
            array_to_string(list_transform(string_split(p_name, ' '), lambda w: concat(upper(w[1]), lower(w[2:]))), ' ')
                AS cap FROM part""")
 
@@ -67,7 +67,7 @@ def fn_concat_null(spark, root):
     SELECT p_partkey, replace(p_name, 'e', '_') AS rep, substring(p_name, 0, 4) AS from0, substring(p_name, 2, 3) AS from2,
            split_part(p_name, ' ', 2) AS second, split_part(p_name, ' ', -1) AS last, left(p_name, 3) AS l3,
            left(p_name, -3) AS lm3, right(p_name, 3) AS r3, right(p_name, -3) AS rm3,
-           position('r' IN p_name) AS pos, strpos(p_name, 'i') AS at_i FROM part""")
+           CAST(position('r' IN p_name) AS INT) AS pos, CAST(strpos(p_name, 'i') AS INT) AS at_i FROM part""")
 def fn_substr(spark, root):
     name = F.col("p_name")
     return I.table(spark, root, "part").select(
@@ -175,7 +175,7 @@ reader_query("fn_cast", """
 
 @query("fn_json", """
     SELECT event_id, props ->> '$.k' AS k, concat('{"a":{"b":"', event_type, '"}}') ->> '$.a.b' AS deep,
-           json_array_length(concat('[', event_id, ',', user_id, ']')) AS n FROM events""")
+           CAST(json_array_length(concat('[', event_id, ',', user_id, ']')) AS INT) AS n FROM events""")
 def fn_json(spark, root):
     nested = F.concat(F.lit('{"a":{"b":"'), "event_type", F.lit('"}}'))
     pair = F.concat(F.lit("["), F.col("event_id").cast("string"), F.lit(","), F.col("user_id").cast("string"), F.lit("]"))
@@ -188,10 +188,10 @@ def fn_json(spark, root):
 _PLACE = "l_quantity, l_partkey, l_suppkey, l_linenumber, l_extendedprice"
 reader_query("fn_rank", f"""
     SELECT l_orderkey, {_PLACE},
-           row_number() OVER (PARTITION BY l_orderkey ORDER BY {_PLACE}) AS rn,
-           rank() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag) AS rk,
-           dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag) AS drk,
-           ntile(2) OVER (PARTITION BY l_orderkey ORDER BY {_PLACE}) AS half,
+           CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {_PLACE}) AS INT) AS rn,
+           CAST(rank() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag) AS INT) AS rk,
+           CAST(dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag) AS INT) AS drk,
+           CAST(ntile(2) OVER (PARTITION BY l_orderkey ORDER BY {_PLACE}) AS INT) AS half,
            percent_rank() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag) AS pct,
            cume_dist() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag) AS cume FROM lineitem""")
 
