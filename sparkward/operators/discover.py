@@ -45,58 +45,53 @@ def list_tables(
 
 
 def describe_table(df: DataFrame, table: str, key_columns: Sequence[str] = ()) -> DataFrame:
-    """One row per column: position, name, type, measured notnull and key flag."""
-    spark = df.sparkSession
-    declared = spark.createDataFrame(
-        [(table, i, f.name, f.dataType.simpleString(), "") for i, f in enumerate(df.schema.fields, 1)],
-        "table_name string, cid int, name string, type string, default_value string",
+    """One row per column: position, name, type, notnull, default and key flag.
+
+    Parquet declares neither keys nor NOT NULL, so both are measured, and only for
+    `key_columns`: no other column is read.
+    """
+    declared = df.sparkSession.createDataFrame(
+        [
+            (table, i, f.name, f.dataType.simpleString(), not f.nullable, "")
+            for i, f in enumerate(df.schema.fields, 1)
+        ],
+        "table_name string, cid int, name string, type string, declared boolean, "
+        "default_value string",
     )
-    nulls = df.agg(
-        F.array(
-            *[
-                F.struct(F.lit(c).alias("name"), (F.count_if(F.col(f"`{c}`").isNull()) == 0).alias("notnull"))
-                for c in df.columns
-            ]
-        ).alias("cols")
-    ).select(F.inline("cols"))
-    out = declared.join(nulls, "name")
-    if key_columns:
-        keys = key_profile(df, key_columns, table).select(
-            F.col("column_name").alias("name"), F.col("is_key").alias("is_primary_key")
+    if not key_columns:
+        return declared.withColumnRenamed("declared", "notnull").withColumn(
+            "is_primary_key", F.lit(False)
         )
-        out = out.join(keys, "name", "left")
-    else:
-        out = out.withColumn("is_primary_key", F.lit(None).cast("boolean"))
-    return out.select(
-        "table_name", "cid", "name", "type", "notnull", "default_value",
-        F.coalesce("is_primary_key", F.lit(False)).alias("is_primary_key"),
+    measured = key_profile(df, key_columns, table).select(
+        F.col("column_name").alias("name"), (F.col("n_nulls") == 0).alias("full"), "is_key"
+    )
+    return declared.join(measured, "name", "left").select(
+        "table_name", "cid", "name", "type",
+        (F.col("declared") | F.coalesce("full", F.lit(False))).alias("notnull"),
+        "default_value",
+        F.coalesce("is_key", F.lit(False)).alias("is_primary_key"),
     )
 
 
 def key_profile(df: DataFrame, columns: Sequence[str], table: str) -> DataFrame:
     """Per candidate column: rows, NULLs, distinct values, and whether it is a key.
 
-    All columns share one shuffle on (column, value); equal values meet before it,
-    so a value that fills a third of the table costs one row per task.
+    Each column is counted by value in its own type, from a scan of that column
+    alone. Equal values meet before the shuffle, so one that fills a third of the
+    table costs one row per task.
     """
-    values = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("v"))
-                for c in columns
-            ]
-        )
-    )
-    counted = (
-        df.select(values.alias("e")).select("e.column_name", "e.v")
-        .groupBy("column_name", "v").agg(F.count("*").alias("n"))
-    )
-    return counted.groupBy("column_name").agg(
-        F.sum("n").alias("n_rows"),
-        F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)).alias("n_nulls"),
+    return _union([_one_key(df, c, table) for c in columns])
+
+
+def _one_key(df: DataFrame, column: str, table: str) -> DataFrame:
+    by_value = df.groupBy(F.col(f"`{column}`").alias("v")).agg(F.count("*").alias("n"))
+    return by_value.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
+        F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("n_nulls"),
         F.count("v").alias("n_distinct"),
     ).select(
-        F.lit(table).alias("table_name"), "column_name", "n_rows", "n_nulls", "n_distinct",
+        F.lit(table).alias("table_name"), F.lit(column).alias("column_name"),
+        "n_rows", "n_nulls", "n_distinct",
         ((F.col("n_nulls") == 0) & (F.col("n_distinct") == F.col("n_rows"))).alias("is_key"),
     )
 
@@ -115,7 +110,7 @@ def fk_profile(
     checks = []
     for child, column, parent, target in candidates:
         wanted = tables[child].select(F.col(column).alias("v")).filter("v IS NOT NULL").distinct()
-        had = tables[parent].select(F.col(target).alias("v")).distinct()
+        had = tables[parent].select(F.col(target).alias("v"))
         orphans = wanted.join(had, "v", "left_anti").agg(F.count("*").alias("n_orphans"))
         checks.append(
             orphans.select(

@@ -67,22 +67,23 @@ def affected(base: DataFrame, change: Mutation) -> DataFrame:
 def preview(base: DataFrame, change: Mutation) -> DataFrame:
     """The touched rows before and after, in column `side`. Nothing is executed.
 
-    A narrow pass over the table: the predicate says which rows differ, so the two
-    states need not be compared.
+    One pass over the table: the predicate says which rows differ, so the two states
+    need not be compared.
     """
-    def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.lit(name).alias("side"), *base.columns)
-
     if change.kind == INSERT:
-        return side(change.rows, "after")
-    before = base.filter(change.hits)
+        return change.rows.select(F.lit("after").alias("side"), *base.columns)
+    touched = base.filter(change.hits)
+    before = F.struct(F.lit("before").alias("side"), *base.columns)
     if change.kind == DELETE:
-        return side(before, "before")
-    after = before.select(
-        *[(change.values[f.name].cast(f.dataType) if f.name in change.values else F.col(f.name))
-          .alias(f.name) for f in base.schema.fields]
+        return touched.select(F.inline(F.array(before)))
+    after = F.struct(
+        F.lit("after").alias("side"),
+        *[
+            change.values.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name)
+            for f in base.schema.fields
+        ],
     )
-    return side(before, "before").unionByName(side(after, "after"))
+    return touched.select(F.inline(F.array(before, after)))
 
 
 def plan_lines(df: DataFrame) -> list[str]:

@@ -134,8 +134,9 @@ _KEYS = {"orders": ("o_orderkey", "o_custkey"), "nation": ("n_nationkey", "n_nam
 def _describe_sql(table: str) -> str:
     return " UNION ALL ".join(
         f"SELECT '{table}' AS table_name, {i} AS cid, '{c}' AS name, '{kind}' AS type, "
-        f"count(*) = count({c}) AS notnull, '' AS default_value, "
-        + (f"count(*) = count({c}) AND count(DISTINCT {c}) = count(*)" if c in _KEYS[table] else "false")
+        + (f"count(*) = count({c})" if c in _KEYS[table] else "count(*) < 0")
+        + " AS notnull, '' AS default_value, "
+        + (f"count(*) = count({c}) AND count(DISTINCT {c}) = count(*)" if c in _KEYS[table] else "count(*) < 0")
         + f" AS is_primary_key FROM {table}"
         for i, (c, kind) in enumerate(_SCHEMAS[table], 1)
     )

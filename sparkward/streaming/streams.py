@@ -11,7 +11,7 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -28,9 +28,23 @@ TRIP_SCHEMA = (
 _TRIP_STATE = "waiting array<bigint>, recent array<bigint>, until_us bigint"
 
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_STATE = "org.apache.spark.sql.execution.streaming.state"
+
+
+def keep_state_on_disk(spark: SparkSession) -> None:
+    """Hold stream state in RocksDB, off the heap, unless the session chose a store.
+
+    A stream started earlier goes on with the store its checkpoint names.
+    """
+    if spark.conf.get(_PROVIDER, "").endswith("HDFSBackedStateStoreProvider"):
+        spark.conf.set(_PROVIDER, f"{_STATE}.RocksDBStateStoreProvider")
+
+
 def run_to_table(stream: DataFrame, label: str, output_mode: str = "append") -> DataFrame:
     """Run a stream over all that is available, into a table in the shared folder."""
     spark = stream.sparkSession
+    keep_state_on_disk(spark)
     path = scratch_path(spark, label)
     query = (
         stream.writeStream.format("parquet")
