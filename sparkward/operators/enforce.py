@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkward.operators.running import (
-    HOUR_US, STRETCH, Running, Sliding, flag, running, sliding,
+    STRETCH, Cut, Running, Sliding, flag, running, sliding,
 )
 from sparkward.session import written
 
@@ -25,7 +25,8 @@ SECOND_US = 1_000_000
 
 @dataclass(frozen=True)
 class Limits:
-    """Thresholds and windows. The defaults."""
+    """Thresholds and windows. The defaults. `cut` says how a crowded
+    session is spread over tasks."""
 
     max_violations: int = 3
     violation_window_s: int = 300
@@ -34,7 +35,7 @@ class Limits:
     rate_window_s: int = 60
     max_compute_us: int = 15_000_000
     compute_window_s: int = 600
-    stretch_us: int = HOUR_US
+    cut: Cut = Cut()
 
     @property
     def violation_us(self) -> int:
@@ -74,7 +75,7 @@ def violation_window(
     counted = violations.withColumn("_one", F.lit(1).cast("bigint"))
     out = sliding(
         counted, keys, "us", {"n_violations": Sliding("_one", limits.violation_us)},
-        limits.stretch_us, keep_stretch,
+        limits.cut, keep_stretch,
     )
     return out.drop("_one")
 
@@ -97,12 +98,13 @@ def quarantine_intervals(
     """
     moments = trips.groupBy(*keys, "us").agg(F.count("*").alias("_n"))
     placed = running(
-        moments, keys, "us", limits.stretch_us,
+        moments, keys, "us",
         {
             "_prev": Running("us", "max", before=True),
             "_next": Running("us", "min", before=True, ahead=True),
             "_upto": Running("_n", "sum"),
         },
+        limits.cut,
     )
     gap = limits.quarantine_us
     starts = F.col("_prev").isNull() | (F.col("us") - F.col("_prev") > gap)
@@ -132,7 +134,7 @@ def with_trips(
     flagged = events.withColumn("_v", flag(is_violation))
     counted = sliding(
         flagged, keys, "us", {"n_violations": Sliding("_v", limits.violation_us)},
-        limits.stretch_us, keep_stretch=True,
+        limits.cut, keep_stretch=True,
     )
     trips = (F.col("_v") == 1) & (F.col("n_violations") >= limits.max_violations)
     return counted.withColumn("trip_us", F.when(trips, F.col("us"))).drop("_v")
@@ -143,9 +145,7 @@ def quarantine_asof(
 ) -> DataFrame:
     """Adds, as of each event, `quarantined` and the whole seconds that remain."""
     tripped = with_trips(events, keys, is_violation, limits)
-    latest = running(
-        tripped, keys, "us", limits.stretch_us, {"_last": Running("trip_us", "max")}
-    )
+    latest = running(tripped, keys, "us", {"_last": Running("trip_us", "max")})
     left = F.col("_last") + limits.quarantine_us - F.col("us")
     return latest.select(
         *events.columns,
@@ -159,7 +159,7 @@ def rate_window(events: DataFrame, keys: Sequence[str], limits: Limits = DEFAULT
     """Adds `n_queries`: recorded queries in the trailing rate window."""
     counted = events.withColumn("_one", F.lit(1).cast("bigint"))
     return sliding(
-        counted, keys, "us", {"n_queries": Sliding("_one", limits.rate_us)}, limits.stretch_us
+        counted, keys, "us", {"n_queries": Sliding("_one", limits.rate_us)}, limits.cut
     ).drop("_one")
 
 
@@ -170,7 +170,7 @@ def compute_budget(
     spent = sliding(
         events, keys, "us",
         {"spent_before_us": Sliding(spent_us, limits.compute_us, before=True)},
-        limits.stretch_us,
+        limits.cut,
     )
     return spent.withColumn("over_budget", F.col("spent_before_us") >= limits.max_compute_us)
 
@@ -198,12 +198,12 @@ def write_gate(
             "_n_queries": Sliding("_q", limits.rate_us, before=True),
             "_spent": Sliding(spent_us, limits.compute_us, before=True),
         },
-        limits.stretch_us, keep_stretch=True,
+        limits.cut, keep_stretch=True,
     )
     trips = (F.col("_v") == 1) & (F.col("_n_violations") >= limits.max_violations)
     latest = running(
         counted.withColumn("_trip", F.when(trips, F.col("us"))), keys, "us",
-        limits.stretch_us, {"_last": Running("_trip", "max", before=True)},
+        {"_last": Running("_trip", "max", before=True)},
     )
     quarantined = F.coalesce(F.col("us") < F.col("_last") + limits.quarantine_us, F.lit(False))
     verdict = (
@@ -215,6 +215,10 @@ def write_gate(
     return latest.select(*events.columns, verdict.alias("verdict"))
 
 
+# Sessions of up to this many rows are folded whole if any event is contested.
+_FOLDED_WHOLE = 20_000
+
+
 def rate_admission(
     events: DataFrame,
     key: str,
@@ -226,24 +230,25 @@ def rate_admission(
 
     Refused queries are not recorded, so this is a recurrence. It only has to be
     followed where it can matter: an event whose *raw* count is within the limit is
-    admitted whatever came before. So stretches of time without a single contested
-    event stay on the JVM. Runs of contested stretches are folded in time order,
+    admitted whatever came before. So sessions, and of crowded sessions stretches of
+    time, without a single contested event stay on the JVM. Runs of contested stretches are folded in time order,
     with the admitted events of the window before them as lead-in. A run of more
     than `rows_per_task` rows is folded in waves: each wave ends at the end of a
     stretch and hands on what it admitted in its last window, at most the limit per
     session, so no task sees more than that many rows and one stretch.
     """
-    span = max(limits.stretch_us, limits.rate_us)
+    span = max(limits.cut.width, limits.rate_us)
+    cut = Cut(span, min(limits.cut.rows, _FOLDED_WHOLE, rows_per_task))
     columns = events.columns
     counted = sliding(
         events.withColumn("_one", F.lit(1).cast("bigint")), [key], "us",
-        {"n_queries": Sliding("_one", limits.rate_us)}, span, keep_stretch=True,
+        {"n_queries": Sliding("_one", limits.rate_us)}, cut, keep_stretch=True,
     )
     placed = counted.join(
         _contested_runs(counted, key, span, limits, rows_per_task), [key, STRETCH], "left"
     )
     calm = placed.filter(F.col("_run").isNull()).select(*columns, F.lit(True).alias("admitted"))
-    leads = F.col("_run").isNull() & (
+    leads = F.col("_lead_run").isNotNull() & (
         F.col("us") > F.col(STRETCH) + span - limits.rate_us
     )
     contested = placed.select(
@@ -398,7 +403,7 @@ def reset_epochs(
     any rule above, it clears that rule's state at each reset."""
     flagged = events.withColumn("_r", flag(is_reset))
     return running(
-        flagged, keys, "us", limits.stretch_us, {"epoch": Running("_r", "sum")}
+        flagged, keys, "us", {"epoch": Running("_r", "sum")}, limits.cut
     ).drop("_r")
 
 
@@ -409,8 +414,7 @@ def state_rows(
     counted = violation_window(violations, keys, limits, keep_stretch=True)
     trips = F.when(F.col("n_violations") >= limits.max_violations, F.col("us"))
     latest = running(
-        counted.withColumn("_trip", trips), keys, "us", limits.stretch_us,
-        {"_last": Running("_trip", "max")},
+        counted.withColumn("_trip", trips), keys, "us", {"_last": Running("_trip", "max")}
     )
     until = F.col("_last") + limits.quarantine_us
     return latest.select(

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkward.operators.running import STRETCH, stretch_of
+from sparkward.operators.running import STRETCH, Cut, with_stretch
 
 
 def _before(keys: Sequence[str]):
@@ -20,14 +20,14 @@ def _before(keys: Sequence[str]):
 
 
 def ranks(
-    df: DataFrame, keys: Sequence[str], order: str, tie: Sequence[str], width: int, tiles: int = 4
+    df: DataFrame, keys: Sequence[str], order: str, tie: Sequence[str], cut: Cut, tiles: int = 4
 ) -> DataFrame:
     """Adds row_number, rank, dense_rank, percent_rank, cume_dist and ntile.
 
     Rows are ordered by `order`, rows equal in it are peers; `tie` tells them apart
-    where a function must. `width` is how much of `order` one task takes.
+    where a function must.
     """
-    rows = df.withColumn(STRETCH, stretch_of(F.col(order), width))
+    rows = with_stretch(df, keys, order, cut)
     peers = rows.groupBy(*keys, STRETCH, order).agg(F.count("*").alias("_n"))
     counts = peers.groupBy(*keys, STRETCH).agg(
         F.sum("_n").alias("_n"), F.count("*").alias("_moments")
@@ -65,10 +65,10 @@ def _tile(number: Column, every: Column, tiles: int) -> Column:
 
 
 def neighbours(
-    df: DataFrame, keys: Sequence[str], order: str, tie: Sequence[str], value: str, width: int
+    df: DataFrame, keys: Sequence[str], order: str, tie: Sequence[str], value: str, cut: Cut
 ) -> DataFrame:
     """Adds lag, lead, first_value and last_value (of the whole key) of a column."""
-    rows = df.withColumn(STRETCH, stretch_of(F.col(order), width))
+    rows = with_stretch(df, keys, order, cut)
     place, own = F.struct(order, *tie), F.struct(value)
     ends = rows.groupBy(*keys, STRETCH).agg(
         F.min_by(own, place).alias("_first"), F.max_by(own, place).alias("_last")

@@ -3,8 +3,9 @@
 A plain `Window.partitionBy(key)` sends all rows of a key to one task, and a sliding
 frame re-adds every row of the frame for each row. Here
 
-* a key's rows are cut into stretches of the order column, one task each, and what
-  came before a stretch is carried in from totals aggregated before the shuffle;
+* the rows of a crowded key are cut into stretches of the order column, one task
+  each, and what came before a stretch is carried in from totals aggregated before
+  the shuffle; other keys stay whole and carry nothing;
 * a sliding sum is a running sum over rows that add at their time and rows that
   take away again one window later, so the work does not grow with the window.
 """
@@ -20,11 +21,25 @@ from pyspark.sql import functions as F
 # The stretch a row belongs to, named by where it starts. Results that keep this
 # column stay partitioned by key and stretch, so a further pass needs no shuffle.
 STRETCH = "_stretch"
-_STEP = "_step"
+# The one stretch of a key that is not crowded.
+WHOLE = -(1 << 62)
+_STEP, _CROWDED = "_step", "_crowded"
 HOUR_US = 3_600_000_000
 DAY_US = 24 * HOUR_US
 
 
+@dataclass(frozen=True)
+class Cut:
+    """Keys with more than `rows` rows are cut every `width` units of the order column.
+
+    What one task takes is then at most `rows` rows, or the rows a crowded key has
+    within `width`.
+    """
+
+    width: int = HOUR_US
+    rows: int = 1_000_000
+
+
 @dataclass(frozen=True)
 class Running:
     """One running aggregate: `sum` or `max` of a column over the rows so far.
@@ -40,24 +55,40 @@ class Running:
 
 
 def stretch_of(moment: Column, width: int) -> Column:
-    return moment - F.pmod(moment, F.lit(width))
+    """Where the stretch of a moment starts, if its key is crowded."""
+    start = moment - F.pmod(moment, F.lit(width))
+    return F.when(F.col(_CROWDED), start).otherwise(F.lit(WHOLE)).cast("bigint")
+
+
+def mark_crowded(df: DataFrame, keys: Sequence[str], cut: Cut) -> DataFrame:
+    """Adds whether the row's key is crowded.
+
+    There are at most `rows in all / cut.rows` crowded keys, which bounds what is
+    broadcast; counting reads the key columns alone.
+    """
+    counted = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    crowded = counted.filter(F.col("_n") > cut.rows).select(*keys, F.lit(True).alias(_CROWDED))
+    return df.join(F.broadcast(crowded), list(keys), "left")
+
+
+def with_stretch(df: DataFrame, keys: Sequence[str], order: str, cut: Cut) -> DataFrame:
+    marked = mark_crowded(df, keys, cut)
+    return marked.select(*df.columns, stretch_of(F.col(order), cut.width).alias(STRETCH))
 
 
 def running(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
-    width: int,
     aggregates: Mapping[str, Running],
+    cut: Cut | None = None,
 ) -> DataFrame:
     """Add running aggregates over an integer `order` column, per `keys`.
 
-    `width` is how much of the order column one task takes at a time; rows that
-    already carry `STRETCH` keep the stretch they have. The carried totals have one
-    row per key and stretch in use.
+    Rows that already carry `STRETCH` keep the stretch they have.
     """
-    rows = df if STRETCH in df.columns else df.withColumn(STRETCH, stretch_of(F.col(order), width))
-    totals = rows.groupBy(*keys, STRETCH).agg(
+    rows = df if STRETCH in df.columns else with_stretch(df, keys, order, cut or Cut())
+    totals = rows.filter(F.col(STRETCH) != WHOLE).groupBy(*keys, STRETCH).agg(
         *[_fold(a.how)(a.column).alias(f"_t_{name}") for name, a in aggregates.items()]
     )
     carry = totals.select(
@@ -116,7 +147,7 @@ def sliding(
     keys: Sequence[str],
     us: str,
     totals: Mapping[str, Sliding],
-    stretch_us: int = HOUR_US,
+    cut: Cut | None = None,
     keep_stretch: bool = False,
 ) -> DataFrame:
     """Add sliding sums to every row; all of them in one shuffle of the rows.
@@ -125,15 +156,16 @@ def sliding(
     narrow row that takes its values away when it leaves that window. Departures
     come before arrivals at the same microsecond.
     """
+    cut = cut or Cut()
     widths = sorted({s.width_us for s in totals.values()})
     moments = F.explode(F.array(F.lit(0), *[F.lit(w) for w in widths])).alias("_width")
     payload = [c for c in df.columns if c not in keys]
     arrives = F.col("_width") == 0
     at = (F.col(us) + F.col("_width")).cast("bigint")
-    spread = df.select("*", moments).select(
+    spread = mark_crowded(df, keys, cut).select("*", moments).select(
         *keys,
         *[F.when(arrives, F.col(f"`{c}`")).alias(c) for c in payload],
-        stretch_of(at, stretch_us).alias(STRETCH),
+        stretch_of(at, cut.width).alias(STRETCH),
         (at * 2 + F.when(arrives, 1).otherwise(0)).alias(_STEP),
         *[
             F.when(arrives, F.col(s.column))
@@ -146,7 +178,7 @@ def sliding(
     wanted = {
         name: Running(f"_m_{name}", "sum", before=s.before) for name, s in totals.items()
     }
-    out = running(spread, keys, _STEP, 2 * stretch_us, wanted).filter("_arrives")
+    out = running(spread, keys, _STEP, wanted).filter("_arrives")
     return out.select(*df.columns, *([STRETCH] if keep_stretch else []), *totals)
 
 

@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkward.operators import enforce as E
-from sparkward.operators.running import DAY_US
+from sparkward.operators.running import DAY_US, Cut
 from sparkward.plans import inputs as I
 from sparkward.plans.registry import query
 
 LIMITS = E.Limits(
     max_violations=5, violation_window_s=7 * 86_400, quarantine_s=86_400,
     max_queries=5, rate_window_s=86_400, max_compute_us=300_000_000, compute_window_s=86_400,
-    stretch_us=DAY_US,
+    cut=Cut(DAY_US, rows=80),
 )
 KEYS = ["session_id"]
 W, Q, R = LIMITS.violation_us, LIMITS.quarantine_us, LIMITS.rate_us

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkward.functions import compat as X
 from sparkward.operators.ranking import neighbours, ranks
+from sparkward.operators.running import Cut
 from sparkward.plans import inputs as I
 from sparkward.plans.registry import query
 from sparkward.plans.relational import reader_query
@@ -218,7 +219,7 @@ _BY_TYPE = "PARTITION BY event_type ORDER BY us"
     FROM (SELECT * REPLACE (us // 60000000 AS us) FROM ev)"""))
 def fn_rank_skewed(spark, root):
     events = I.events(spark, root).select("event_id", "event_type", F.expr("us div 60000000").alias("us"))
-    return ranks(events, ["event_type"], "us", ["event_id"], width=24 * 60).drop("us")
+    return ranks(events, ["event_type"], "us", ["event_id"], Cut(24 * 60, 100)).drop("us")
 
 
 @query("fn_offset_skewed", I.with_sql("ev", f"""
@@ -230,7 +231,7 @@ def fn_rank_skewed(spark, root):
     FROM (SELECT * REPLACE (us // 60000000 AS us) FROM ev)"""))
 def fn_offset_skewed(spark, root):
     events = I.events(spark, root).select("event_id", "event_type", F.expr("us div 60000000").alias("us"))
-    near = neighbours(events, ["event_type"], "us", ["event_id"], "event_id", width=24 * 60)
+    near = neighbours(events, ["event_type"], "us", ["event_id"], "event_id", Cut(24 * 60, 100))
     absent = F.lit(-1)
     return near.drop("us").withColumns({"lag": F.coalesce("lag", absent), "lead": F.coalesce("lead", absent)})
 

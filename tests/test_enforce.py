@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkward.operators import enforce as E
+from sparkward.operators.running import Cut
 
 LIMITS = E.Limits(
     max_violations=3, violation_window_s=30, quarantine_s=90, max_queries=5, rate_window_s=10,
-    max_compute_us=4_000_000, compute_window_s=60, stretch_us=20_000_000,
+    max_compute_us=4_000_000, compute_window_s=60, cut=Cut(20_000_000, 150),
 )
 
 

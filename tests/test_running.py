@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from sparkward.operators.running import Running, Sliding, running, sliding
+from sparkward.operators.running import Cut, Running, Sliding, running, sliding
 
 
 def rows(seed, n=600, span=4000):
@@ -17,7 +17,7 @@ def rows(seed, n=600, span=4000):
 def test_sliding(spark, seed, width, stretch):
     data = rows(seed)
     df = spark.createDataFrame(data, "id int, k string, us bigint, m bigint")
-    got = sliding(df, ["k"], "us", {"upto": Sliding("m", width), "past": Sliding("m", 2 * width, before=True)}, stretch)
+    got = sliding(df, ["k"], "us", {"upto": Sliding("m", width), "past": Sliding("m", 2 * width, before=True)}, Cut(stretch, 100))
     assert got.columns == ["id", "k", "us", "m", "upto", "past"]
     assert got.count() == len(data)
     for r in got.collect():
@@ -30,10 +30,10 @@ def test_sliding(spark, seed, width, stretch):
 def test_running(spark, seed, stretch):
     data = rows(seed)
     df = spark.createDataFrame(data, "id int, k string, us bigint, m bigint")
-    got = running(df, ["k"], "us", stretch, {
+    got = running(df, ["k"], "us", {
         "total": Running("m"), "prev": Running("us", "max", before=True),
         "next": Running("us", "min", before=True, ahead=True), "best": Running("m", "max"),
-    })
+    }, Cut(stretch, 100))
     for r in got.collect():
         same = [(t, m) for _, k, t, m in data if k == r["k"]]
         assert r["total"] == sum(m for t, m in same if t <= r["us"])
@@ -49,7 +49,7 @@ def test_a_hot_key_is_spread(spark):
     df = spark.range(20_000).select(F.lit("hot").alias("k"), (F.col("id") * 1000).alias("us"), F.lit(1).cast("bigint").alias("m"))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        got = sliding(df, ["k"], "us", {"n": Sliding("m", 50_000)}, 100_000)
+        got = sliding(df, ["k"], "us", {"n": Sliding("m", 50_000)}, Cut(100_000, 1000))
         sizes = got.groupBy(F.spark_partition_id()).count().collect()
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")

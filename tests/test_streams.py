@@ -6,11 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkward.operators import enforce as E
+from sparkward.operators.running import Cut
 from sparkward.operators.mutate import read_version, versions
 from sparkward.session import scratch_path
 from sparkward.streaming import streams as S
 
-LIMITS = E.Limits(max_violations=3, violation_window_s=60, quarantine_s=100, stretch_us=600_000_000)
+LIMITS = E.Limits(max_violations=3, violation_window_s=60, quarantine_s=100, cut=Cut(600_000_000, 100))
 BASE = 1_700_000_000_000_000
 DELAY_S = 600
 
