@@ -24,6 +24,7 @@ STRETCH = "_stretch"
 # The one stretch of a key that is not crowded.
 WHOLE = -(1 << 62)
 _STEP, _CROWDED = "_step", "_crowded"
+_MOST_CROWDED = 100_000
 HOUR_US = 3_600_000_000
 DAY_US = 24 * HOUR_US
 
@@ -63,11 +64,13 @@ def stretch_of(moment: Column, width: int) -> Column:
 def mark_crowded(df: DataFrame, keys: Sequence[str], cut: Cut) -> DataFrame:
     """Adds whether the row's key is crowded.
 
-    There are at most `rows in all / cut.rows` crowded keys, which bounds what is
-    broadcast; counting reads the key columns alone.
+    The most crowded keys are broadcast, `_MOST_CROWDED` of them at most. A key that
+    does not make the list is taken whole, which changes no result; it has less than
+    one `_MOST_CROWDED`th of all rows. Counting reads the key columns alone.
     """
-    counted = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    crowded = counted.filter(F.col("_n") > cut.rows).select(*keys, F.lit(True).alias(_CROWDED))
+    counted = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > cut.rows)
+    listed = counted.orderBy(F.col("_n").desc(), *keys).limit(_MOST_CROWDED)
+    crowded = listed.select(*keys, F.lit(True).alias(_CROWDED))
     return df.join(F.broadcast(crowded), list(keys), "left")
 
 
