@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from sparkward.operators.running import (
     STRETCH, Cut, Running, Sliding, flag, running, sliding,
 )
-from sparkward.session import written
+from sparkward.session import scratch_path, written
 
 SECOND_US = 1_000_000
 
@@ -258,21 +258,26 @@ def rate_admission(
         (F.col("_last") + span).alias("_wave_end"),
         F.coalesce("_wave", F.lit(0).cast("bigint")).alias("_wave"),
     ).filter(F.col("_run").isNotNull())
+    spark = events.sparkSession
     stored = written(contested, "contested", by="_wave")
     last_wave = stored.agg(F.max("_wave")).first()[0]
-    out, carried = calm, None
-    for wave in range(0 if last_wave is None else last_wave + 1):
+    if last_wave is None:
+        return calm
+    place, carried = scratch_path(spark, "admitted"), None
+    schema = T.StructType([*stored.schema.fields, T.StructField("admitted", T.BooleanType())])
+    for wave in range(last_wave + 1):
         rows = stored.filter(F.col("_wave") == wave)
         if carried is not None:
             rows = rows.unionByName(carried)
         folded = _fold_runs(rows, key, tie, limits)
-        if wave < last_wave:
-            folded = written(folded, "admitted")
-            carried = folded.filter(
-                F.col("admitted") & (F.col("us") > F.col("_wave_end") - limits.rate_us)
-            ).withColumn("_judged", F.lit(False)).drop("admitted")
-        out = out.unionByName(folded.filter("_judged").select(*columns, "admitted"))
-    return out
+        if last_wave == 0:
+            return calm.unionByName(folded.filter("_judged").select(*columns, "admitted"))
+        folded.write.parquet(f"{place}/step={wave}")
+        in_reach = F.col("admitted") & (F.col("us") > F.col("_wave_end") - limits.rate_us)
+        done = spark.read.schema(schema).parquet(f"{place}/step={wave}")
+        carried = done.filter(in_reach).withColumn("_judged", F.lit(False)).drop("admitted")
+    folded = spark.read.schema(schema).parquet(place)
+    return calm.unionByName(folded.filter("_judged").select(*columns, "admitted"))
 
 
 def _contested_runs(

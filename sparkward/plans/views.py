@@ -21,7 +21,7 @@ Loader = Callable[[SparkSession], DataFrame]
 _JVM_CALLS = re.compile(r"\b(reflect|java_method|try_reflect)\(", re.IGNORECASE)
 _VIEW = re.compile(r"\bView \(`([^,]*)`,")
 _CATALOG_TABLE = re.compile(r"\bSubqueryAlias spark_catalog\.")
-_EMPTY_LIMIT = re.compile(r"\blimit\s+-?\s*0*\s*$|\blimit\s+-\s*\d+\s*$", re.IGNORECASE)
+_EMPTY_LIMIT = re.compile(r"\blimit\s+(0+|-\s*\d+)$", re.IGNORECASE)
 
 
 class Refused(PermissionError):

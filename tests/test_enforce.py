@@ -39,7 +39,7 @@ def fold(data, limit, width):
     return out
 
 
-@pytest.mark.parametrize("seed,rows_per_task", [(1, 5_000_000), (2, 40), (3, 1)])
+@pytest.mark.parametrize("seed,rows_per_task", [(1, 5_000_000), (2, 40), (3, 7)])
 def test_rate_admission(spark, seed, rows_per_task):
     data = log(seed)
     got = E.rate_admission(frame(spark, data), "session_id", "event_id", LIMITS, rows_per_task)

@@ -210,5 +210,6 @@ def test_range_join_against_all_pairs(spark):
     points = spark.createDataFrame([(i, i * 37 % 500) for i in range(200)], "p int, x int")
     ranges = spark.createDataFrame([(j, j * 13 % 480, j * 13 % 480 + j % 60) for j in range(80)], "r int, lo int, hi int")
     got = {(r["p"], r["r"]) for r in range_join(points, ranges, "x", "lo", "hi", 25).collect()}
-    want = {(p["p"], r["r"]) for p in points.collect() for r in ranges.collect() if r["lo"] <= p["x"] < r["hi"]}
+    all_points, all_ranges = points.collect(), ranges.collect()
+    want = {(p["p"], r["r"]) for p in all_points for r in all_ranges if r["lo"] <= p["x"] < r["hi"]}
     assert got == want and want
