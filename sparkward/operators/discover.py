@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -99,16 +99,18 @@ def _one_key(df: DataFrame, column: str, table: str) -> DataFrame:
 def fk_profile(
     tables: Mapping[str, DataFrame],
     candidates: Sequence[tuple[str, str, str, str]],
-    allowed: DataFrame,
+    allowed: Collection[str],
 ) -> DataFrame:
     """Which `(table, column, references_table, references_column)` hold as foreign keys.
 
     A reference holds if no child value lacks a parent. Child values are made
     distinct before the join, so repeats of one value do not travel. References to
-    tables outside `allowed` (one column `table_name`) are not shown.
+    tables outside `allowed` are neither checked nor shown.
     """
     checks = []
     for child, column, parent, target in candidates:
+        if parent not in allowed:
+            continue
         wanted = tables[child].select(F.col(column).alias("v")).filter("v IS NOT NULL").distinct()
         had = tables[parent].select(F.col(target).alias("v"))
         orphans = wanted.join(had, "v", "left_anti").agg(F.count("*").alias("n_orphans"))
@@ -119,7 +121,4 @@ def fk_profile(
                 "n_orphans", (F.col("n_orphans") == 0).alias("is_foreign_key"),
             )
         )
-    return _union(checks).join(
-        allowed.select(F.col("table_name").alias("references_table")).distinct(),
-        "references_table", "left_semi",
-    )
+    return _union(checks)

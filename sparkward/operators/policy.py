@@ -126,6 +126,16 @@ def denied_tables(
     return denied.filter(F.size("denied") > 0)
 
 
+def unlisted_tables(
+    requests: DataFrame, allowlist: Sequence[str], request: str, tables: str
+) -> DataFrame:
+    """Requests that name tables outside the allowlist of every role, with those tables."""
+    listed = F.array(*[F.lit(t.lower()) for t in allowlist])
+    left_out = F.array_except(F.array_distinct(F.transform(tables, F.lower)), listed)
+    named = requests.select(request, F.array_sort(left_out).alias("denied"))
+    return named.filter(F.size("denied") > 0)
+
+
 def capability_gate(requests: DataFrame, policy: DataFrame, kind: str = "kind") -> DataFrame:
     """Adds `verdict`: may this role propose, apply or reset? Reads are open."""
     gated = requests.join(role_capabilities(policy), "role", "left")

@@ -124,10 +124,9 @@ def mutation_require_where(spark, root):
     FROM proposals, unnest(target_tables) u(t) WHERE lower(t) = 'supplier' GROUP BY 1"""))
 def mutation_allowlist(spark, root):
     """Tables a mutation names anywhere that are outside the allowlist of every role."""
-    allowed = I.as_table(spark, "table_name", I.OPEN_TABLES).select(
-        F.lit("any").alias("role"), "table_name", F.lit("write").alias("privilege"))
-    asked = I.proposals(spark, root).withColumn("role", F.lit("any"))
-    denied = P.denied_tables(asked, allowed, "write", "proposal_token", "target_tables")
+    denied = P.unlisted_tables(
+        I.proposals(spark, root), I.OPEN_TABLES, "proposal_token", "target_tables"
+    )
     return denied.select("proposal_token", F.concat_ws(",", "denied").alias("unauthorized"))
 
 

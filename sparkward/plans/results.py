@@ -185,5 +185,4 @@ _REFERENCES = (
     for a, b, c, d in _REFERENCES if c not in I.RESTRICTED))
 def fk_profile(spark, root):
     names = {n for a, _, c, _ in _REFERENCES for n in (a, c)}
-    allowed = I.as_table(spark, "table_name", I.OPEN_TABLES)
-    return D.fk_profile({n: I.table(spark, root, n) for n in names}, _REFERENCES, allowed)
+    return D.fk_profile({n: I.table(spark, root, n) for n in names}, _REFERENCES, I.OPEN_TABLES)

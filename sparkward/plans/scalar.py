@@ -105,7 +105,7 @@ _V = "(CAST(c_custkey AS DOUBLE) - 500) / 4"
 @query("fn_math", f"""
     SELECT c_custkey, round(v, 1) AS r1, CAST(ceil(v) AS BIGINT) AS up, CAST(floor(v) AS BIGINT) AS down, abs(v) AS mag,
            c_custkey % 7 AS m7, power(v, 2) AS sq, round(sqrt(abs(v)), 6) AS root, CAST(sign(v) AS DOUBLE) AS sgn,
-           trunc(v) AS cut, round(log10(abs(v) + 1), 6) AS lg, round(ln(abs(v) + 1), 6) AS nat,
+           trunc(v) + 0 AS cut, round(log10(abs(v) + 1), 6) AS lg, round(ln(abs(v) + 1), 6) AS nat,
            round(exp(v / 1000), 6) AS ex, round(log(2, abs(v) + 1), 6) AS lg2, c_custkey // 7 AS whole
     FROM (SELECT c_custkey, {_V} AS v FROM customer)""")
 def fn_math(spark, root):

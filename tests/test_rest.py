@@ -53,6 +53,8 @@ def test_policy(spark):
     assert {r["request_id"]: r["active_role"] for r in P.resolve_role(asked, policy, "reader").collect()} == {1: "admin", 2: "reader", 3: "reader"}
     denied = P.denied_tables(asked, P.grants_table(policy), "read").collect()
     assert {r["request_id"]: r["denied"] for r in denied} == {1: ["orders", "secret"], 2: ["orders"]}
+    listed = P.unlisted_tables(asked, ["orders"], "request_id", "tables_accessed").collect()
+    assert [(r["request_id"], r["denied"]) for r in listed] == [(1, ["secret"])]
     spec = {r["request_id"]: r["tables_read"] for r in P.role_spec(asked, policy, ["album"]).collect()}
     assert spec == {1: ["album"], 2: ["album"], 3: ["orders", "orders"]}
 
@@ -91,8 +93,7 @@ def test_discovery(spark, tmp_path):
     cols = D.describe_table(t, "t", ["id"]).orderBy("cid").collect()
     assert [(r["name"], r["type"], r["notnull"], r["is_primary_key"]) for r in cols] == [("id", "int", True, True), ("name", "string", False, False), ("ref", "int", False, False)]
     parent = spark.createDataFrame([(5,), (6,)], "k int")
-    allowed = spark.createDataFrame([("p",)], "table_name string")
-    refs = D.fk_profile({"t": t, "p": parent, "hidden": parent}, [("t", "ref", "p", "k"), ("t", "id", "p", "k"), ("t", "ref", "hidden", "k")], allowed)
+    refs = D.fk_profile({"t": t, "p": parent, "hidden": parent}, [("t", "ref", "p", "k"), ("t", "id", "p", "k"), ("t", "ref", "hidden", "k")], {"p"})
     assert {(r["column_name"], r["references_table"]): (r["n_orphans"], r["is_foreign_key"]) for r in refs.collect()} == {("ref", "p"): (0, True), ("id", "p"): (3, False)}
 
 
