@@ -93,10 +93,11 @@ def quarantine_intervals(
 ) -> DataFrame:
     """Union of `[trip, trip + quarantine)` per session, as start, end, trips.
 
-    Only the first and last trip of an interval reach the final window, and two
+    The trips, few beside the log they come from, are written out before the passes
+    over them, so the log is not read again for each. Only the first and last trip of an interval reach the final window, and two
     intervals are at least one quarantine apart, so a session has few of them.
     """
-    moments = trips.groupBy(*keys, "us").agg(F.count("*").alias("_n"))
+    moments = written(trips.groupBy(*keys, "us").agg(F.count("*").alias("_n")), "trips")
     placed = running(
         moments, keys, "us",
         {

@@ -13,6 +13,7 @@ from sparkward.operators import enforce as E
 from sparkward.operators.running import DAY_US, Cut
 from sparkward.plans import inputs as I
 from sparkward.plans.registry import query
+from sparkward.session import written
 
 LIMITS = E.Limits(
     max_violations=5, violation_window_s=7 * 86_400, quarantine_s=86_400,
@@ -160,7 +161,9 @@ _RESET = "event_type = 'signup' AND value >= 100"
 def reset_epochs(spark, root):
     events = I.events(spark, root).select("event_id", "session_id", "us", "event_type", "value")
     marked = E.reset_epochs(events, KEYS, F.expr(_RESET), LIMITS).filter(_violation())
-    counted = E.violation_window(marked.select("event_id", "session_id", "us", "epoch"), [*KEYS, "epoch"], LIMITS)
+    # Written once: the next rule makes several passes over it.
+    marked = written(marked.select("event_id", "session_id", "us", "epoch"), "epochs")
+    counted = E.violation_window(marked, [*KEYS, "epoch"], LIMITS)
     return counted.select("event_id", "session_id", "epoch", "n_violations")
 
 
@@ -174,7 +177,7 @@ _HALF_US = AT_US - 14 * 86_400_000_000
 
 
 def _states(spark, root) -> DataFrame:
-    return E.state_rows(violations(spark, root), KEYS, LIMITS)
+    return written(E.state_rows(violations(spark, root), KEYS, LIMITS), "states")
 
 
 @query("state_upsert", f"{_STATE} SELECT session_id, violations, CAST(coalesce(quarantine_until, -1) AS BIGINT) "
