@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkward.functions.masking import mask_frame
 
-# The gateway's caps.
+# The caps on a result.
 MAX_ROWS = 100
 MAX_BYTES = 512 * 1024
 SAMPLE_ROWS = 3

@@ -1,7 +1,7 @@
 """Windowed enforcement over an event log, in batch.
 
 Input rows carry a session key, `us` (epoch microseconds) and whatever a rule needs.
-Every rule takes its own windows and thresholds; the defaults are the gateway's.
+Every rule takes its own windows and thresholds as `Limits`.
 """
 
 from __future__ import annotations

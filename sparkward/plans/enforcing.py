@@ -1,7 +1,7 @@
-"""Queries on windowed enforcement, with the events as the gateway's log.
+"""Queries on windowed enforcement, with the events as the log.
 
 A violation is an error, a write is a purchase, compute is the event's value. The
-given events are sparse, so windows are days where the gateway's are minutes.
+given events are sparse, so windows are days where the defaults are minutes.
 """
 
 from __future__ import annotations

@@ -61,7 +61,7 @@ _CONTACTS = (
     "concat('contact ', coalesce({0}, '{1}'), ' for ', c_name)".format(EMAIL, "nobody")
 )
 
-# How an event plays a part in the gateway's log.
+# How an event plays a part in the audit log.
 EVENT_TYPE = (
     "CASE event_type WHEN 'view' THEN 'QUERY_ACCEPTED' WHEN 'click' THEN 'QUERY_ACCEPTED' "
     "WHEN 'error' THEN CASE WHEN value < 50 THEN 'QUERY_REJECTED' ELSE 'MUTATION_REJECTED' END "
@@ -129,7 +129,7 @@ SPENT_US = "CAST(round(value * 100) AS BIGINT) * 10000"
 
 
 def events(spark: SparkSession, root: str) -> DataFrame:
-    """The events as a gateway log: session, type, time in microseconds, compute spent."""
+    """The events as a request log: session, type, time in microseconds, compute spent."""
     return table(spark, root, "events").selectExpr(
         *[f"{e} AS {c}" for c, e in EVENT_COLUMNS.items()],
         f"{SPENT_US} AS spent_us",
@@ -138,7 +138,7 @@ def events(spark: SparkSession, root: str) -> DataFrame:
 
 
 def audit_log(spark: SparkSession, root: str) -> DataFrame:
-    """The events as audit entries of the gateway."""
+    """The events as audit entries."""
     return table(spark, root, "events").selectExpr(
         *[f"{e} AS {c}" for c, e in AUDIT_COLUMNS.items()],
         "unix_micros(CAST(ts AS TIMESTAMP)) AS us",

@@ -25,7 +25,7 @@ _EMPTY_LIMIT = re.compile(r"\blimit\s+(0+|-\s*\d+)$", re.IGNORECASE)
 
 
 class Refused(PermissionError):
-    """A read that the gateway does not run."""
+    """A read that is not run."""
 
 
 @dataclass(frozen=True)
