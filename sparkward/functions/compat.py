@@ -44,6 +44,15 @@ def strpos(text: Column, part: str) -> Column:
     return F.instr(text, part)
 
 
+def initcap(text: Column) -> Column:
+    """A word starts after anything that is neither letter nor digit."""
+    runs = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"), F.lit(0))
+    words = F.transform(
+        runs, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 30)))
+    )
+    return F.array_join(words, "")
+
+
 # Date pattern letters, Postgres to Spark.
 _DATE_PARTS = (
     ("YYYY", "yyyy"), ("MM", "MM"), ("DD", "dd"), ("HH24", "HH"),
@@ -79,6 +88,39 @@ def trunc(value: Column, places: int = 0) -> Column:
     return F.when(value >= 0, F.floor(up)).otherwise(F.ceil(up)) / scale
 
 
+def round_double(value: Column, places: int = 0) -> Column:
+    """Halves go to the even neighbour, as they do for doubles; decimals round up."""
+    return F.bround(value, places)
+
+
+def int_div(left: Column, right: Column) -> Column:
+    """Integer division, towards zero; by zero it is an error."""
+    return F.call_function("div", left, right)
+
+
+def sqrt(value: Column) -> Column:
+    """The root of a negative number is an error, not NaN."""
+    ok = F.when(value < 0, F.raise_error(
+        F.lit("cannot take square root of a negative number")).cast("double")).otherwise(value)
+    return F.sqrt(ok)
+
+
+def generate_series(start: Column, stop: Column, step: Column | None = None) -> Column:
+    """Every value from start to stop, stop included, as rows; a step that leads away
+    from the stop gives none."""
+    step = F.lit(1) if step is None else step
+    empty = ((step > 0) & (start > stop)) | ((step < 0) & (start < stop))
+    return F.explode(F.when(~empty, F.sequence(start, stop, step)))
+
+
+def make_interval(
+    years: int = 0, months: int = 0, weeks: int = 0, days: int = 0, hours: int = 0, mins: int = 0,
+    secs: float = 0,
+) -> Column:
+    """An interval to add to a moment; on its own it has no place in a result."""
+    return F.make_interval(*map(F.lit, (years, months, weeks, days, hours, mins, secs)))
+
+
 def log(value: Column, base: Column | None = None) -> Column:
     """Base 10 unless a base is given. Zero and below is an error, not NULL."""
     ok = F.when(value > 0, value).otherwise(

@@ -21,9 +21,12 @@ _DELAY_US = 86_400_000_000
 
 
 def followed(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A given table as a stream of its file."""
+    """A given table, one file or a folder of them, as a stream of its files.
+
+    Spark takes a single file as a stream only where a pattern names it.
+    """
     schema = I.table(spark, root, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(root)
+    return spark.readStream.schema(schema).parquet(f"{root}/{{{name}.parquet}}")
 
 
 def live_events(spark: SparkSession, root: str) -> DataFrame:

@@ -85,16 +85,19 @@ def _judge(
         waiting = sorted([*waiting, *(int(u) for b in batches for u in b["us"])])
     ready_us = state.getCurrentWatermarkMs() * 1000
     n_ready = int(np.searchsorted(np.asarray(waiting, dtype=np.int64), ready_us, side="right"))
-    rows = []
-    for us in waiting[:n_ready]:
+    # `start` moves over the times as they leave the window, so each is seen twice.
+    times, start, rows = [*recent, *waiting[:n_ready]], 0, []
+    for i in range(len(recent), len(times)):
+        us = times[i]
         if until and us >= until:
-            recent, until = [], 0
-        recent = [t for t in recent if us - t < limits.violation_us] + [us]
-        tripped = len(recent) >= limits.max_violations
+            start, until = i, 0
+        while us - times[start] >= limits.violation_us:
+            start += 1
+        tripped = i - start + 1 >= limits.max_violations
         if tripped:
             until = us + limits.quarantine_us
-        rows.append((key[0], us, len(recent), tripped, until))
-    waiting = waiting[n_ready:]
+        rows.append((key[0], us, i - start + 1, tripped, until))
+    recent, waiting = times[start:], waiting[n_ready:]
     # Come back when the next one is due, or when nothing that is kept counts any more.
     due = waiting[0] if waiting else max([until, *(t + limits.violation_us for t in recent)])
     due_ms = due // 1000 + 1
@@ -103,9 +106,10 @@ def _judge(
         state.setTimeoutTimestamp(max(due_ms, state.getCurrentWatermarkMs() + 1))
     elif state.exists:
         state.remove()
-    yield pd.DataFrame(
-        rows, columns=["session_id", "us", "n_violations", "tripped", "quarantine_until_us"]
-    )
+    if rows:
+        yield pd.DataFrame(
+            rows, columns=["session_id", "us", "n_violations", "tripped", "quarantine_until_us"]
+        )
 
 
 def stream_rate(

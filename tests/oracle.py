@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from decimal import Decimal
@@ -15,11 +16,16 @@ TABLES = (
 ).split()
 
 
+def _files(root: str, table: str) -> str:
+    path = f"{root}/{table}.parquet"
+    return f"{path}/*.parquet" if os.path.isdir(path) else path
+
+
 def connect(root: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     con.execute("SET threads TO 4")
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{root}/{t}.parquet'")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{_files(root, t)}'")
     return con
 
 
@@ -57,15 +63,13 @@ def compare(spark, con, name, fn, sql, root) -> str:
 
 
 if __name__ == "__main__":
-    import os
-
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     import __spark_entry__ as e
     from sparkward.plans import load_all
     from sparkward.session import local_session
 
     sf, wanted = sys.argv[1], sys.argv[2:]
-    root = f"/root/testdata/sf{sf}"
+    root = sf if sf.startswith("/") else f"/root/testdata/sf{sf}"
     spark, con = local_session(), connect(root)
     fns, sqls = e.queries(), e.oracle_sql()
     only_modules = [w[1:] for w in wanted if w.startswith("@")]

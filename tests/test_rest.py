@@ -201,6 +201,14 @@ def test_compat(spark):
     assert X.date_pattern("YYYY-MM-DD HH24:MI:SS") == "yyyy-MM-dd HH:mm:ss"
     age = one(spark, X.age(F.lit("2024-03-15").cast("date"), F.lit("2023-12-31").cast("date")))[0]
     assert (age["months"], age["days"]) == (2, 15)
+    assert one(spark, X.initcap(F.lit("foo-bar  bAZ_9x éa")), X.int_div(F.lit(-7), F.lit(2))) == ["Foo-Bar  Baz_9x Éa", -3]
+    assert one(spark, X.round_double(F.lit(2.5)), X.round_double(F.lit(3.5)), X.sqrt(F.lit(4.0))) == [2.0, 4.0, 2.0]
+    later = F.date_format(F.lit("2024-01-31").cast("timestamp") + X.make_interval(months=1, hours=3), "yyyy-MM-dd HH")
+    assert one(spark, later) == ["2024-02-29 03"]
+    series = [[r[0] for r in spark.range(1).select(X.generate_series(*map(F.lit, a))).collect()] for a in ((1, 4), (5, 1, -2), (3, 1), (2, 2))]
+    assert series == [[1, 2, 3, 4], [5, 3, 1], [], [2]]
+    with pytest.raises(Exception, match="square root"):
+        one(spark, X.sqrt(F.lit(-1.0)))
     agg = spark.createDataFrame([(1, None), (1, 2)], "k int, v int").groupBy("k").agg(X.array_agg(F.col("v")).alias("vs")).first()["vs"]
     assert sorted(agg, key=str) == [2, None]
     with pytest.raises(Exception, match="logarithm"):
