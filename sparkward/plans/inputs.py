@@ -6,7 +6,6 @@ Each has a twin in `SQL`: the same rows for the check on the other engine.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sparkward.operators.policy import POLICY_SCHEMA
 from sparkward.sources.tables import scan_table
@@ -57,10 +56,6 @@ def customer_pii(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-_CONTACTS = (
-    "concat('contact ', coalesce({0}, '{1}'), ' for ', c_name)".format(EMAIL, "nobody")
-)
-
 # How an event plays a part in the audit log.
 EVENT_TYPE = (
     "CASE event_type WHEN 'view' THEN 'QUERY_ACCEPTED' WHEN 'click' THEN 'QUERY_ACCEPTED' "
@@ -235,10 +230,6 @@ def as_table(spark: SparkSession, column: str, values) -> DataFrame:
     return spark.createDataFrame([(v,) for v in values], f"{column} string")
 
 
-def at_column(df: DataFrame) -> DataFrame:
-    return df.withColumn("at", F.timestamp_micros("us"))
-
-
 def _select(columns: dict[str, str], source: str, *more: str) -> str:
     cells = [f"{e} AS {c}" for c, e in columns.items()]
     return f"SELECT {', '.join([*cells, *more])} FROM {source}"

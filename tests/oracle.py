@@ -65,7 +65,6 @@ def compare(spark, con, name, fn, sql, root) -> str:
 if __name__ == "__main__":
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     import __spark_entry__ as e
-    from sparkward.plans import load_all
     from sparkward.session import local_session
 
     sf, wanted = sys.argv[1], sys.argv[2:]
