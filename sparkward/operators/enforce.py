@@ -238,25 +238,22 @@ def rate_admission(
     stretch and hands on what it admitted in its last window, at most the limit per
     session, so no task sees more than that many rows and one stretch.
     """
-    span = max(limits.cut.width, limits.rate_us)
-    cut = Cut(span, min(limits.cut.rows, _FOLDED_WHOLE, rows_per_task))
+    cut = Cut(limits.cut.width, min(limits.cut.rows, _FOLDED_WHOLE, rows_per_task))
     columns = events.columns
     counted = sliding(
         events.withColumn("_one", F.lit(1).cast("bigint")), [key], "us",
         {"n_queries": Sliding("_one", limits.rate_us)}, cut, keep_stretch=True,
     )
     placed = counted.join(
-        _contested_runs(counted, key, span, limits, rows_per_task), [key, STRETCH], "left"
+        _contested_runs(counted, key, limits, rows_per_task), [key, STRETCH], "left"
     )
     calm = placed.filter(F.col("_run").isNull()).select(*columns, F.lit(True).alias("admitted"))
-    leads = F.col("_lead_run").isNotNull() & (
-        F.col("us") > F.col(STRETCH) + span - limits.rate_us
-    )
+    leads = F.col("us") > F.col("_lead_run") - limits.rate_us
     contested = placed.select(
         *columns,
         F.coalesce("_run", F.when(leads, F.col("_lead_run"))).alias("_run"),
         F.col("_run").isNotNull().alias("_judged"),
-        (F.col("_last") + span).alias("_wave_end"),
+        (F.col("_last") + limits.cut.width).alias("_wave_end"),
         F.coalesce("_wave", F.lit(0).cast("bigint")).alias("_wave"),
     ).filter(F.col("_run").isNotNull())
     spark = events.sparkSession
@@ -274,35 +271,54 @@ def rate_admission(
         if last_wave == 0:
             return calm.unionByName(folded.filter("_judged").select(*columns, "admitted"))
         folded.write.parquet(f"{place}/step={wave}")
-        in_reach = F.col("admitted") & (F.col("us") > F.col("_wave_end") - limits.rate_us)
         done = spark.read.schema(schema).parquet(f"{place}/step={wave}")
-        carried = done.filter(in_reach).withColumn("_judged", F.lit(False)).drop("admitted")
+        # What a run without rows in this wave was handed, it hands on.
+        ends = stored.filter(F.col("_wave") == wave).groupBy(key, "_run").agg(
+            F.max(F.when(F.col("_judged"), F.col("_wave_end"))).alias("_end")
+        )
+        in_reach = F.col("_end").isNull() | (F.col("us") > F.col("_end") - limits.rate_us)
+        carried = (
+            done.filter("admitted").join(ends, [key, "_run"], "left").filter(in_reach)
+            .withColumn("_judged", F.lit(False)).select(*stored.columns)
+        )
     folded = spark.read.schema(schema).parquet(place)
     return calm.unionByName(folded.filter("_judged").select(*columns, "admitted"))
 
 
 def _contested_runs(
-    counted: DataFrame, key: str, span: int, limits: Limits, rows_per_task: int
+    counted: DataFrame, key: str, limits: Limits, rows_per_task: int
 ) -> DataFrame:
-    """Per session and stretch: the run it belongs to, or the run it leads into."""
-    in_order = Window.partitionBy(key).orderBy(STRETCH)
-    follows = (F.lag(STRETCH).over(in_order) == F.col(STRETCH) - span) & F.lag("_hot").over(in_order)
-    precedes = (F.lead(STRETCH).over(in_order) == F.col(STRETCH) + span) & F.lead("_hot").over(in_order)
+    """Per session and stretch: the run it belongs to, or the run it leads into.
+
+    Contested stretches less than one rate window apart are one run, with what lies
+    between them: only after a whole window without a contested event is it known
+    which events of the window were admitted, namely all.
+    """
+    width, reach = limits.cut.width, limits.rate_us
+    forth, back = Window.partitionBy(key).orderBy(STRETCH), Window.partitionBy(key).orderBy(F.desc(STRETCH))
+    strictly = (Window.unboundedPreceding, -1)
+    hot_at = F.when(F.col("_hot"), F.col(STRETCH))
     stretches = counted.groupBy(key, STRETCH).agg(
         (F.max("n_queries") > limits.max_queries).alias("_hot"), F.count("*").alias("_n")
     ).withColumns(
-        {"_starts": F.col("_hot") & ~F.coalesce(follows, F.lit(False)),
-         "_leads": ~F.col("_hot") & precedes}
+        {"_prev": F.max(hot_at).over(forth.rowsBetween(*strictly)),
+         "_next": F.min(hot_at).over(back.rowsBetween(*strictly))}
     )
-    start = F.when(F.col("_starts"), F.col(STRETCH))
+    apart = F.col(STRETCH) - (F.col("_prev") + width) >= reach
+    between = F.coalesce(F.col("_next") - (F.col("_prev") + width) < reach, F.lit(False))
+    starts = F.col("_hot") & F.coalesce(apart, F.lit(True))
+    in_run = F.col("_hot") | between
+    start = F.when(starts, F.col(STRETCH))
+    near = F.col("_next") - reach < F.col(STRETCH) + width
     runs = stretches.withColumns(
-        {"_run": F.when(F.col("_hot"), F.last(start, ignorenulls=True).over(in_order)),
-         "_lead_run": F.when(F.col("_leads"), F.col(STRETCH) + span)}
+        {"_run": F.when(in_run, F.last(start, ignorenulls=True).over(forth)),
+         "_lead_run": F.when(~in_run & near, F.col("_next"))}
     )
-    in_run = Window.partitionBy(key, "_run").orderBy(STRETCH)
-    done = F.sum("_n").over(in_run) - F.col("_n")
+    by_run = Window.partitionBy(key, "_run").orderBy(STRETCH)
+    done = F.sum("_n").over(by_run) - F.col("_n")
     waves = runs.withColumn(
-        "_wave", F.when(F.col("_hot"), F.floor(done / F.lit(rows_per_task)).cast("bigint"))
+        "_wave",
+        F.when(F.col("_run").isNotNull(), F.floor(done / F.lit(rows_per_task)).cast("bigint")),
     )
     in_wave = Window.partitionBy(key, "_run", "_wave")
     return waves.withColumn("_last", F.max(STRETCH).over(in_wave)).select(

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkward.operators import enforce as E
-from sparkward.operators.running import DAY_US, Cut
+from sparkward.operators.running import HOUR_US, Cut
 from sparkward.plans import inputs as I
 from sparkward.plans.registry import query
 from sparkward.session import written
@@ -18,7 +18,7 @@ from sparkward.session import written
 LIMITS = E.Limits(
     max_violations=5, violation_window_s=7 * 86_400, quarantine_s=86_400,
     max_queries=5, rate_window_s=86_400, max_compute_us=300_000_000, compute_window_s=86_400,
-    cut=Cut(DAY_US, rows=80),
+    cut=Cut(HOUR_US // 12, rows=80),
 )
 KEYS = ["session_id"]
 W, Q, R = LIMITS.violation_us, LIMITS.quarantine_us, LIMITS.rate_us

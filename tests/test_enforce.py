@@ -39,10 +39,13 @@ def fold(data, limit, width):
     return out
 
 
-@pytest.mark.parametrize("seed,rows_per_task", [(1, 5_000_000), (2, 40), (3, 7)])
-def test_rate_admission(spark, seed, rows_per_task):
+@pytest.mark.parametrize("seed,rows_per_task,width", [
+    (1, 5_000_000, 20_000_000), (2, 40, 20_000_000), (3, 30, 3_000_000), (4, 60, 1_500_000), (5, 25, 90_000_000),
+])
+def test_rate_admission(spark, seed, rows_per_task, width):
     data = log(seed)
-    got = E.rate_admission(frame(spark, data), "session_id", "event_id", LIMITS, rows_per_task)
+    limits = E.Limits(**{**LIMITS.__dict__, "cut": Cut(width, 20)})
+    got = E.rate_admission(frame(spark, data), "session_id", "event_id", limits, rows_per_task)
     assert got.columns == ["event_id", "session_id", "us", "kind", "spent_us", "admitted"]
     admitted = {r["event_id"]: r["admitted"] for r in got.collect()}
     assert admitted == fold(data, LIMITS.max_queries, LIMITS.rate_us)
