@@ -52,3 +52,16 @@ def ids_schema(rest: str) -> T.StructType:
 def ids_and_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The two columns an operator reads, whatever else the table holds."""
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+
+
+def filter_texts(df: DataFrame, make: Callable[[], Callable], text: str = "text") -> DataFrame:
+    """The rows of `df`, whole, for whose text the function that `make()` gives each task says true."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                yield part.filter(pa.array(fn(part.column(part.schema.get_field_index(text))), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -29,3 +30,83 @@ def op2(spark: SparkSession, root: str) -> DataFrame:
     from sparkward.llm.neardup import near_duplicates
 
     return near_duplicates(_table(spark, root, "documents"), k=3, percent=85)
+
+
+def _folded(text: str) -> str:
+    """DuckDB: the words of a text, A-Z lower-cased, for the operators that split at every other ASCII sign."""
+    low = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"regexp_extract_all({low}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+_OP1_SQL = f"""
+WITH d AS (SELECT doc_id, {_folded("text")} AS ws FROM documents),
+b AS (SELECT DISTINCT item_id, {_folded("text")} AS ws FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+w AS (SELECT DISTINCT item_id, least(10, len(ws)) AS k, array_to_string(ws[i:i + least(10, len(ws)) - 1], ' ') AS win
+      FROM b, unnest(range(1, greatest(2, len(ws) - 8))) AS r(i) WHERE len(ws) > 0),
+g AS (SELECT doc_id, i, k, array_to_string(ws[i:i + k - 1], ' ') AS win
+      FROM d, (SELECT DISTINCT k FROM w), unnest(range(1, len(ws) - k + 2)) AS r(i)),
+m AS (SELECT doc_id, i, k, item_id FROM g JOIN w USING (k, win)),
+h AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM m, unnest(range(0, k)) AS r(j) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM m) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
+@_query("op1_decontaminate", _OP1_SQL)
+def op1(spark: SparkSession, root: str) -> DataFrame:
+    from sparkward.llm.decontaminate import contaminated
+
+    ids = F.array_sort(F.col("items").cast("array<string>"))
+    return contaminated(_table(spark, root, "documents"), _table(spark, root, "benchmark")).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@_query("op4_quality")
+def op4(spark: SparkSession, root: str) -> DataFrame:
+    from sparkward.llm.quality import judged, train
+
+    docs = _table(spark, root, "documents")
+    out = judged(docs, train(docs, _table(spark, root, "labels")))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+@_query("op5_lines")
+def op5(spark: SparkSession, root: str) -> DataFrame:
+    from sparkward.llm.lines import dedup_lines
+
+    out = dedup_lines(_table(spark, root, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id",
+        F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_left"),
+        F.size("_removed").cast("long").alias("n_removed"),
+        F.array_join(F.col("_removed").cast("array<string>"), ",").alias("removed"),
+        "text",
+    )
+
+
+@_query("op6_bpe")
+def op6(spark: SparkSession, root: str) -> DataFrame:
+    from sparkward.llm.bpe import encoded
+
+    return encoded(_table(spark, root, "documents"), tokenizer_path()).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def tokenizer_path() -> str:
+    """The public tokenizer the queries use; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
