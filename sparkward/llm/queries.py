@@ -110,3 +110,90 @@ def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
+
+
+@_query("op3_urls")
+def op3(spark: SparkSession, root: str) -> DataFrame:
+    from sparkward.llm.urls import Rule, filtered
+
+    rules = [
+        Rule("allow", "org/"),
+        Rule("block", "example.org/es/"),
+        Rule("block", "example.org/en/1"),
+        Rule("allow", "com/fr/"),
+        Rule("block", "com/de/"),
+    ]
+    return filtered(_table(spark, root, "pages"), rules).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+_OP9_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, lag(role) OVER w AS before, lead(role) OVER w AS after,
+        length(text) + length(regexp_replace(text, '[^\\<\[\]]', '', 'g')) AS n_text,
+        length(role) + length(regexp_replace(role, '[^\\<\[\]]', '', 'g')) AS n_role
+      FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(7 + sum(n_text + CASE WHEN before IS NOT DISTINCT FROM role THEN 5 ELSE 7 + n_role END
+    + CASE WHEN after IS NOT DISTINCT FROM role THEN 0 ELSE 7 END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+@_query("op9_chat", _OP9_SQL)
+def op9(spark: SparkSession, root: str) -> DataFrame:
+    from sparkward.llm.chat import formatted, learnt_text, turns_of
+
+    text = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    rows = _table(spark, root, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    read = formatted(rows).select(
+        "conv_id",
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        turns_of(F.col("formatted")).alias("turns"),
+        learnt_text(F.col("formatted"), F.col("loss_mask")).alias("learnt"),
+    )
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.concat_ws("", lines), 256).alias("turns_sha256"),
+        F.length("learnt").cast("long").alias("loss_chars"),
+        F.sha2("learnt", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+def _op7_sql() -> str:
+    phrases = {"gpl": "gnu general public license", "apache": "apache license", "cc-by": "cc by", "mit": "mit license"}
+    listed = ", ".join(f"('{label}', '{text}', {len(text.split())})" for label, text in phrases.items())
+    return f"""
+WITH d AS (SELECT doc_id, {_folded("text")} AS ws FROM documents),
+p(label, phrase, k) AS (VALUES {listed}),
+m AS (SELECT doc_id, label, i - 1 AS place FROM d, p, unnest(range(1, len(ws) - k + 2)) AS r(i)
+      WHERE array_to_string(ws[i:i + k - 1], ' ') = phrase)
+SELECT doc_id, CAST(len(any_value(ws)) AS BIGINT) AS n_words, count(place) AS n_base,
+  CAST(min(place) AS BIGINT) AS first_word, CAST(max(place) AS BIGINT) AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
+FROM d LEFT JOIN m USING (doc_id) GROUP BY doc_id
+"""
+
+
+@_query("op7_licenses")
+def op7(spark: SparkSession, root: str) -> DataFrame:
+    from sparkward.llm.licenses import scanned
+
+    return scanned(_table(spark, root, "documents")).select(
+        "doc_id",
+        "n_words",
+        "n_base",
+        "first_word",
+        "last_word",
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
