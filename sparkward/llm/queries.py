@@ -197,3 +197,19 @@ def op7(spark: SparkSession, root: str) -> DataFrame:
         F.array_join("labels", ",").alias("labels"),
         "score",
     )
+
+
+@_query("op8_toxicity")
+def op8(spark: SparkSession, root: str) -> DataFrame:
+    from sparkward.llm.toxicity import scored, train
+
+    docs = _table(spark, root, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    net = train(docs, _table(spark, root, "labels"), usable=~held_out)
+    return scored(docs, net).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        "flagged",
+    )
