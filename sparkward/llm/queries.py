@@ -213,3 +213,13 @@ def op8(spark: SparkSession, root: str) -> DataFrame:
         (F.col("score") >= 0.7).cast("int").alias("predicted"),
         "flagged",
     )
+
+
+@_query("op10_tokenfile")
+def op10(spark: SparkSession, root: str) -> DataFrame:
+    from sparkward.llm import tokenfile
+    from sparkward.session import scratch_path
+
+    folder = scratch_path(spark, "token-files")
+    tokenfile.write(_table(spark, root, "documents"), folder, tokenizer_path())
+    return tokenfile.read(spark, folder, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
