@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
@@ -13,17 +12,11 @@ from pyspark.sql import functions as F
 from sparkward.functions.masking import mask_frame
 from sparkward.operators.bounded import MAX_BYTES, MAX_ROWS, clamp, row_bytes
 from sparkward.operators.policy import row_filter
+from sparkward.plans.checked import inspect, limit_at
 from sparkward.session import written
 
 Loader = Callable[[SparkSession], DataFrame]
 
-# Functions that run code of the JVM outside the query.
-_JVM_CALLS = re.compile(r"\b(reflect|java_method|try_reflect)\(", re.IGNORECASE)
-_VIEW = re.compile(r"\bView \(`([^,]*)`,")
-_CATALOG_TABLE = re.compile(r"\bSubqueryAlias spark_catalog\.")
-_EMPTY_LIMIT = re.compile(r"\blimit\s+(0+|-\s*\d+)$", re.IGNORECASE)
-
-
 class Refused(PermissionError):
     """A read that is not run."""
 
@@ -102,7 +95,7 @@ def governed_query(governed: GovernedSession, text: str, limit: int | None = Non
     Spark's own parser is the statement check: text that is not one query does not
     parse inside the brackets.
     """
-    body = _EMPTY_LIMIT.sub("", _one_statement(text))
+    body = _with_limit(governed.session, _one_statement(text))
     most = MAX_ROWS if limit is None else clamp(limit)
     return mask_frame(_scoped(governed, f"SELECT * FROM (\n{body}\n) q LIMIT {most}"))
 
@@ -146,8 +139,7 @@ def governed_result(
 
 def tables_accessed(df: DataFrame) -> list[str]:
     """The views a plan reads, sorted."""
-    plan = df._jdf.queryExecution().analyzed().toString()
-    return sorted(set(_VIEW.findall(plan)))
+    return sorted(inspect(df).views)
 
 
 def _one_statement(text: str) -> str:
@@ -158,6 +150,17 @@ def _one_statement(text: str) -> str:
     return body
 
 
+def _with_limit(session: SparkSession, body: str) -> str:
+    """The text with the most rows in place of a limit of 0 or less."""
+    try:
+        found = limit_at(session, body)
+    except ParseException as e:
+        raise Refused("only a single SELECT is permitted") from e
+    if found is None or found[0] > 0:
+        return body
+    return f"{body[: found[1]]}{MAX_ROWS}{body[found[2] + 1 :]}"
+
+
 def _scoped(governed: GovernedSession, text: str) -> DataFrame:
     try:
         df = governed.session.sql(text)
@@ -165,11 +168,10 @@ def _scoped(governed: GovernedSession, text: str) -> DataFrame:
         raise Refused("only a single SELECT is permitted") from e
     except AnalysisException as e:
         raise Refused(str(e).splitlines()[0]) from e
-    plan = df._jdf.queryExecution().analyzed().toString()
-    if _JVM_CALLS.search(plan):
-        raise Refused("functions that call into the JVM are not permitted")
-    outside = set(_VIEW.findall(plan)) - governed.visible
-    if outside or _CATALOG_TABLE.search(plan):
+    seen = inspect(df)
+    if seen.calls:
+        raise Refused(f"functions that reach outside the query are not permitted: {sorted(seen.calls)}")
+    outside = seen.views - governed.visible
+    if outside or seen.relations:
         raise Refused(f"access denied to table(s): {sorted(outside) or 'of the catalog'}")
     return df
-

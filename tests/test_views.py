@@ -139,3 +139,38 @@ def test_dotted_names(spark):
     from sparkward.functions.masking import mask_frame
 
     assert mask_frame(spark.sql("SELECT 'abc@x.com' AS `e.mail`")).select(F.col("`e.mail`")).first()[0] == "a***c@x.com"
+
+
+REFLECT = "reflect('java.lang.System', 'getProperty', 'user.dir')"
+
+
+@pytest.mark.parametrize("text", [
+    "SELECT " + ", ".join(f"{i} AS c{i}" for i in range(40)) + f", {REFLECT} AS c40",
+    f"SELECT * FROM customer WHERE c_custkey IN (SELECT max(c_custkey) FROM customer WHERE {REFLECT} = 'x')",
+    f"WITH t AS (SELECT {REFLECT} AS r) SELECT 1 AS one FROM t",
+    f"SELECT count(*) AS n FROM customer GROUP BY {REFLECT}",
+    f"SELECT upper(concat('a', {REFLECT})) AS a",
+    "SELECT java_method('java.lang.System', 'lineSeparator') AS r",
+    "SELECT input_file_name() AS f FROM customer",
+    "SELECT current_user() AS u",
+    "SELECT (SELECT version()) AS v",
+])
+def test_system_functions_are_refused_anywhere(reader, text):
+    with pytest.raises(Refused):
+        governed_query(reader, text)
+
+
+def test_a_text_that_names_a_function_is_data(reader):
+    assert governed_query(reader, "SELECT 'please reflect(x)' AS x").first()["x"] == "please reflect(x)"
+
+
+@pytest.mark.parametrize("limit", ["LIMIT 0", "limit 0 -- x", "LIMIT -3", "LIMIT 0 /* limit 5 */", "LIMIT (1 - 1)"])
+def test_an_empty_limit_gives_the_most(reader, limit):
+    assert governed_query(reader, f"SELECT c_custkey FROM customer {limit}").count() == 100
+    assert governed_query(reader, f"WITH t AS (SELECT c_custkey FROM customer) SELECT * FROM t {limit}").count() == 100
+
+
+def test_other_limits_hold(reader):
+    assert governed_query(reader, "SELECT c_custkey FROM customer LIMIT 7 -- limit 0").count() == 7
+    assert governed_query(reader, "SELECT 'limit 0' AS x").count() == 1
+    assert governed_query(reader, "SELECT * FROM (SELECT c_custkey FROM customer LIMIT 0) q").count() == 0
