@@ -16,17 +16,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkward.operators.running import (
-    STRETCH, Cut, Running, Sliding, flag, running, sliding,
+    KEY, STRETCH, Cut, Running, Sliding, flag, running, sliding,
 )
-from sparkward.session import scratch_path, written
+from sparkward.session import written
 
 SECOND_US = 1_000_000
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Thresholds and windows. The defaults. `cut` says how a crowded
-    session is spread over tasks."""
+    """Thresholds and windows. The defaults. `cut` says how a session is
+    spread over tasks."""
 
     max_violations: int = 3
     violation_window_s: int = 300
@@ -216,78 +216,35 @@ def write_gate(
     return latest.select(*events.columns, verdict.alias("verdict"))
 
 
-# Sessions of up to this many rows are folded whole if any event is contested.
-_FOLDED_WHOLE = 20_000
-
-
-def rate_admission(
-    events: DataFrame,
-    key: str,
-    tie: str,
-    limits: Limits = DEFAULTS,
-    rows_per_task: int = 5_000_000,
-) -> DataFrame:
+def rate_admission(events: DataFrame, key: str, tie: str, limits: Limits = DEFAULTS) -> DataFrame:
     """Adds `admitted`: refused when the admitted queries of the window reach the limit.
 
     Refused queries are not recorded, so this is a recurrence. It only has to be
     followed where it can matter: an event whose *raw* count is within the limit is
-    admitted whatever came before. So sessions, and of crowded sessions stretches of
-    time, without a single contested event stay on the JVM. Runs of contested stretches are folded in time order,
-    with the admitted events of the window before them as lead-in. A run of more
-    than `rows_per_task` rows is folded in waves: each wave ends at the end of a
-    stretch and hands on what it admitted in its last window, at most the limit per
-    session, so no task sees more than that many rows and one stretch.
+    admitted whatever came before. So stretches of time without a single contested
+    event stay on the JVM. Runs of contested stretches are sorted by time and folded,
+    with the events of the window before them as lead-in. A run is sequential by
+    nature, but only a run: the sort spills, rows stream through the fold in batches,
+    and its state is at most `limit` times.
     """
-    cut = Cut(limits.cut.width, min(limits.cut.rows, _FOLDED_WHOLE, rows_per_task))
     columns = events.columns
     counted = sliding(
         events.withColumn("_one", F.lit(1).cast("bigint")), [key], "us",
-        {"n_queries": Sliding("_one", limits.rate_us)}, cut, keep_stretch=True,
-    )
-    placed = counted.join(
-        _contested_runs(counted, key, limits, rows_per_task), [key, STRETCH], "left"
+        {"n_queries": Sliding("_one", limits.rate_us)}, limits.cut, keep_stretch=True,
     )
+    placed = counted.join(_contested_runs(counted, limits), [KEY, STRETCH], "left")
     calm = placed.filter(F.col("_run").isNull()).select(*columns, F.lit(True).alias("admitted"))
     leads = F.col("us") > F.col("_lead_run") - limits.rate_us
     contested = placed.select(
         *columns,
         F.coalesce("_run", F.when(leads, F.col("_lead_run"))).alias("_run"),
         F.col("_run").isNotNull().alias("_judged"),
-        (F.col("_last") + limits.cut.width).alias("_wave_end"),
-        F.coalesce("_wave", F.lit(0).cast("bigint")).alias("_wave"),
     ).filter(F.col("_run").isNotNull())
-    spark = events.sparkSession
-    stored = written(contested, "contested", by="_wave")
-    last_wave = stored.agg(F.max("_wave")).first()[0]
-    if last_wave is None:
-        return calm
-    place, carried = scratch_path(spark, "admitted"), None
-    schema = T.StructType([*stored.schema.fields, T.StructField("admitted", T.BooleanType())])
-    for wave in range(last_wave + 1):
-        rows = stored.filter(F.col("_wave") == wave)
-        if carried is not None:
-            rows = rows.unionByName(carried)
-        folded = _fold_runs(rows, key, tie, limits)
-        if last_wave == 0:
-            return calm.unionByName(folded.filter("_judged").select(*columns, "admitted"))
-        folded.write.parquet(f"{place}/step={wave}")
-        done = spark.read.schema(schema).parquet(f"{place}/step={wave}")
-        # What a run without rows in this wave was handed, it hands on.
-        ends = stored.filter(F.col("_wave") == wave).groupBy(key, "_run").agg(
-            F.max(F.when(F.col("_judged"), F.col("_wave_end"))).alias("_end")
-        )
-        in_reach = F.col("_end").isNull() | (F.col("us") > F.col("_end") - limits.rate_us)
-        carried = (
-            done.filter("admitted").join(ends, [key, "_run"], "left").filter(in_reach)
-            .withColumn("_judged", F.lit(False)).select(*stored.columns)
-        )
-    folded = spark.read.schema(schema).parquet(place)
+    folded = _fold_runs(contested, key, tie, limits)
     return calm.unionByName(folded.filter("_judged").select(*columns, "admitted"))
 
 
-def _contested_runs(
-    counted: DataFrame, key: str, limits: Limits, rows_per_task: int
-) -> DataFrame:
+def _contested_runs(counted: DataFrame, limits: Limits) -> DataFrame:
     """Per session and stretch: the run it belongs to, or the run it leads into.
 
     Contested stretches less than one rate window apart are one run, with what lies
@@ -295,11 +252,11 @@ def _contested_runs(
     which events of the window were admitted, namely all.
     """
     width, reach = limits.cut.width, limits.rate_us
-    forth, back = Window.partitionBy(key).orderBy(STRETCH), Window.partitionBy(key).orderBy(F.desc(STRETCH))
+    forth, back = Window.partitionBy(KEY).orderBy(STRETCH), Window.partitionBy(KEY).orderBy(F.desc(STRETCH))
     strictly = (Window.unboundedPreceding, -1)
     hot_at = F.when(F.col("_hot"), F.col(STRETCH))
-    stretches = counted.groupBy(key, STRETCH).agg(
-        (F.max("n_queries") > limits.max_queries).alias("_hot"), F.count("*").alias("_n")
+    stretches = counted.groupBy(KEY, STRETCH).agg(
+        (F.max("n_queries") > limits.max_queries).alias("_hot")
     ).withColumns(
         {"_prev": F.max(hot_at).over(forth.rowsBetween(*strictly)),
          "_next": F.min(hot_at).over(back.rowsBetween(*strictly))}
@@ -307,22 +264,14 @@ def _contested_runs(
     apart = F.col(STRETCH) - (F.col("_prev") + width) >= reach
     between = F.coalesce(F.col("_next") - (F.col("_prev") + width) < reach, F.lit(False))
     starts = F.col("_hot") & F.coalesce(apart, F.lit(True))
-    in_run = F.col("_hot") | between
     start = F.when(starts, F.col(STRETCH))
     near = F.col("_next") - reach < F.col(STRETCH) + width
-    runs = stretches.withColumns(
-        {"_run": F.when(in_run, F.last(start, ignorenulls=True).over(forth)),
-         "_lead_run": F.when(~in_run & near, F.col("_next"))}
-    )
-    by_run = Window.partitionBy(key, "_run").orderBy(STRETCH)
-    done = F.sum("_n").over(by_run) - F.col("_n")
-    waves = runs.withColumn(
-        "_wave",
-        F.when(F.col("_run").isNotNull(), F.floor(done / F.lit(rows_per_task)).cast("bigint")),
-    )
-    in_wave = Window.partitionBy(key, "_run", "_wave")
-    return waves.withColumn("_last", F.max(STRETCH).over(in_wave)).select(
-        key, STRETCH, "_run", "_lead_run", "_wave", "_last"
+    in_run = F.col("_hot") | between
+    return stretches.select(
+        KEY,
+        STRETCH,
+        F.when(in_run, F.last(start, ignorenulls=True).over(forth)).alias("_run"),
+        F.when(~in_run & near, F.col("_next")).alias("_lead_run"),
     )
 
 
@@ -347,11 +296,13 @@ class _Admission:
             us = batch["us"].to_numpy()
             keys, runs = batch[self.key].to_numpy(), batch["_run"].to_numpy()
             admitted = np.zeros(len(us), dtype=bool)
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]) | (runs[1:] != runs[:-1])) + 1
+            codes = pd.factorize(keys, use_na_sentinel=False)[0]
+            cuts = np.flatnonzero((codes[1:] != codes[:-1]) | (runs[1:] != runs[:-1])) + 1
             edges = [0, *cuts.tolist(), len(us)] if len(us) else []
             for lo, hi in zip(edges, edges[1:], strict=False):
-                if (keys[lo], runs[lo]) != group:
-                    group, kept = (keys[lo], runs[lo]), []
+                own = (None if pd.isna(keys[lo]) else keys[lo], runs[lo])
+                if own != group:
+                    group, kept = own, []
                 kept = self._fold(us[lo:hi], admitted[lo:hi], kept)
             yield batch.assign(admitted=admitted)
 
@@ -389,7 +340,7 @@ def health_snapshot(
     reach = max(
         limits.quarantine_us + limits.violation_us, limits.rate_us, limits.compute_us
     )
-    sessions = events.filter(F.col("us") <= at_us).select(*keys).distinct()
+    sessions = events.filter(F.col("us") <= at_us).select(*keys).distinct().withColumn(KEY, F.struct(*keys))
     recent = events.filter((F.col("us") <= at_us) & (F.col("us") > at_us - reach))
     tripped = with_trips(recent.withColumns(
         {"_viol": is_violation, "_query": is_query}), keys, F.col("_viol"), limits)
@@ -397,14 +348,14 @@ def health_snapshot(
     def young(width_us: int) -> Column:
         return F.col("us") > at_us - width_us
 
-    status = tripped.groupBy(*keys).agg(
+    status = tripped.groupBy(F.struct(*keys).alias(KEY)).agg(
         F.max("trip_us").alias("_trip"),
         F.count_if(F.col("_viol") & young(limits.violation_us)).alias("violations_in_window"),
         F.count_if(F.col("_query") & young(limits.rate_us)).alias("queries_in_window"),
         F.sum(F.when(young(limits.compute_us), F.col(spent_us)).otherwise(0)).alias("_spent"),
     )
     left = F.coalesce(F.col("_trip") + limits.quarantine_us - at_us, F.lit(0))
-    return sessions.join(status, list(keys), "left").select(
+    return sessions.join(status, KEY, "left").select(
         *keys,
         F.when(left > 0, "QUARANTINED").otherwise("HEALTHY").alias("status"),
         (left > 0).alias("is_quarantined"),
@@ -471,4 +422,5 @@ def state_merge(
 
 
 def state_delete(stored: DataFrame, gone: DataFrame, key: str = "session_id") -> DataFrame:
-    return stored.join(gone.select(key).distinct(), key, "left_anti")
+    named = gone.select(F.col(key).alias("_gone")).distinct()
+    return stored.join(named, stored[key].eqNullSafe(named["_gone"]), "left_anti")

@@ -12,11 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkward.operators.running import STRETCH, Cut, with_stretch
+from sparkward.operators.running import KEY, STRETCH, Cut, with_stretch
 
 
-def _before(keys: Sequence[str]):
-    return Window.partitionBy(*keys).orderBy(STRETCH).rowsBetween(Window.unboundedPreceding, -1)
+def _before():
+    return Window.partitionBy(KEY).orderBy(STRETCH).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def ranks(
@@ -28,18 +28,18 @@ def ranks(
     where a function must.
     """
     rows = with_stretch(df, keys, order, cut)
-    peers = rows.groupBy(*keys, STRETCH, order).agg(F.count("*").alias("_n"))
-    counts = peers.groupBy(*keys, STRETCH).agg(
+    peers = rows.groupBy(KEY, STRETCH, order).agg(F.count("*").alias("_n"))
+    counts = peers.groupBy(KEY, STRETCH).agg(
         F.sum("_n").alias("_n"), F.count("*").alias("_moments")
     )
     carry = counts.select(
-        *keys, STRETCH,
-        F.coalesce(F.sum("_n").over(_before(keys)), F.lit(0)).alias("_done"),
-        F.coalesce(F.sum("_moments").over(_before(keys)), F.lit(0)).alias("_done_moments"),
-        F.sum("_n").over(Window.partitionBy(*keys)).alias("_all"),
+        KEY, STRETCH,
+        F.coalesce(F.sum("_n").over(_before()), F.lit(0)).alias("_done"),
+        F.coalesce(F.sum("_moments").over(_before()), F.lit(0)).alias("_done_moments"),
+        F.sum("_n").over(Window.partitionBy(KEY)).alias("_all"),
     )
-    placed = rows.join(carry, [*keys, STRETCH])
-    stretch = Window.partitionBy(*keys, STRETCH)
+    placed = rows.join(carry, [KEY, STRETCH])
+    stretch = Window.partitionBy(KEY, STRETCH)
     by_row, by_peer = stretch.orderBy(order, *tie), stretch.orderBy(order)
     number = F.col("_done") + F.row_number().over(by_row)
     rank = F.col("_done") + F.rank().over(by_peer)
@@ -70,18 +70,18 @@ def neighbours(
     """Adds lag, lead, first_value and last_value (of the whole key) of a column."""
     rows = with_stretch(df, keys, order, cut)
     place, own = F.struct(order, *tie), F.struct(value)
-    ends = rows.groupBy(*keys, STRETCH).agg(
+    ends = rows.groupBy(KEY, STRETCH).agg(
         F.min_by(own, place).alias("_first"), F.max_by(own, place).alias("_last")
     )
-    chain, whole = Window.partitionBy(*keys).orderBy(STRETCH), Window.partitionBy(*keys)
+    chain, whole = Window.partitionBy(KEY).orderBy(STRETCH), Window.partitionBy(KEY)
     carry = ends.select(
-        *keys, STRETCH,
+        KEY, STRETCH,
         F.lag("_last").over(chain).alias("_lag"), F.lead("_first").over(chain).alias("_lead"),
         F.min_by("_first", STRETCH).over(whole).alias("_head"),
         F.max_by("_last", STRETCH).over(whole).alias("_tail"),
     )
-    within = Window.partitionBy(*keys, STRETCH).orderBy(order, *tie)
-    return rows.join(carry, [*keys, STRETCH]).select(
+    within = Window.partitionBy(KEY, STRETCH).orderBy(order, *tie)
+    return rows.join(carry, [KEY, STRETCH]).select(
         *df.columns,
         F.coalesce(F.lag(own).over(within), "_lag").getField(value).alias("lag"),
         F.coalesce(F.lead(own).over(within), "_lead").getField(value).alias("lead"),

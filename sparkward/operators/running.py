@@ -3,11 +3,13 @@
 A plain `Window.partitionBy(key)` sends all rows of a key to one task, and a sliding
 frame re-adds every row of the frame for each row. Here
 
-* the rows of a crowded key are cut into stretches of the order column, one task
-  each, and what came before a stretch is carried in from totals aggregated before
-  the shuffle; other keys stay whole and carry nothing;
+* every key's rows are cut into stretches of the order column, each in a task of its
+  own, and what came before a stretch is carried in from totals aggregated before the
+  shuffle; a key has as many totals as it has stretches, however many rows;
 * a sliding sum is a running sum over rows that add at their time and rows that
   take away again one window later, so the work does not grow with the window.
+
+Rows with a null key are one key of their own.
 """
 
 from __future__ import annotations
@@ -18,27 +20,20 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The stretch a row belongs to, named by where it starts. Results that keep this
-# column stay partitioned by key and stretch, so a further pass needs no shuffle.
-STRETCH = "_stretch"
-# The one stretch of a key that is not crowded.
-WHOLE = -(1 << 62)
-_STEP, _CROWDED = "_step", "_crowded"
-_MOST_CROWDED = 100_000
+# The key of a row as one value that is never null, so that null keys join too, and the
+# stretch it belongs to, named by where it starts. Results that keep these columns stay
+# partitioned by them, so a further pass needs no shuffle.
+KEY, STRETCH = "_key", "_stretch"
+_STEP = "_step"
 HOUR_US = 3_600_000_000
 DAY_US = 24 * HOUR_US
 
 
 @dataclass(frozen=True)
 class Cut:
-    """Keys with more than `rows` rows are cut every `width` units of the order column.
-
-    What one task takes is then at most `rows` rows, or the rows a crowded key has
-    within `width`.
-    """
+    """Every key is cut every `width` units of the order column: what one task takes of it is what it has within that."""
 
     width: int = HOUR_US
-    rows: int = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -56,27 +51,12 @@ class Running:
 
 
 def stretch_of(moment: Column, width: int) -> Column:
-    """Where the stretch of a moment starts, if its key is crowded."""
-    start = moment - F.pmod(moment, F.lit(width))
-    return F.when(F.col(_CROWDED), start).otherwise(F.lit(WHOLE)).cast("bigint")
-
-
-def mark_crowded(df: DataFrame, keys: Sequence[str], cut: Cut) -> DataFrame:
-    """Adds whether the row's key is crowded.
-
-    The most crowded keys are broadcast, `_MOST_CROWDED` of them at most. A key that
-    does not make the list is taken whole, which changes no result; it has less than
-    one `_MOST_CROWDED`th of all rows. Counting reads the key columns alone.
-    """
-    counted = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > cut.rows)
-    listed = counted.orderBy(F.col("_n").desc(), *keys).limit(_MOST_CROWDED)
-    crowded = listed.select(*keys, F.lit(True).alias(_CROWDED))
-    return df.join(F.broadcast(crowded), list(keys), "left")
+    """Where the stretch of a moment starts."""
+    return (moment - F.pmod(moment, F.lit(width))).cast("bigint")
 
 
 def with_stretch(df: DataFrame, keys: Sequence[str], order: str, cut: Cut) -> DataFrame:
-    marked = mark_crowded(df, keys, cut)
-    return marked.select(*df.columns, stretch_of(F.col(order), cut.width).alias(STRETCH))
+    return df.withColumns({KEY: F.struct(*keys), STRETCH: stretch_of(F.col(order), cut.width)})
 
 
 def running(
@@ -91,21 +71,21 @@ def running(
     Rows that already carry `STRETCH` keep the stretch they have.
     """
     rows = df if STRETCH in df.columns else with_stretch(df, keys, order, cut or Cut())
-    totals = rows.filter(F.col(STRETCH) != WHOLE).groupBy(*keys, STRETCH).agg(
+    totals = rows.groupBy(KEY, STRETCH).agg(
         *[_fold(a.how)(a.column).alias(f"_t_{name}") for name, a in aggregates.items()]
     )
     carry = totals.select(
-        *keys,
+        KEY,
         STRETCH,
         *[
-            _fold(a.how)(f"_t_{name}").over(_others(keys, a.ahead)).alias(f"_c_{name}")
+            _fold(a.how)(f"_t_{name}").over(_others(a.ahead)).alias(f"_c_{name}")
             for name, a in aggregates.items()
         ],
     )
-    joined = rows.join(carry, [*keys, STRETCH], "left")
+    joined = rows.join(carry, [KEY, STRETCH], "left")
     added = []
     for name, a in aggregates.items():
-        own = _fold(a.how)(a.column).over(_within(keys, order, a))
+        own = _fold(a.how)(a.column).over(_within(order, a))
         carried = F.col(f"_c_{name}")
         if a.how == "sum":
             total = F.coalesce(carried, F.lit(0)) + F.coalesce(own, F.lit(0))
@@ -120,15 +100,15 @@ def _fold(how: str):
     return {"sum": F.sum, "max": F.max, "min": F.min}[how]
 
 
-def _others(keys: Sequence[str], ahead: bool):
+def _others(ahead: bool):
     by = F.col(STRETCH).desc() if ahead else F.col(STRETCH)
-    return Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    return Window.partitionBy(KEY).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _within(keys: Sequence[str], order: str, a: Running):
+def _within(order: str, a: Running):
     by = F.col(order).desc() if a.ahead else F.col(order)
     last = -1 if a.before else 0
-    frame = Window.partitionBy(*keys, STRETCH).orderBy(by)
+    frame = Window.partitionBy(KEY, STRETCH).orderBy(by)
     return frame.rangeBetween(Window.unboundedPreceding, last)
 
 
@@ -165,8 +145,9 @@ def sliding(
     payload = [c for c in df.columns if c not in keys]
     arrives = F.col("_width") == 0
     at = (F.col(us) + F.col("_width")).cast("bigint")
-    spread = mark_crowded(df, keys, cut).select("*", moments).select(
+    spread = df.select("*", moments).select(
         *keys,
+        F.struct(*keys).alias(KEY),
         *[F.when(arrives, F.col(f"`{c}`")).alias(c) for c in payload],
         stretch_of(at, cut.width).alias(STRETCH),
         (at * 2 + F.when(arrives, 1).otherwise(0)).alias(_STEP),
@@ -182,7 +163,7 @@ def sliding(
         name: Running(f"_m_{name}", "sum", before=s.before) for name, s in totals.items()
     }
     out = running(spread, keys, _STEP, wanted).filter("_arrives")
-    return out.select(*df.columns, *([STRETCH] if keep_stretch else []), *totals)
+    return out.select(*df.columns, *([KEY, STRETCH] if keep_stretch else []), *totals)
 
 
 def flag(condition: Column) -> Column:

@@ -18,7 +18,7 @@ from sparkward.session import written
 LIMITS = E.Limits(
     max_violations=5, violation_window_s=7 * 86_400, quarantine_s=86_400,
     max_queries=5, rate_window_s=86_400, max_compute_us=300_000_000, compute_window_s=86_400,
-    cut=Cut(HOUR_US // 12, rows=1000),
+    cut=Cut(HOUR_US),
 )
 KEYS = ["session_id"]
 W, Q, R = LIMITS.violation_us, LIMITS.quarantine_us, LIMITS.rate_us
@@ -102,9 +102,7 @@ def write_gate(spark, root):
 
 @query("rate_window", f"{_EV} SELECT event_id, session_id, us, count(*) OVER {_count_over(R)} AS n_queries FROM ev")
 def rate_window(spark, root):
-    """Cut finely enough that even small tables have crowded sessions."""
-    fine = E.Limits(**{**LIMITS.__dict__, "cut": Cut(HOUR_US // 12, rows=50)})
-    return E.rate_window(I.events(spark, root).select("event_id", "session_id", "us"), KEYS, fine)
+    return E.rate_window(I.events(spark, root).select("event_id", "session_id", "us"), KEYS, LIMITS)
 
 
 # The recurrence, one event of every session per step; `kept` holds the admitted times.

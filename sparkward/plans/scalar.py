@@ -218,7 +218,7 @@ _BY_TYPE = "PARTITION BY event_type ORDER BY us"
     FROM (SELECT * REPLACE (us // 60000000 AS us) FROM ev)"""))
 def fn_rank_skewed(spark, root):
     events = I.events(spark, root).select("event_id", "event_type", F.expr("us div 60000000").alias("us"))
-    return ranks(events, ["event_type"], "us", ["event_id"], Cut(5, 100)).drop("us")
+    return ranks(events, ["event_type"], "us", ["event_id"], Cut(5)).drop("us")
 
 
 @query("fn_offset_skewed", I.with_sql("ev", f"""
@@ -230,7 +230,7 @@ def fn_rank_skewed(spark, root):
     FROM (SELECT * REPLACE (us // 60000000 AS us) FROM ev)"""))
 def fn_offset_skewed(spark, root):
     events = I.events(spark, root).select("event_id", "event_type", F.expr("us div 60000000").alias("us"))
-    near = neighbours(events, ["event_type"], "us", ["event_id"], "event_id", Cut(5, 100))
+    near = neighbours(events, ["event_type"], "us", ["event_id"], "event_id", Cut(5))
     absent = F.lit(-1)
     return near.drop("us").withColumns({"lag": F.coalesce("lag", absent), "lead": F.coalesce("lead", absent)})
 

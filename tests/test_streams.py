@@ -11,7 +11,7 @@ from sparkward.operators.mutate import read_version, versions
 from sparkward.session import scratch_path
 from sparkward.streaming import streams as S
 
-LIMITS = E.Limits(max_violations=3, violation_window_s=60, quarantine_s=100, cut=Cut(600_000_000, 100))
+LIMITS = E.Limits(max_violations=3, violation_window_s=60, quarantine_s=100, cut=Cut(600_000_000))
 BASE = 1_700_000_000_000_000
 DELAY_S = 600
 
