@@ -53,19 +53,30 @@ def initcap(text: Column) -> Column:
     return F.array_join(words, "")
 
 
-# Date pattern letters, Postgres to Spark.
+# Date pattern letters, Postgres to Spark; the longer of two that fit comes first.
 _DATE_PARTS = (
-    ("YYYY", "yyyy"), ("MM", "MM"), ("DD", "dd"), ("HH24", "HH"),
-    ("MI", "mm"), ("SS", "ss"), ("Mon", "MMM"), ("US", "SSSSSS"),
-)
+    ("YYYY", "yyyy"), ("YY", "yy"), ("MM", "MM"), ("DDD", "DDD"), ("DD", "dd"), ("HH24", "HH"), ("HH12", "hh"),
+    ("HH", "hh"), ("MI", "mm"), ("SS", "ss"), ("MS", "SSS"), ("US", "SSSSSS"), ("AM", "a"), ("PM", "a"),
+    ("Mon", "MMM"), ("FMMonth", "MMMM"), ("Dy", "EEE"), ("FMDay", "EEEE"),
+)
 
 
 def date_pattern(postgres: str) -> str:
-    """A Postgres date pattern in Spark's letters."""
+    """A Postgres date pattern in Spark's letters; other letters are refused, text in double quotes stays."""
     out, rest = "", postgres
     while rest:
         hit = next(((p, s) for p, s in _DATE_PARTS if rest.startswith(p)), None)
-        out, rest = (out + hit[1], rest[len(hit[0]):]) if hit else (out + rest[0], rest[1:])
+        if hit:
+            out, rest = out + hit[1], rest[len(hit[0]):]
+        elif rest[0] == '"':
+            text, quote, rest = rest[1:].partition('"')
+            if not quote:
+                raise ValueError(f"the quote in '{postgres}' does not end")
+            out += "'" + text.replace("'", "''") + "'"
+        elif rest[0].isalpha():
+            raise ValueError(f"'{rest}' in the pattern '{postgres}' is not supported")
+        else:
+            out, rest = out + ("''" if rest[0] == "'" else rest[0]), rest[1:]
     return out
 
 
@@ -139,10 +150,24 @@ def day_of_week(when: Column) -> Column:
 
 
 def age(later: Column, earlier: Column) -> Column:
-    """Whole months and the days left over, as a struct."""
-    months = F.floor(F.months_between(later, earlier)).cast("int")
-    days = F.datediff(later, F.add_months(earlier, months))
-    return F.struct(months.alias("months"), days.alias("days"))
+    """Months, days and microseconds between two moments, as a struct; negative if they are the other way round.
+
+    Field by field: a day is borrowed for a time of day that is earlier, and the days of
+    the earlier moment's month for a day of the month that is.
+    """
+    low, high = (f(later.cast("timestamp_ntz"), earlier.cast("timestamp_ntz")) for f in (F.least, F.greatest))
+    of_day = lambda t: F.unix_micros(t.cast("timestamp")) - F.unix_micros(F.date_trunc("day", t).cast("timestamp"))
+    micros = of_day(high) - of_day(low)
+    day_borrowed = F.when(micros < 0, 1).otherwise(0)
+    days = F.dayofmonth(high) - F.dayofmonth(low) - day_borrowed
+    month_borrowed = F.when(days < 0, 1).otherwise(0)
+    months = 12 * (F.year(high) - F.year(low)) + F.month(high) - F.month(low) - month_borrowed
+    sign = F.when(later.cast("timestamp_ntz") < earlier.cast("timestamp_ntz"), -1).otherwise(1)
+    return F.struct(
+        (sign * months).cast("int").alias("months"),
+        (sign * (days + month_borrowed * F.dayofmonth(F.last_day(low)))).cast("int").alias("days"),
+        (sign * (micros + day_borrowed * F.lit(86_400_000_000))).cast("bigint").alias("micros"),
+    )
 
 
 def json_path_text(value: Column, *path: str) -> Column:

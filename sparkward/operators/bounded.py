@@ -15,6 +15,15 @@ MAX_BYTES = 512 * 1024
 SAMPLE_ROWS = 3
 
 
+# What a cut result says.
+def over_rows(max_rows: int) -> str:
+    return f"Result truncated: Reached maximum row limit ({max_rows})."
+
+
+def over_bytes(max_bytes: int) -> str:
+    return f"Result truncated: Exceeded maximum payload size ({max_bytes // 1024} KB)."
+
+
 def clamp(asked: object, most: int = MAX_ROWS) -> int:
     """The limit that holds: 1..most is kept, anything else becomes `most`."""
     try:
@@ -46,7 +55,7 @@ def row_cap(df: DataFrame, order: Sequence[Column], max_rows: int = MAX_ROWS) ->
     return numbered.filter(F.col("_rn") <= max_rows).select(
         *df.columns,
         cut.alias("truncated"),
-        F.when(cut, f"Result truncated: Reached maximum row limit ({max_rows}).")
+        F.when(cut, over_rows(max_rows))
         .otherwise("").alias("truncation_reason"),
     )
 
@@ -65,23 +74,24 @@ def byte_budget(
 ) -> DataFrame:
     """The longest prefix of a row-capped result whose JSON fits the budget.
 
-    Sizes are positive, so the running total passes the budget once and for good.
+    Sizes are positive, so the running total passes the budget once and for good. Every
+    row says whether one was left out, and for which cap the first of them was. If not
+    even the first row fits, no row is left to say so; `result_metrics` does.
     """
-    capped = df.orderBy(*order).limit(max_rows)
+    at_most = df.orderBy(*order).limit(max_rows + 1)
     so_far = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    sized = capped.withColumn("running_bytes", F.sum(row_bytes(df)).over(so_far))
-    whole = F.max("running_bytes").over(Window.partitionBy())
-    cut = F.col("_whole") > max_bytes
-    return (
-        sized.withColumn("_whole", whole)
-        .filter(F.col("running_bytes") <= max_bytes)
-        .select(
-            *df.columns,
-            "running_bytes",
-            cut.alias("truncated"),
-            F.when(cut, f"Result truncated: Exceeded maximum payload size ({max_bytes // 1024} KB).")
-            .otherwise("").alias("truncation_reason"),
-        )
+    sized = at_most.withColumns(
+        {"running_bytes": F.sum(row_bytes(df)).over(so_far), "_rn": F.row_number().over(Window.orderBy(*order))}
+    )
+    fits = (F.col("_rn") <= max_rows) & (F.col("running_bytes") <= max_bytes)
+    everything = Window.partitionBy()
+    counted = sized.withColumns({"_fits": F.count_if(fits).over(everything), "_seen": F.count("*").over(everything)})
+    cut = F.col("_seen") > F.col("_fits")
+    reason = (
+        F.when(~cut, "").when(F.col("_fits") == max_rows, over_rows(max_rows)).otherwise(over_bytes(max_bytes))
+    )
+    return counted.filter(fits).select(
+        *df.columns, "running_bytes", cut.alias("truncated"), reason.alias("truncation_reason")
     )
 
 
@@ -107,8 +117,8 @@ def result_metrics(
     reason = (
         F.when(~cut, "")
         .when(F.col("row_count") == max_rows,
-              f"Result truncated: Reached maximum row limit ({max_rows}).")
-        .otherwise(f"Result truncated: Exceeded maximum payload size ({max_bytes // 1024} KB).")
+              over_rows(max_rows))
+        .otherwise(over_bytes(max_bytes))
     )
     return stats.select(
         "row_count", "payload_bytes", cut.alias("truncated"), reason.alias("truncation_reason")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -41,6 +42,19 @@ class Mutation:
         """True where the predicate is TRUE; UNKNOWN does not count."""
         return F.coalesce(self.where, F.lit(False))
 
+    def sql(self, table: str) -> str:
+        """The statement, as the ledger keeps it."""
+        if self.kind == INSERT:
+            return f"INSERT INTO {table} ({', '.join(self.rows.columns)})"
+        where = f" WHERE {_text(self.where)}"
+        if self.kind == DELETE:
+            return f"DELETE FROM {table}{where}"
+        return f"UPDATE {table} SET {', '.join(f'{c} = {_text(v)}' for c, v in self.values.items())}{where}"
+
+
+def _text(column: Column) -> str:
+    return column._jc.toString()
+
 
 def transformed(base: DataFrame, change: Mutation) -> DataFrame:
     """The table after the change."""
@@ -87,18 +101,21 @@ def preview(base: DataFrame, change: Mutation) -> DataFrame:
 
 
 def plan_lines(df: DataFrame) -> list[str]:
-    """The plan a reviewer sees."""
-    return df._jdf.queryExecution().simpleString().splitlines()
-
-
-def propose(
-    base: DataFrame, change: Mutation, token: str, us: int, target_tables: list[str], note: str = ""
-) -> DataFrame:
-    """One ledger row for the change."""
-    row = (
-        token, us, change.kind, sorted({t.lower() for t in target_tables}), note,
-        plan_lines(transformed(base, change)), AWAITING,
-    )
+    """The whole plan a reviewer sees, however many columns it has."""
+    conf, name = df.sparkSession.conf, "spark.sql.debug.maxToStringFields"
+    before = conf.get(name)
+    conf.set(name, str(1 << 30))
+    try:
+        return df._jdf.queryExecution().simpleString().splitlines()
+    finally:
+        conf.set(name, before)
+
+
+def propose(base: DataFrame, change: Mutation, token: str, us: int, target_tables: list[str]) -> DataFrame:
+    """One ledger row for the change: its statement, and the plan of what applying it writes."""
+    targets = sorted({t.lower() for t in target_tables})
+    plan = plan_lines(change.rows if change.kind == INSERT else transformed(base, change))
+    row = (token, us, change.kind, targets, change.sql(targets[0]), plan, AWAITING)
     return base.sparkSession.createDataFrame([row], PROPOSAL_SCHEMA)
 
 
@@ -140,42 +157,99 @@ def mutation_lifecycle(
     )
 
 
-def versions(spark: SparkSession, root: str, committed: bool = True) -> list[int]:
-    """Versions under `root`, in order; with `committed`, those whose write finished."""
+def _folders(spark: SparkSession, root: str) -> dict[int, tuple[str, bool]]:
+    """Version to its folder and whether its write finished. `v3` holds the whole table, `v4a` only rows added to v3."""
     path = spark._jvm.org.apache.hadoop.fs.Path
     folder = path(root)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(folder):
-        return []
+        return {}
     names = [s.getPath().getName() for s in fs.listStatus(folder)]
-    return sorted(
-        int(n[1:]) for n in names
-        if n.startswith("v") and n[1:].isdigit()
-        and (not committed or fs.exists(path(f"{root}/{n}/_SUCCESS")))
-    )
+    found = {int(m[1]): n for n in names if (m := re.fullmatch(r"v(\d+)a?", n))}
+    return {n: (f"{root}/{name}", fs.exists(path(f"{root}/{name}/_SUCCESS"))) for n, name in sorted(found.items())}
+
+
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """Versions under `root` whose write finished, in order."""
+    return [n for n, (_, done) in _folders(spark, root).items() if done]
 
 
 def read_version(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
     """The table at a version; the newest committed one by default."""
-    known = versions(spark, root)
-    if not known:
+    done = {n: folder for n, (folder, done) in _folders(spark, root).items() if done}
+    if not done:
         raise FileNotFoundError(f"no committed version under {root}")
-    return spark.read.parquet(f"{root}/v{known[-1] if version is None else version}")
+    at = max(done) if version is None else version
+    parts = [done[at]]
+    while parts[-1].endswith("a"):
+        at -= 1
+        parts.append(done[at])
+    return spark.read.parquet(*reversed(parts))
 
 
-def write_version(df: DataFrame, root: str) -> int:
-    """Commit the next version beside the others.
+def write_version(df: DataFrame, root: str, base: int = 0, only_added: bool = False) -> int:
+    """Commit version base + 1 beside the others; the one being read is never overwritten.
 
-    The version being read is never overwritten and readers move on when the commit
-    marker appears. Of two writers of one version the second fails; what a writer
-    that died left behind is stepped over.
+    Of two writers that started from one base the second fails, and so does one that
+    meets what a dead writer left: `clear_abandoned` removes that.
     """
-    tried = versions(df.sparkSession, root, committed=False)
-    number = tried[-1] + 1 if tried else 1
-    df.write.mode("errorifexists").parquet(f"{root}/v{number}")
-    return number
+    known = _folders(df.sparkSession, root)
+    if base + 1 in known:
+        raise FileExistsError(f"version {base + 1} under {root} exists already")
+    df.write.mode("errorifexists").parquet(f"{root}/v{base + 1}{'a' if only_added else ''}")
+    return base + 1
+
+
+def clear_abandoned(spark: SparkSession, root: str) -> list[int]:
+    """Remove versions whose write never finished; only while no writer is at work."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    gone = []
+    for n, (folder, done) in _folders(spark, root).items():
+        if not done:
+            path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).delete(path(folder), True)
+            gone.append(n)
+    return gone
 
 
 def apply(spark: SparkSession, root: str, change: Mutation) -> int:
-    """Commit the table after the change as a new version."""
-    return write_version(transformed(read_version(spark, root), change), root)
+    """Commit the table after the change as the next version. An INSERT writes only its rows.
+
+    UPDATE and DELETE write the table anew: plain Parquet has no change in place.
+    """
+    base = versions(spark, root)[-1]
+    before = read_version(spark, root, base)
+    if change.kind == INSERT:
+        return write_version(change.rows.select(*before.columns), root, base, only_added=True)
+    return write_version(transformed(before, change), root, base)
+
+
+APPLIED_SCHEMA = "proposal_token string, us bigint, version int"
+
+
+def apply_proposal(
+    spark: SparkSession, root: str, ledger: str, used: str, token: str, change: Mutation, now_us: int, can_approve: bool
+) -> int:
+    """Apply a recorded proposal once, within its lifetime, by someone who may approve.
+
+    `ledger` holds what `propose` gave, `used` one row for each applied proposal. The
+    row is written after the commit, so a run that fails leaves the proposal usable.
+    """
+    if not can_approve:
+        raise PermissionError("this role may not approve changes")
+    pending = spark.read.schema(PROPOSAL_SCHEMA).parquet(ledger).filter(F.col("proposal_token") == token)
+    spent = spark.createDataFrame([], APPLIED_SCHEMA) if not _exists(spark, used) else spark.read.schema(APPLIED_SCHEMA).parquet(used)
+    row = proposal_status(pending, spent.filter(F.col("proposal_token") == token), now_us).first()
+    if row is None:
+        raise LookupError(f"no proposal '{token}'")
+    if row["state"] != "PENDING":
+        raise PermissionError(f"proposal '{token}' is {row['state'].lower()}")
+    if row["statement_type"] != change.kind or row["normalized_sql"] != change.sql(row["target_tables"][0]):
+        raise PermissionError(f"the change is not the one proposed as '{token}'")
+    version = apply(spark, root, change)
+    spark.createDataFrame([(token, now_us, version)], APPLIED_SCHEMA).write.mode("append").parquet(used)
+    return version
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)

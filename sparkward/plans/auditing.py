@@ -65,7 +65,7 @@ def audit_rejection_rollup(spark, root):
 
 @query("audit_usage", I.with_sql("audit", """
     SELECT us // 86400000000 * 86400000000 AS bucket_us, session_id, count(*) AS n_queries,
-           CAST(sum(row_count) AS BIGINT) AS n_rows, CAST(sum(CAST(exec_ms AS DECIMAL(18,2))) AS DOUBLE) AS exec_ms_sum,
+           CAST(sum(row_count) AS BIGINT) AS n_rows, CAST(sum(CAST(exec_ms AS DECIMAL(28,6))) AS DOUBLE) AS exec_ms_sum,
            max(exec_ms) AS exec_ms_max, quantile_disc(exec_ms, 0.5) AS exec_ms_p50
     FROM audit WHERE type = 'QUERY_ACCEPTED' GROUP BY 1, 2"""))
 def audit_usage(spark, root):

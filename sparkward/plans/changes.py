@@ -137,20 +137,23 @@ def mutation_allowlist(spark, root):
         FROM proposals) GROUP BY 1, 2"""))
 def proposal_ledger(spark, root):
     ledger = scratch_path(spark, "ledger")
-    orders = _orders(spark, root)
-    plan = F.array(*[F.lit(line) for line in U.plan_lines(U.transformed(orders, _update()))])
-    pending = I.proposals(spark, root).select(
-        "proposal_token", "us", "statement_type",
-        F.array_sort(F.transform("target_tables", F.lower)).alias("target_tables"),
-        F.lit("UPDATE orders").alias("normalized_sql"), plan.alias("query_plan"),
-        F.lit(U.AWAITING).alias("status"),
+    orders, tokens = _orders(spark, root), I.proposals(spark, root)
+    named = tokens.select(
+        "proposal_token", "us", "statement_type", F.array_sort(F.transform("target_tables", F.lower)).alias("target_tables")
     )
-    for kind in ("INSERT", "UPDATE", "DELETE"):
-        U.record(pending.filter(F.col("statement_type") == kind), ledger)
+    for change in (_update(), _delete(), _insert(spark, root)):
+        text = U.propose(orders, change, "", 0, ["orders"]).select("normalized_sql", "query_plan", "status").first()
+        pending = named.filter(F.col("statement_type") == change.kind).select(
+            "*", F.lit(text["normalized_sql"]).alias("normalized_sql"),
+            F.array(*map(F.lit, text["query_plan"])).alias("query_plan"), F.lit(text["status"]).alias("status"),
+        )
+        U.record(pending, ledger)
     return spark.read.schema(pending.schema).parquet(ledger).groupBy("statement_type", "status").agg(
         F.count("*").alias("n"), F.sum(F.size("target_tables")).alias("n_targets"),
         F.sum(F.expr("us div 1000000")).alias("s_sum"),
-        F.count_if(F.size("query_plan") > 0).alias("n_plans"),
+        F.count_if(
+            F.col("normalized_sql").startswith(F.col("statement_type")) & (F.size("query_plan") > 0)
+        ).alias("n_plans"),
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkward.functions.masking import mask_frame
-from sparkward.operators.bounded import MAX_BYTES, MAX_ROWS, clamp, row_bytes
+from sparkward.operators.bounded import MAX_BYTES, MAX_ROWS, clamp, over_bytes, row_bytes
 from sparkward.operators.policy import row_filter
 from sparkward.plans.checked import inspect, limit_at
 from sparkward.session import written
@@ -124,7 +124,7 @@ def governed_result(
     fits = sized.withColumn("_upto", upto)
     cut = F.coalesce(F.max("_upto") > max_bytes, F.lit(False))
     reason = F.when(
-        cut, f"Result truncated: Exceeded maximum payload size ({max_bytes // 1024} KB)."
+        cut, over_bytes(max_bytes)
     ).otherwise("")
     metrics = fits.agg(
         F.count_if(F.col("_upto") <= max_bytes).alias("row_count"),

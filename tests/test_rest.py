@@ -130,20 +130,66 @@ def test_versions(spark):
     assert U.write_version(base, place) == 1
     assert U.apply(spark, place, U.Mutation(U.DELETE, F.col("id") == 1)) == 2
     assert (U.read_version(spark, place, 1).count(), U.read_version(spark, place).count()) == (2, 1)
-    # A writer died after writing some of version 3: readers do not see it, the next steps over it.
+    # A writer died after writing some of version 3: readers do not see it, the next writer is told.
     base.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{place}/v3")
     assert U.versions(spark, place) == [1, 2] and U.read_version(spark, place).count() == 1
-    assert U.apply(spark, place, U.Mutation(U.INSERT, rows=base)) == 4
-    assert U.read_version(spark, place).count() == 3
+    with pytest.raises(FileExistsError):
+        U.apply(spark, place, U.Mutation(U.INSERT, rows=base))
+    assert U.clear_abandoned(spark, place) == [3]
+    assert U.apply(spark, place, U.Mutation(U.INSERT, rows=base)) == 3
+    assert U.apply(spark, place, U.Mutation(U.INSERT, rows=base.limit(1))) == 4
+    assert [U.read_version(spark, place, n).count() for n in (2, 3, 4)] == [1, 3, 4]
+    assert spark.read.parquet(f"{place}/v4a").count() == 1  # an insert writes only its rows
+    assert U.apply(spark, place, U.Mutation(U.DELETE, F.lit(True))) == 5
+    assert U.read_version(spark, place).count() == 0
+
+
+def test_of_two_writers_one_fails(spark):
+    place = scratch_path(spark, "writers-test")
+    base = spark.createDataFrame([(1, "a")], "id int, v string")
+    U.write_version(base, place)
+    # both read version 1 before either writes
+    assert U.write_version(base.union(base), place, 1) == 2
+    for added in (True, False):
+        with pytest.raises(FileExistsError):
+            U.write_version(base, place, 1, only_added=added)
+    assert U.read_version(spark, place).count() == 2
     with pytest.raises(FileNotFoundError):
         U.read_version(spark, place + "-none")
 
 
+def test_a_proposal_is_applied_once(spark):
+    place, ledger, used = (scratch_path(spark, f"proposal-{x}") for x in ("table", "ledger", "used"))
+    base = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    U.write_version(base, place)
+    change, other = U.Mutation(U.DELETE, F.col("id") == 1), U.Mutation(U.DELETE, F.col("id") == 2)
+    for token, us in (("young", 10_000_000), ("old", 0)):
+        U.record(U.propose(base, change, token, us, ["t"]), ledger)
+    now = 301_000_000
+
+    def go(token, what=change, approve=True):
+        return U.apply_proposal(spark, place, ledger, used, token, what, now, approve)
+
+    for refused in (lambda: go("young", approve=False), lambda: go("old"), lambda: go("young", other)):
+        with pytest.raises(PermissionError):
+            refused()
+    with pytest.raises(LookupError):
+        go("none")
+    U.write_version(base, place, 5)  # no base for it: the newest version is 6 now
+    assert go("young") == 7
+    assert [r["id"] for r in U.read_version(spark, place).collect()] == [2]
+    with pytest.raises(PermissionError):
+        go("young")
+
+
 def test_ledger(spark):
     base = spark.createDataFrame([(1, "a")], "id int, v string")
     row = U.propose(base, U.Mutation(U.DELETE, F.lit(True)), "t1", 1_000_000, ["T", "t", "s"]).first()
     assert (row["statement_type"], row["target_tables"], row["status"]) == ("DELETE", ["s", "t"], "AWAITING_OPERATOR_APPROVAL")
-    assert row["query_plan"]
+    assert row["query_plan"] and row["normalized_sql"] == "DELETE FROM s WHERE true"
+    wide = spark.range(1).select(*[F.lit(i).alias(f"c{i}") for i in range(60)])
+    plan = "\n".join(U.plan_lines(wide))
+    assert "c59" in plan and "more fields" not in plan
     pending = spark.createDataFrame([("a", 0), ("b", 0), ("c", 200_000_000)], "proposal_token string, us bigint")
     used = spark.createDataFrame([("a",), ("a",)], "proposal_token string")
     state = U.proposal_status(pending, used, 300_000_001)
@@ -200,7 +246,19 @@ def test_compat(spark):
     assert one(spark, X.encode(F.lit("ab").cast("binary"), "hex"), X.json_path_text(F.lit('{"a":{"b":7}}'), "a", "b")) == ["6162", "7"]
     assert X.date_pattern("YYYY-MM-DD HH24:MI:SS") == "yyyy-MM-dd HH:mm:ss"
     age = one(spark, X.age(F.lit("2024-03-15").cast("date"), F.lit("2023-12-31").cast("date")))[0]
-    assert (age["months"], age["days"]) == (2, 15)
+    assert (age["months"], age["days"], age["micros"]) == (2, 15, 0)
+    for later, earlier, wanted in (
+        ("2001-04-10", "1957-06-13", (43 * 12 + 9, 27, 0)), ("2021-02-28", "2020-02-29", (11, 28, 0)),
+        ("2024-03-01 06:00:00", "2024-02-29 18:00:00", (0, 0, 12 * 3_600_000_000)), ("2024-03-31", "2024-03-31", (0, 0, 0)),
+        ("1957-06-13", "2001-04-10", (-43 * 12 - 9, -27, 0)),
+    ):
+        got = one(spark, X.age(F.lit(later).cast("timestamp"), F.lit(earlier).cast("timestamp")))[0]
+        assert tuple(got) == wanted
+    moment = F.lit("2024-01-07 15:04:05").cast("timestamp")
+    assert one(spark, X.to_char(moment, "HH:MI AM"), X.to_char(moment, 'FMMonth YYYY, "at" HH24')) == ["03:04 PM", "January 2024, at 15"]
+    for bad in ("Month YYYY", "Q", "YYYY W", '"open'):
+        with pytest.raises(ValueError):
+            X.date_pattern(bad)
     assert one(spark, X.initcap(F.lit("foo-bar  bAZ_9x éa")), X.int_div(F.lit(-7), F.lit(2))) == ["Foo-Bar  Baz_9x Éa", -3]
     assert one(spark, X.round_double(F.lit(2.5)), X.round_double(F.lit(3.5)), X.sqrt(F.lit(4.0))) == [2.0, 4.0, 2.0]
     later = F.date_format(F.lit("2024-01-31").cast("timestamp") + X.make_interval(months=1, hours=3), "yyyy-MM-dd HH")
@@ -222,3 +280,24 @@ def test_range_join_against_all_pairs(spark):
     all_points, all_ranges = points.collect(), ranges.collect()
     want = {(p["p"], r["r"]) for p in all_points for r in all_ranges if r["lo"] <= p["x"] < r["hi"]}
     assert got == want and want
+
+
+def test_byte_budget_says_which_cap(spark):
+    from sparkward.operators import bounded as B
+
+    df = spark.range(500).select("id", F.lit("x" * 10).alias("v"))
+    by_rows = B.byte_budget(df, [F.col("id")]).collect()
+    assert len(by_rows) == 100 and all(r["truncated"] and r["truncation_reason"] == B.over_rows(100) for r in by_rows)
+    by_bytes = B.byte_budget(df, [F.col("id")], max_bytes=1024).collect()
+    assert 0 < len(by_bytes) < 100 and all(r["truncation_reason"] == B.over_bytes(1024) for r in by_bytes)
+    whole = B.byte_budget(df.filter("id < 9"), [F.col("id")]).collect()
+    assert len(whole) == 9 and not any(r["truncated"] or r["truncation_reason"] for r in whole)
+
+
+def test_usage_median_is_exact(spark):
+    from sparkward.operators import audit as L
+
+    rows = [("QUERY_ACCEPTED", "s", 1, float(i * i % 30_011), 0) for i in range(25_001)]
+    log = spark.createDataFrame(rows, "type string, session_id string, row_count long, exec_ms double, us long")
+    got = L.usage(log.withColumn("at", F.timestamp_micros("us"))).first()
+    assert got["exec_ms_p50"] == sorted(r[3] for r in rows)[12_500]
