@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Collection, Mapping, Sequence
 from functools import reduce
 
@@ -34,21 +35,24 @@ def catalog_estimate(spark: SparkSession, table: str) -> int | None:
 def list_tables(
     tables: Mapping[str, DataFrame], descriptions: Mapping[str, str], grants: DataFrame
 ) -> DataFrame:
-    """The tables someone may read: description, readers, rows."""
+    """The given tables: description (empty where none is told), how many roles may read it, rows."""
     spark = grants.sparkSession
     told = spark.createDataFrame(list(descriptions.items()), "table_name string, description string")
     readers = (
         grants.filter("privilege = 'read'").groupBy("table_name")
         .agg(F.count_distinct("role").alias("n_readers"))
     )
-    return told.join(readers, "table_name").join(table_rows(tables), "table_name")
+    listed = table_rows(tables).join(readers, "table_name", "left").join(told, "table_name", "left")
+    return listed.select(
+        "table_name", F.coalesce("description", F.lit("")).alias("description"),
+        F.coalesce("n_readers", F.lit(0)).alias("n_readers"), "n_rows",
+    )
 
 
-def describe_table(df: DataFrame, table: str, key_columns: Sequence[str] = ()) -> DataFrame:
+def describe_table(df: DataFrame, table: str) -> DataFrame:
     """One row per column: position, name, type, notnull, default and key flag.
 
-    Parquet declares neither keys nor NOT NULL, so both are measured, and only for
-    `key_columns`: no other column is read.
+    Parquet declares neither keys nor NOT NULL, so both are measured, for every column.
     """
     declared = df.sparkSession.createDataFrame(
         [
@@ -58,11 +62,7 @@ def describe_table(df: DataFrame, table: str, key_columns: Sequence[str] = ()) -
         "table_name string, cid int, name string, type string, declared boolean, "
         "default_value string",
     )
-    if not key_columns:
-        return declared.withColumnRenamed("declared", "notnull").withColumn(
-            "is_primary_key", F.lit(False)
-        )
-    measured = key_profile(df, key_columns, table).select(
+    measured = key_profile(df, df.columns, table).select(
         F.col("column_name").alias("name"), (F.col("n_nulls") == 0).alias("full"), "is_key"
     )
     return declared.join(measured, "name", "left").select(
@@ -96,6 +96,28 @@ def _one_key(df: DataFrame, column: str, table: str) -> DataFrame:
     )
 
 
+def candidate_references(
+    columns: Mapping[str, Sequence[tuple[str, str]]],
+) -> list[tuple[str, str, str, str]]:
+    """References worth checking, from names and types alone.
+
+    A column may refer to one of another table if both have the same type and the same
+    name, less a prefix of one or two letters, and that name ends in `key` or `id`.
+    """
+    named = [
+        (t, c, kind, base)
+        for t, cs in columns.items()
+        for c, kind in cs
+        if (base := re.sub(r"^[a-z]{1,2}_", "", c)).endswith(("key", "id"))
+    ]
+    return [
+        (t, c, u, d)
+        for t, c, kind, base in named
+        for u, d, other, name in named
+        if t != u and (kind, base) == (other, name)
+    ]
+
+
 def fk_profile(
     tables: Mapping[str, DataFrame],
     candidates: Sequence[tuple[str, str, str, str]],

@@ -154,9 +154,11 @@ def _profile_sql(table: str, columns: tuple[str, ...]) -> str:
 
 _PROFILED = {
     "customer_pii": ("c_name", "c_mktsegment", "email", "phone"),
-    "documents": ("text", "lang", "source"),
-    "orders": ("o_orderstatus", "o_orderpriority"),
-    "conversations": ("role", "text"),
+    **{
+        t: tuple(c for c, kind in columns if kind == "string")
+        for t, columns in I.COLUMNS.items()
+        if t != "customer" and any(kind == "string" for _, kind in columns)
+    },
 }
 
 

@@ -109,11 +109,11 @@ DESCRIPTIONS = {
 
 
 @query("list_tables", I.with_sql("policy", " UNION ALL ".join(
-    f"""SELECT '{t}' AS table_name, '{d}' AS description,
+    f"""SELECT '{t}' AS table_name, '{DESCRIPTIONS.get(t, "")}' AS description,
         (SELECT count(DISTINCT role) FROM policy, unnest(tables_read) u(x) WHERE lower(x) = '{t}') AS n_readers,
-        (SELECT count(*) FROM {t}) AS n_rows""" for t, d in DESCRIPTIONS.items())))
+        (SELECT count(*) FROM {t}) AS n_rows""" for t in I.OPEN_TABLES)))
 def list_tables(spark, root):
-    tables = {t: I.table(spark, root, t) for t in DESCRIPTIONS}
+    tables = {t: I.table(spark, root, t) for t in I.OPEN_TABLES}
     return D.list_tables(tables, DESCRIPTIONS, P.grants_table(I.policy(spark, root)))
 
 
@@ -123,59 +123,32 @@ def table_row_estimates(spark, root):
     return D.table_rows({t: I.table(spark, root, t) for t in I.OPEN_TABLES})
 
 
-_SCHEMAS = {
-    "orders": (("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"),
-               ("o_totalprice", "double"), ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string")),
-    "nation": (("n_nationkey", "int"), ("n_name", "string"), ("n_regionkey", "int")),
-}
-_KEYS = {"orders": ("o_orderkey", "o_custkey"), "nation": ("n_nationkey", "n_name", "n_regionkey")}
-
-
 def _describe_sql(table: str) -> str:
     return " UNION ALL ".join(
-        f"SELECT '{table}' AS table_name, {i} AS cid, '{c}' AS name, '{kind}' AS type, "
-        + (f"count(*) = count({c})" if c in _KEYS[table] else "count(*) < 0")
-        + " AS notnull, '' AS default_value, "
-        + (f"count(*) = count({c}) AND count(DISTINCT {c}) = count(*)" if c in _KEYS[table] else "count(*) < 0")
-        + f" AS is_primary_key FROM {table}"
-        for i, (c, kind) in enumerate(_SCHEMAS[table], 1)
+        f"SELECT '{table}' AS table_name, {i} AS cid, '{c}' AS name, '{kind}' AS type, count(*) = count({c}) AS notnull, "
+        f"'' AS default_value, count(*) = count({c}) AND count(DISTINCT {c}) = count(*) AS is_primary_key FROM {table}"
+        for i, (c, kind) in enumerate(I.COLUMNS[table], 1)
     )
 
 
-@query("describe_table", " UNION ALL ".join(map(_describe_sql, _SCHEMAS)))
+@query("describe_table", " UNION ALL ".join(map(_describe_sql, I.COLUMNS)))
 def describe_table(spark, root):
-    parts = [D.describe_table(I.scan_table(spark, root, f" {t.upper()} ", I.OPEN_TABLES), t, _KEYS[t])
-             for t in _SCHEMAS]
+    parts = [D.describe_table(I.scan_table(spark, root, f" {t.upper()} ", I.OPEN_TABLES), t) for t in I.OPEN_TABLES]
     return reduce(DataFrame.unionByName, parts)
 
 
-_CANDIDATES = {
-    "orders": ("o_orderkey", "o_custkey"), "lineitem": ("l_orderkey", "l_partkey"),
-    "customer": ("c_custkey", "c_name"), "documents": ("doc_id", "source"),
-    "part": ("p_partkey", "p_name"), "events": ("event_id", "user_id"),
-}
-
-
 @query("key_profile", " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_nulls, "
     f"count(DISTINCT {c}) AS n_distinct, count(*) = count({c}) AND count(DISTINCT {c}) = count(*) AS is_key FROM {t}"
-    for t, cs in _CANDIDATES.items() for c in cs))
+    for t, cs in I.COLUMNS.items() for c, _ in cs))
 def key_profile(spark, root):
-    parts = [D.key_profile(I.table(spark, root, t), cs, t) for t, cs in _CANDIDATES.items()]
-    return reduce(DataFrame.unionByName, parts)
+    tables = {t: I.table(spark, root, t) for t in I.OPEN_TABLES}
+    return reduce(DataFrame.unionByName, [D.key_profile(df, df.columns, t) for t, df in tables.items()])
 
 
-_REFERENCES = (
-    ("orders", "o_custkey", "customer", "c_custkey"),
-    ("lineitem", "l_orderkey", "orders", "o_orderkey"),
-    ("lineitem", "l_partkey", "part", "p_partkey"),
-    ("lineitem", "l_suppkey", "supplier", "s_suppkey"),
-    ("customer", "c_nationkey", "nation", "n_nationkey"),
-    ("nation", "n_regionkey", "region", "r_regionkey"),
-    ("labels", "doc_id", "documents", "doc_id"),
-    ("events", "user_id", "customer", "c_custkey"),
-    ("documents", "doc_id", "labels", "doc_id"),
-)
+# Named unlike what it refers to, so no rule finds it.
+_KNOWN = (("events", "user_id", "customer", "c_custkey"),)
+_REFERENCES = (*D.candidate_references(I.COLUMNS), *_KNOWN)
 
 
 @query("fk_profile", " UNION ALL ".join(
@@ -184,5 +157,6 @@ _REFERENCES = (
     f"(SELECT {b} AS v FROM {a} WHERE {b} IS NOT NULL EXCEPT SELECT {d} FROM {c})"
     for a, b, c, d in _REFERENCES if c not in I.RESTRICTED))
 def fk_profile(spark, root):
-    names = {n for a, _, c, _ in _REFERENCES for n in (a, c)}
-    return D.fk_profile({n: I.table(spark, root, n) for n in names}, _REFERENCES, I.OPEN_TABLES)
+    tables = {t: I.table(spark, root, t) for t in I.OPEN_TABLES}
+    found = D.candidate_references({t: [(f.name, f.dataType.simpleString()) for f in df.schema] for t, df in tables.items()})
+    return D.fk_profile(tables, [*found, *_KNOWN], I.OPEN_TABLES)

@@ -90,7 +90,7 @@ def test_discovery(spark, tmp_path):
     keys = {r["column_name"]: r for r in D.key_profile(t, ["id", "name", "ref"], "t").collect()}
     assert [keys[c]["is_key"] for c in ("id", "name", "ref")] == [True, False, False]
     assert (keys["name"]["n_nulls"], keys["name"]["n_distinct"]) == (1, 1)
-    cols = D.describe_table(t, "t", ["id"]).orderBy("cid").collect()
+    cols = D.describe_table(t, "t").orderBy("cid").collect()
     assert [(r["name"], r["type"], r["notnull"], r["is_primary_key"]) for r in cols] == [("id", "int", True, True), ("name", "string", False, False), ("ref", "int", False, False)]
     parent = spark.createDataFrame([(5,), (6,)], "k int")
     refs = D.fk_profile({"t": t, "p": parent, "hidden": parent}, [("t", "ref", "p", "k"), ("t", "id", "p", "k"), ("t", "ref", "hidden", "k")], {"p"})
