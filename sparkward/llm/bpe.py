@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 
 from sparkward.llm.frames import ids_and_texts, ids_schema, map_batches
 
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 #: Tokens decoded at a time, but for a single text.
 DECODED = 1 << 24
 _END = "\0"
@@ -72,7 +72,7 @@ class Tokenizer:
             made.setdefault(ab, (rank, a, b))
         self._right: dict[int, list] = {}
         self._left: dict[int, list] = {}
-        self._apart: dict[int, bool] = {}
+        self._apart = Recent(lambda pair: self._meet(pair >> 20, pair & 0xFFFFF), 8 * REMEMBERED)
         self.automaton = ahocorasick.Automaton()
         sound: set[int] = set()
         by_rank = sorted((made[i][0] if i in made else -1, i, t) for t, i in self.vocabulary.items())
@@ -90,7 +90,7 @@ class Tokenizer:
         self._width = [0] * len(self.strings)
         for length, token in self.automaton.values():
             self._width[token] = length
-        self._pieces: dict[str, tuple[int, ...]] = {}
+        self._pieces = Recent(self.encode_piece)
 
     def _meet(self, a: int, b: int, inside: bool = False) -> bool:
         """Whether no parts of neighbours a and b are merged across their border; `inside`: but for a and b as wholes."""
@@ -111,28 +111,19 @@ class Tokenizer:
             else:
                 j += 1
 
-    def encode_piece(self, symbols: str) -> tuple[int, ...]:
-        """Ids of one word in the byte alphabet, by its prefixes."""
-        word = symbols + _END
-        last = [-1] * (len(word) + 1)
+    def encode_piece(self, piece: str) -> tuple[int, ...]:
+        """Ids of one piece, by its prefixes."""
+        word = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.bytes) + _END
+        last = [-1] * len(word) + [-1]
         apart = self._apart
         for end, (length, token) in self.automaton.iter(word):
-            end += 1
-            if last[end] < 0:
-                before = end - length
-                if before:
-                    prev = last[before]
-                    if prev < 0:
+            # last[i + 1] is the last token of the prefix that ends with symbol i
+            if last[end + 1] < 0:
+                if length <= end:
+                    prev = last[end + 1 - length]
+                    if prev < 0 or not apart[prev << 20 | token]:
                         continue
-                    key = prev << 20 | token
-                    ok = apart.get(key)
-                    if ok is None:
-                        if len(apart) > 8 * REMEMBERED:
-                            apart.clear()
-                        ok = apart[key] = self._meet(prev, token)
-                    if not ok:
-                        continue
-                last[end] = token
+                last[end + 1] = token
         ids, at = [], len(word)
         width = self._width
         while at:
@@ -142,6 +133,8 @@ class Tokenizer:
 
     def encode_word(self, word: str) -> tuple[int, ...]:
         """Ids of a text without ASCII white space."""
+        if word.isalpha() and word.isascii():
+            return self._pieces[word.lower()]
         if self.split_special and (hit := self.split_special.search(word)):
             before, after = word[: hit.start()], word[hit.end() :]
             return (*self.encode_word(before), self.special[hit.group()], *self.encode_word(after))
@@ -149,13 +142,7 @@ class Tokenizer:
             word = unicodedata.normalize("NFC", word).replace("Σ", "σ")
         ids: tuple[int, ...] = ()
         for piece in self.pieces.findall(word.lower()):
-            known = self._pieces.get(piece)
-            if known is None:
-                if len(self._pieces) > REMEMBERED:
-                    self._pieces.clear()
-                symbols = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.bytes)
-                known = self._pieces[piece] = self.encode_piece(symbols)
-            ids += known
+            ids += self._pieces[piece]
         return ids
 
     def decode(self, ids: pa.ListArray) -> pa.Array:
@@ -168,23 +155,28 @@ class Tokenizer:
         return pc.binary_join(tokens, " ")
 
 
-class Words(dict):
-    """The ids of words met lately."""
+class Recent(dict):
+    """What `make` gave for the keys met lately; of two generations the older one is dropped."""
 
-    def __init__(self, encode):
-        self.encode = encode
+    def __init__(self, make, most: int = REMEMBERED):
+        self.make, self.most = make, most
+        self.older: dict = {}
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > REMEMBERED:
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        ids = self[word] = self.encode(word)
-        return ids
+        self[key] = value
+        return value
 
 
 _SPACES = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
 
 
-def encode_column(column: pa.Array, words: Words) -> pa.ListArray:
+def encode_column(column: pa.Array, words: Recent) -> pa.ListArray:
     """The ids of each text."""
     ids, ends = [], [0]
     for value in column:
@@ -195,15 +187,15 @@ def encode_column(column: pa.Array, words: Words) -> pa.ListArray:
     return pa.ListArray.from_arrays(np.array(ends, np.int32), np.concatenate(ids) if ids else np.zeros(0, np.int32))
 
 
-_BUILT: dict[str, tuple[Tokenizer, Words]] = {}
+_BUILT: dict[str, tuple[Tokenizer, Recent]] = {}
 
 
-def tokenizer_of(raw: str) -> tuple[Tokenizer, Words]:
+def tokenizer_of(raw: str) -> tuple[Tokenizer, Recent]:
     """Built once in each Python worker."""
     if raw not in _BUILT:
         _BUILT.clear()
         made = Tokenizer(json.loads(raw))
-        _BUILT[raw] = made, Words(made.encode_word)
+        _BUILT[raw] = made, Recent(made.encode_word)
     return _BUILT[raw]
 
 
