@@ -23,7 +23,7 @@ FALLBACK_ROLE = "reader"
 def fallback_policy(spark: SparkSession, tables_read: Sequence[str]) -> DataFrame:
     """The least-privilege policy that holds when the given one is invalid."""
     row = (
-        FALLBACK_ROLE, "Built-in fail-closed reader.", [t.lower() for t in tables_read], [],
+        FALLBACK_ROLE, "Holds while no valid policy is given: may query the open tables.", [t.lower() for t in tables_read], [],
         False, False, False,
     )
     return spark.createDataFrame([row], POLICY_SCHEMA)

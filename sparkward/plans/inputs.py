@@ -239,9 +239,9 @@ def role_policy(spark: SparkSession) -> DataFrame:
     """The three shipped roles over the given tables."""
     readable = [t.upper() if t == "nation" else t for t in OPEN_TABLES]
     rows = [
-        ("reader", "Looks, never touches.", readable, [], False, False, False),
-        ("editor", "Reads, and proposes changes.", readable, list(_WRITABLE), True, False, False),
-        ("admin", "Widest data access and management.", readable, list(_WRITABLE), True, True, True),
+        ("reader", "Queries the open tables.", readable, [], False, False, False),
+        ("editor", "Queries, and drafts changes to some tables.", readable, list(_WRITABLE), True, False, False),
+        ("admin", "Queries, reviews changes and administers.", readable, list(_WRITABLE), True, True, True),
     ]
     return spark.createDataFrame(rows, POLICY_SCHEMA)
 

@@ -7,6 +7,7 @@ by Spark; nothing depends on how the input is split into files or batches.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import partial
 
 import numpy as np
@@ -30,29 +31,42 @@ _TRIP_STATE = "waiting array<bigint>, recent array<bigint>, until_us bigint"
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _STATE = "org.apache.spark.sql.execution.streaming.state"
+_MERGE = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
 
 
-def keep_state_on_disk(spark: SparkSession) -> None:
-    """Hold stream state in RocksDB, off the heap, unless the session chose a store.
+@contextmanager
+def stream_settings(spark: SparkSession) -> Iterator[None]:
+    """Settings for streams that start inside; a started stream keeps them, the session gets its own back.
 
-    A stream started earlier goes on with the store its checkpoint names.
+    State is held in RocksDB, off the heap, unless the session chose a store (a stream
+    started earlier goes on with the store its checkpoint names). Session windows are
+    merged within each task before they are shuffled.
     """
+    wanted = {_MERGE: "true"}
     if spark.conf.get(_PROVIDER, "").endswith("HDFSBackedStateStoreProvider"):
-        spark.conf.set(_PROVIDER, f"{_STATE}.RocksDBStateStoreProvider")
+        wanted[_PROVIDER] = f"{_STATE}.RocksDBStateStoreProvider"
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def run_to_table(stream: DataFrame, label: str, output_mode: str = "append") -> DataFrame:
     """Run a stream over all that is available, into a table in the shared folder."""
     spark = stream.sparkSession
-    keep_state_on_disk(spark)
     path = scratch_path(spark, label)
-    query = (
+    writer = (
         stream.writeStream.format("parquet")
         .option("checkpointLocation", f"{path}/checkpoint")
         .outputMode(output_mode)
         .trigger(availableNow=True)
-        .start(f"{path}/rows")
     )
+    with stream_settings(spark):
+        query = writer.start(f"{path}/rows")
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
@@ -135,12 +149,8 @@ def stream_sessions(
 ) -> DataFrame:
     """Periods of activity per role, closed by a gap without events.
 
-    Roles are few and each has many events: sessions are merged within each task
-    before they are shuffled.
+    Roles are few and each has many events: start the stream under `stream_settings`.
     """
-    events.sparkSession.conf.set(
-        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true"
-    )
     return (
         events.withWatermark("at", watermark)
         .groupBy(F.session_window("at", gap).alias("w"), by)
