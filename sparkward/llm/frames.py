@@ -37,11 +37,23 @@ def map_batches(df: DataFrame, make: Callable[[], Callable], schema: T.StructTyp
     return df.mapInArrow(run, schema)
 
 
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def kept(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` once to the shared folder and read it back: later jobs neither recompute it nor need the executors that did."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write `df` once to the shared folder and read it back.
+
+    Later jobs neither recompute it nor need the executors that did; so its shuffle
+    files can go as soon as it is written.
+    """
+    spark = df.sparkSession
+    path, before = scratch_path(spark, label), spark.conf.get(_DROP_SHUFFLES, "false")
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ids_schema(rest: str) -> T.StructType:

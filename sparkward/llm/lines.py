@@ -1,14 +1,14 @@
 """Removing lines that repeat an earlier line, exactly or nearly: an exact set-similarity join.
 
-A line's tokens are its distinct five-word shingles (words between white space,
-lower-cased; a line of fewer words, but not none, is one token). Word shingles keep the
+A line's tokens are its distinct five-word shingles (words are what stands between
+blanks, as written; a line of fewer words, but not none, is one token). Word shingles keep the
 join linear: single words recur by chance ever more often as a corpus grows, shingles
 recur where text does. Lines are ordered by (doc_id, position). A line goes if an
-earlier line has the same words in the same order, or if
+earlier line is equal, or if
 100 * |intersection| >= percent * |union| of the tokens of the two, whether that earlier line stays or goes.
 
-1. Lines with the same words are counted before anything else; all but the first are
-   copies, and do not enter the join.
+1. Equal lines are counted before anything else; all but the first are copies, and do
+   not enter the join.
 2. Tokens are put in order of rarity. How often each occurs is counted over all lines in
    BINS bins, a fixed number; any order gives the same result, a better one less work.
 3. Only a line's prefix can hold the first token it shares with a line that similar.
@@ -19,7 +19,7 @@ earlier line has the same words in the same order, or if
    group of near copies makes few pairs, and no pair is left out.
 5. What is left is verified on the tokens themselves.
 
-Lines without words stay. A null text stays null. A row without doc_id is returned as
+Lines of nothing but white space stay. A null text stays null. A row without doc_id is returned as
 it is, and removes nothing. Rows that share a doc_id are taken as versions of one
 document: a line and the same line at the same position of another version are one.
 DataFrame functions only.
@@ -29,16 +29,17 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkward.llm.frames import ids_and_texts, kept
 from sparkward.llm.sketch import may_hold, sketch
 
 SHINGLE, PERCENT = 5, 80
-BINS = 1 << 17
+BINS = 1 << 16
 #: How often a bin's tokens occur is told in this many classes, four for each doubling.
 _CLASS_BITS = 7
+_TOKEN_BITS = 48
 
 
 def _let(value: Column, body) -> Column:
@@ -47,41 +48,53 @@ def _let(value: Column, body) -> Column:
 
 
 def _words(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), r"[ \t\n\x0B\f\r]+"), "")
+    return F.array_remove(F.split(line, " "), "")
 
 
 def _by_window(words: Column, of) -> Column:
     """of(the words of a window) for each window."""
-    full = F.transform(F.sequence(F.lit(0), F.size(words) - SHINGLE), lambda i: of([F.get(words, i + j) for j in range(SHINGLE)]))
-    return F.when(F.size(words) >= SHINGLE, full).otherwise(F.array(of([F.concat_ws(" ", words)])))
+    full = F.transform(
+        F.sequence(F.lit(0), F.size(words) - SHINGLE), lambda i: of(*[F.get(words, i + j) for j in range(SHINGLE)])
+    )
+    return F.when(F.size(words) >= SHINGLE, full).otherwise(F.array(of(F.array_join(words, " "))))
 
 
 def _token_hashes(words: Column) -> Column:
-    return _let(words, lambda w: F.array_distinct(_by_window(w, lambda parts: F.xxhash64(*parts))))
+    short = F.lit((1 << _TOKEN_BITS) - 1)
+    return F.array_distinct(_let(words, lambda w: _by_window(w, lambda *part: F.xxhash64(*part).bitwiseAND(short))))
 
 
 def _token_strings(words: Column) -> Column:
-    return _let(words, lambda w: F.array_distinct(_by_window(w, lambda parts: F.concat_ws(" ", *parts))))
+    return F.array_distinct(_let(words, lambda w: _by_window(w, lambda *part: F.concat_ws(" ", *part))))
 
 
-def _line_hash(words: Column) -> Column:
-    return F.xxhash64(words)
+def _line_table(docs: DataFrame) -> DataFrame:
+    """Every line with a word, its hashes and its tokens' hashes: doc_id, pos, h, g, tokens. Texts are cut up once."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(F.col("line").rlike(r"\S"))
+    return kept(
+        lines.select(
+            "doc_id", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("g"),
+            _token_hashes(_words(F.col("line"))).alias("tokens"),
+        ),
+        "line-table",
+    )
 
 
-def _exploded(docs: DataFrame) -> DataFrame:
-    """Every line with a word: doc_id, pos, words."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return lines.select("doc_id", "pos", _words(F.col("line")).alias("words")).filter(F.size("words") > 0)
+def _repeated(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(h, g, first) of lines that occur more than once, and (doc_id, pos, h) of all but the first of each."""
+    firsts = lines.groupBy("h", "g").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n"))
+    repeated = kept(firsts.filter("n > 1").select("h", "g", "first"), "repeated-lines")
+    keyed = lines.select("doc_id", "pos", "h", "g")
+    copies = keyed.join(repeated, ["h", "g"]).filter(F.struct("doc_id", "pos") != F.col("first")).select("doc_id", "pos", "h")
+    return repeated, kept(copies, "copies")
 
 
-def _copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, h) of all lines but the first of those with the same words."""
-    keyed = kept(
-        _exploded(docs).select("doc_id", "pos", _line_hash(F.col("words")).alias("h"), F.xxhash64(F.lit(7), "words").alias("g")), "line-keys"
-    )
-    firsts = keyed.groupBy("h", "g").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n"))
-    repeated = kept(firsts.filter("n > 1").select("h", "g", "first"), "repeated-lines")
-    return keyed.join(repeated, ["h", "g"]).filter(F.struct("doc_id", "pos") != F.col("first")).select("doc_id", "pos", "h")
+def _firsts(lines: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Every line but the copies; only lines that may be repeated are shuffled."""
+    hit = may_hold(kept(sketch(repeated, "h"), "repeated-sketch"), "h")
+    known = lines.filter(hit).join(repeated, ["h", "g"], "left")
+    first = known.filter(F.col("first").isNull() | (F.struct("doc_id", "pos") == F.col("first")))
+    return first.select("doc_id", "pos", "tokens").unionByName(lines.filter(~hit).select("doc_id", "pos", "tokens"))
 
 
 def _with_positions(docs: DataFrame, places: DataFrame, name: str) -> DataFrame:
@@ -96,7 +109,7 @@ def _with_positions(docs: DataFrame, places: DataFrame, name: str) -> DataFrame:
 
 def _kept_positions(lines: Column, places: Column) -> Column:
     """Positions of the lines that stay, in order."""
-    gone = F.filter(places, lambda p: _line_hash(_words(F.get(lines, p["pos"]))) == p["h"])
+    gone = F.filter(places, lambda p: F.xxhash64(F.get(lines, p["pos"])) == p["h"])
     return F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.transform(gone, lambda p: p["pos"]))
 
 
@@ -108,27 +121,19 @@ def _rarity_classes(seen: DataFrame) -> bytes:
     return bytes(classes)
 
 
-def _prefixes(docs: DataFrame, percent: int) -> DataFrame:
+def _prefixes(lines: DataFrame, repeated: DataFrame, percent: int) -> DataFrame:
     """(key, doc_id, pos, n, i): the prefix tokens of every line that is no copy, with its number of tokens and the token's place."""
-    lines = docs.select(
-        "doc_id",
-        F.explode(
-            _let(F.split("text", "\n"), lambda x: F.transform(_kept_positions(x, F.col("copies")), lambda i: F.struct(i.alias("pos"), F.get(x, i).alias("line"))))
-        ).alias("l"),
-    )
-    words = lines.select("doc_id", "l.pos", _words(F.col("l.line")).alias("words")).filter(F.size("words") > 0)
-    tokens = words.select("doc_id", "pos", _token_hashes(F.col("words")).alias("tokens"))
-    seen = tokens.select(F.explode("tokens").alias("t")).groupBy(F.pmod("t", F.lit(BINS)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    token = lines.select(F.explode("tokens").alias("t"))
+    seen = token.groupBy(F.pmod("t", F.lit(BINS)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
     table = F.lit(_rarity_classes(seen))
-    low = 63 - _CLASS_BITS
 
-    def key(token: Column) -> Column:
-        own = F.ascii(F.substring(table, F.pmod(token, F.lit(BINS)).cast("int") + 1, F.lit(1)).cast("string")).cast("long")
-        return F.call_function("shiftleft", own, F.lit(low)).bitwiseOR(token.bitwiseAND(F.lit((1 << low) - 1)))
+    def key(t: Column) -> Column:
+        own = F.ascii(F.substring(table, F.pmod(t, F.lit(BINS)).cast("int") + 1, F.lit(1)).cast("string")).cast("long")
+        return F.call_function("shiftleft", own, F.lit(_TOKEN_BITS)).bitwiseOR(t)
 
     n = F.size("keys")
     length = n - F.ceil(n * percent / 100).cast("int") + 1
-    ranked = tokens.select("doc_id", "pos", F.sort_array(F.transform("tokens", key)).alias("keys"))
+    ranked = _firsts(lines, repeated).select("doc_id", "pos", F.sort_array(F.transform("tokens", key)).alias("keys"))
     return ranked.select("doc_id", "pos", n.alias("n"), F.posexplode(F.slice("keys", F.lit(1), length)).alias("i", "key"))
 
 
@@ -152,13 +157,11 @@ def _verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * shared >= percent * union).select("doc_id", "pos", "h").distinct()
 
 
-def _near(docs: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, pos, h) of lines that are no copies and have an earlier similar line. docs: with `copies`."""
-    from pyspark.sql import Window
-
+def _near(docs: DataFrame, lines: DataFrame, repeated: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, pos, h) of lines that are no copies and have an earlier similar line."""
     own = Window.partitionBy("key")
     me = F.struct("doc_id", "pos", "n", "i")
-    crowd = _prefixes(docs, percent).withColumn("pivot", F.min(me).over(own)).withColumn("size", F.count("*").over(own))
+    crowd = _prefixes(lines, repeated, percent).withColumn("pivot", F.min(me).over(own)).withColumn("size", F.count("*").over(own))
     shared = kept(crowd.filter("size > 1").drop("size"), "shared-prefixes")
     places = shared.select("doc_id", "pos").distinct().withColumn("h", F.lit(0).cast("long"))
     wanted = _with_positions(docs.select("doc_id", "text"), places, "wanted").filter(F.size("wanted") > 0)
@@ -166,8 +169,8 @@ def _near(docs: DataFrame, percent: int) -> DataFrame:
         "doc_id",
         F.explode(_let(F.split("text", "\n"), lambda x: F.transform("wanted", lambda p: F.struct(p["pos"].alias("pos"), F.get(x, p["pos"]).alias("line"))))).alias("l"),
     )
-    worded = picked.select("doc_id", "l.pos", _words(F.col("l.line")).alias("words")).filter(F.size("words") > 0)
-    tokens = kept(worded.select("doc_id", "pos", _line_hash(F.col("words")).alias("h"), _token_strings(F.col("words")).alias("tokens")), "tokens")
+    worded = picked.select("doc_id", "l.pos", "l.line").filter(F.col("line").rlike(r"\S"))
+    tokens = kept(worded.select("doc_id", "pos", F.xxhash64("line").alias("h"), _token_strings(_words(F.col("line"))).alias("tokens")), "tokens")
     earlier = [F.col("pivot.doc_id").alias("e_doc"), F.col("pivot.pos").alias("e_pos")]
     fits = _may_match(F.col("n"), F.col("i"), F.col("pivot.n"), F.col("pivot.i"), percent)
     later = shared.filter(F.struct("doc_id", "pos") != F.struct("pivot.doc_id", "pivot.pos"))
@@ -186,9 +189,9 @@ def _near(docs: DataFrame, percent: int) -> DataFrame:
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, pos, h) of every line that goes."""
     read = ids_and_texts(docs).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    copies = kept(_copies(read), "copies")
-    near = _near(_with_positions(read, copies, "copies"), percent)
-    return copies.unionByName(near)
+    lines = _line_table(read)
+    repeated, copies = _repeated(lines)
+    return copies.unionByName(kept(_near(read, lines, repeated, percent), "near-lines"))
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
