@@ -39,7 +39,7 @@ SHINGLE, PERCENT = 5, 80
 BINS = 1 << 16
 #: How often a bin's tokens occur is told in this many classes, four for each doubling.
 _CLASS_BITS = 7
-_TOKEN_BITS = 48
+_TOKEN_BITS = 40
 
 
 def _let(value: Column, body) -> Column:
@@ -60,8 +60,10 @@ def _by_window(words: Column, of) -> Column:
 
 
 def _token_hashes(words: Column) -> Column:
+    """One for each distinct token. Two of a line may get the same value; then a key of it is met twice, and no link is lost."""
     short = F.lit((1 << _TOKEN_BITS) - 1)
-    return F.array_distinct(_let(words, lambda w: _by_window(w, lambda *part: F.xxhash64(*part).bitwiseAND(short))))
+    whole = F.array_distinct(_let(words, lambda w: _by_window(w, F.xxhash64)))
+    return F.transform(whole, lambda t: t.bitwiseAND(short))
 
 
 def _token_strings(words: Column) -> Column:
@@ -122,7 +124,7 @@ def _rarity_classes(seen: DataFrame) -> bytes:
 
 
 def _prefixes(lines: DataFrame, repeated: DataFrame, percent: int) -> DataFrame:
-    """(key, doc_id, pos, n, i): the prefix tokens of every line that is no copy, with its number of tokens and the token's place."""
+    """(key, doc_id, pos, n_i): the prefix tokens of every line that is no copy; n_i holds its number of tokens and the token's place."""
     token = lines.select(F.explode("tokens").alias("t"))
     seen = token.groupBy(F.pmod("t", F.lit(BINS)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
     table = F.lit(_rarity_classes(seen))
@@ -134,7 +136,8 @@ def _prefixes(lines: DataFrame, repeated: DataFrame, percent: int) -> DataFrame:
     n = F.size("keys")
     length = n - F.ceil(n * percent / 100).cast("int") + 1
     ranked = _firsts(lines, repeated).select("doc_id", "pos", F.sort_array(F.transform("tokens", key)).alias("keys"))
-    return ranked.select("doc_id", "pos", n.alias("n"), F.posexplode(F.slice("keys", F.lit(1), length)).alias("i", "key"))
+    own = ranked.select("doc_id", "pos", n.cast("long").alias("n"), F.posexplode(F.slice("keys", F.lit(1), length)).alias("i", "key"))
+    return own.select("key", "doc_id", "pos", F.call_function("shiftleft", "n", F.lit(32)).bitwiseOR(F.col("i")).alias("n_i"))
 
 
 def _may_match(n_a: Column, i_a: Column, n_b: Column, i_b: Column, percent: int) -> Column:
@@ -160,9 +163,12 @@ def _verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
 def _near(docs: DataFrame, lines: DataFrame, repeated: DataFrame, percent: int) -> DataFrame:
     """(doc_id, pos, h) of lines that are no copies and have an earlier similar line."""
     own = Window.partitionBy("key")
-    me = F.struct("doc_id", "pos", "n", "i")
+    me = F.struct("doc_id", "pos", "n_i")
     crowd = _prefixes(lines, repeated, percent).withColumn("pivot", F.min(me).over(own)).withColumn("size", F.count("*").over(own))
-    shared = kept(crowd.filter("size > 1").drop("size"), "shared-prefixes")
+    n, i = (lambda x: F.shiftright(x, 32).cast("int")), (lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
+    pivot = F.struct("pivot.doc_id", "pivot.pos", n(F.col("pivot.n_i")).alias("n"), i(F.col("pivot.n_i")).alias("i"))
+    several = crowd.filter("size > 1").select("key", "doc_id", "pos", n(F.col("n_i")).alias("n"), i(F.col("n_i")).alias("i"), pivot.alias("pivot"))
+    shared = kept(several, "shared-prefixes")
     places = shared.select("doc_id", "pos").distinct().withColumn("h", F.lit(0).cast("long"))
     wanted = _with_positions(docs.select("doc_id", "text"), places, "wanted").filter(F.size("wanted") > 0)
     picked = wanted.select(
