@@ -8,7 +8,7 @@ with enough votes is verified on the words themselves: a phrase must stand there
 word, a notice must agree with the text in order for at least `LEAST` of its words.
 
 The templates are a short list, refused beyond MOST_GRAMS grams, so their side of the
-join may be sent to every task. Only votes are shuffled, and the texts that have a
+join is sent to every task and the grams of the documents are not shuffled. Only votes are shuffled, and the texts that have a
 candidate. A null text has no words. Rows are told apart by doc_id and text: equal rows
 are answered alike. Other columns are not read.
 """
@@ -117,7 +117,7 @@ def candidates(docs: DataFrame, templates: Sequence[Template]) -> DataFrame:
     here = spark.createDataFrame([(0, -1, 0), *template_grams(templates)], "gram long, template int, place int")
     # every row also carries the gram 0, which no template has: so rows without a match stay
     dealt = grams(docs).select("doc_id", "h", "n_words", F.posexplode(F.array_append("grams", F.lit(0).cast("long"))).alias("at", "gram"))
-    votes = dealt.join(here, "gram").groupBy(
+    votes = dealt.join(F.broadcast(here), "gram").groupBy(
         "doc_id", "h", "n_words", "template", F.when(F.col("template") < 0, 0).otherwise(F.col("at") - F.col("place")).alias("diagonal")
     ).agg(F.countDistinct("place").alias("votes"), F.count("*").alias("rows"))
     size = {i: len(template_words(t)) - K + 1 for i, t in enumerate(templates)}
