@@ -1,23 +1,25 @@
 """Removing lines that repeat an earlier line, exactly or nearly: an exact set-similarity join.
 
-A line's tokens are its distinct five-word shingles (words are what stands between
-blanks, as written; a line of fewer words, but not none, is one token). Word shingles keep the
-join linear: single words recur by chance ever more often as a corpus grows, shingles
-recur where text does. Lines are ordered by (doc_id, position). A line goes if an
-earlier line is equal, or if
+A line's tokens are its distinct words, or its distinct five-word shingles (words are what stands between
+blanks, as written; for shingles, a line of fewer words, but not none, is one token). One changed
+word breaks five shingles, so near copies of fewer than 49 words are found by words only. Lines are
+ordered by (doc_id, position). A line goes if an earlier line is equal, or if
 100 * |intersection| >= percent * |union| of the tokens of the two, whether that earlier line stays or goes.
 
 1. Equal lines are counted before anything else; all but the first are copies, and do
    not enter the join.
 2. Tokens are put in order of rarity. How often each occurs is counted over all lines in
    BINS bins, a fixed number; any order gives the same result, a better one less work.
-3. Only a line's prefix can hold the first token it shares with a line that similar.
-   Prefixes are dealt by token. The length and positional filters drop pairs that
-   cannot reach the threshold.
-4. Each line is first held against the earliest line with the same prefix token. Those
-   that it doesn't decide are held against all earlier lines of the token. So a large
+3. Only a line's prefix can hold the first token it shares with a line that similar. A token
+   in at most RARE lines is a key by itself, and its lines are held side by side. One in more
+   is a key together with the second shared token, which stands in the prefix one longer;
+   beyond LONG tokens, where such keys are many and lines few, it stays a key by itself.
+4. The length and positional filters drop pairs that cannot reach the threshold, and so do
+   64 bits of each line: the bits in which two lines differ are never more than the tokens.
+5. With a crowded key a line is first held against the earliest line with it. Lines that this
+   doesn't decide are held against all earlier lines of the key. So a large
    group of near copies makes few pairs, and no pair is left out.
-5. What is left is verified on the tokens themselves.
+6. What is left is verified on the tokens themselves.
 
 Lines of nothing but white space stay. A null text stays null. A row without doc_id is returned as
 it is, and removes nothing. Rows that share a doc_id are taken as versions of one
@@ -36,7 +38,9 @@ from sparkward.llm.frames import ids_and_texts, kept
 from sparkward.llm.sketch import may_hold, sketch
 
 SHINGLE, PERCENT = 5, 80
-BINS = 1 << 16
+#: A token of at most RARE lines is a key by itself; one of more is a key with the second shared token, in lines of up to LONG tokens.
+RARE, LONG = 32, 64
+BINS = 1 << 20
 #: How often a bin's tokens occur is told in this many classes, four for each doubling.
 _CLASS_BITS = 7
 _TOKEN_BITS = 40
@@ -59,24 +63,24 @@ def _by_window(words: Column, of) -> Column:
     return F.when(F.size(words) >= SHINGLE, full).otherwise(F.array(of(F.array_join(words, " "))))
 
 
-def _token_hashes(words: Column) -> Column:
+def _token_hashes(words: Column, by_word: bool) -> Column:
     """One for each distinct token. Two of a line may get the same value; then a key of it is met twice, and no link is lost."""
     short = F.lit((1 << _TOKEN_BITS) - 1)
-    whole = F.array_distinct(_let(words, lambda w: _by_window(w, F.xxhash64)))
+    whole = F.transform(F.array_distinct(words), lambda w: F.xxhash64(w)) if by_word else F.array_distinct(_let(words, lambda w: _by_window(w, F.xxhash64)))
     return F.transform(whole, lambda t: t.bitwiseAND(short))
 
 
-def _token_strings(words: Column) -> Column:
-    return F.array_distinct(_let(words, lambda w: _by_window(w, lambda *part: F.concat_ws(" ", *part))))
+def _token_strings(words: Column, by_word: bool) -> Column:
+    return F.array_distinct(words if by_word else _let(words, lambda w: _by_window(w, lambda *part: F.concat_ws(" ", *part))))
 
 
-def _line_table(docs: DataFrame) -> DataFrame:
+def _line_table(docs: DataFrame, by_word: bool) -> DataFrame:
     """Every line with a word, its hashes and its tokens' hashes: doc_id, pos, h, g, tokens. Texts are cut up once."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(F.col("line").rlike(r"\S"))
     return kept(
         lines.select(
             "doc_id", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("g"),
-            _token_hashes(_words(F.col("line"))).alias("tokens"),
+            _token_hashes(_words(F.col("line")), by_word).alias("tokens"),
         ),
         "line-table",
     )
@@ -115,94 +119,161 @@ def _kept_positions(lines: Column, places: Column) -> Column:
     return F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.transform(gone, lambda p: p["pos"]))
 
 
-def _rarity_classes(seen: DataFrame) -> bytes:
-    """A byte for each of the BINS bins: the class of its count."""
-    classes = bytearray(BINS)
-    for bin_, n in seen.collect():  # BINS rows at most
-        classes[bin_] = min((1 << _CLASS_BITS) - 1, int(4 * math.log2(1 + n)))
-    return bytes(classes)
+def _class(n: int) -> int:
+    return min((1 << _CLASS_BITS) - 1, int(4 * math.log2(1 + n)))
 
 
-def _prefixes(lines: DataFrame, repeated: DataFrame, percent: int) -> DataFrame:
-    """(key, doc_id, pos, n_i): the prefix tokens of every line that is no copy; n_i holds its number of tokens and the token's place."""
+def _rarity_classes(lines: DataFrame) -> DataFrame:
+    """One row, one column `classes`: the class of each of the BINS bins, eight to a long."""
     token = lines.select(F.explode("tokens").alias("t"))
     seen = token.groupBy(F.pmod("t", F.lit(BINS)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
-    table = F.lit(_rarity_classes(seen))
+    own = F.least(F.lit((1 << _CLASS_BITS) - 1), F.floor(4 * F.log2(1 + F.col("n")))).cast("long")
+    put = F.call_function("shiftleft", own, (F.col("bin") % 8 * 8).cast("int"))
+    packed = seen.groupBy((F.col("bin") / 8).cast("int").alias("word")).agg(F.sum(put).alias("bits"))
+    every = lines.sparkSession.range(BINS // 8).select(F.col("id").cast("int").alias("word"))
+    dense = every.join(packed, "word", "left").select(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")).alias("x"))
+    return dense.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["bits"]).alias("classes"))
+
+
+def _prefixes(lines: DataFrame, repeated: DataFrame, percent: int) -> DataFrame:
+    """(key, doc_id, pos, n_i, sig): the keys of every line that is no copy.
+
+    n_i holds its number of tokens and the place of the key's first token; sig has a bit for each token, bits of two
+    tokens cancel out.
+    """
+    # A subquery must not stand in a lambda. As a column that is used once Spark puts it there itself, and no row holds the table.
+    firsts = _firsts(lines, repeated).withColumn("classes", kept(_rarity_classes(lines), "rarity").scalar())
 
     def key(t: Column) -> Column:
-        own = F.ascii(F.substring(table, F.pmod(t, F.lit(BINS)).cast("int") + 1, F.lit(1)).cast("string")).cast("long")
+        bin_ = F.pmod(t, F.lit(BINS)).cast("int")
+        own = F.call_function("shiftright", F.get("classes", (bin_ / 8).cast("int")), bin_ % 8 * 8).bitwiseAND(F.lit((1 << _CLASS_BITS) - 1))
         return F.call_function("shiftleft", own, F.lit(_TOKEN_BITS)).bitwiseOR(t)
 
+    def bit(t: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
+
+    ranked = firsts.select(
+        "doc_id", "pos", F.sort_array(F.transform("tokens", key)).alias("keys"),
+        F.aggregate("tokens", F.lit(0).cast("long"), lambda x, t: x.bitwiseXOR(bit(t))).alias("sig"),
+    )
     n = F.size("keys")
-    length = n - F.ceil(n * percent / 100).cast("int") + 1
-    ranked = _firsts(lines, repeated).select("doc_id", "pos", F.sort_array(F.transform("tokens", key)).alias("keys"))
-    own = ranked.select("doc_id", "pos", n.cast("long").alias("n"), F.posexplode(F.slice("keys", F.lit(1), length)).alias("i", "key"))
-    return own.select("key", "doc_id", "pos", F.call_function("shiftleft", "n", F.lit(32)).bitwiseOR(F.col("i")).alias("n_i"))
+    need = F.ceil(n * percent / 100).cast("int")
+    last = n - need  # of the places that can hold the first shared token; the second is at most one further
+    none = F.array().cast("array<struct<key: bigint, i: int>>")
+    alone = (need == 1) | (100 * n >= percent * (LONG + 1))
+
+    def entry(k: Column, i: Column) -> Column:
+        return F.array(F.struct(k.alias("key"), i.cast("int").alias("i")))
 
+    def entries(k: Column, i: Column) -> Column:
+        own = _class_of(k)
+        second = F.transform(
+            F.slice("keys", i + 2, last + 1 - i),
+            lambda k2: F.struct(F.xxhash64(k, k2).bitwiseOR(F.lit(-(1 << 63))).alias("key"), i.cast("int").alias("i")),
+        )
+        crowded = F.concat(F.when(alone, entry(k, i)).otherwise(none), F.when(n <= LONG, second).otherwise(none))
+        return F.when(own <= _class(1), none).when(own <= _class(RARE), entry(k, i)).otherwise(crowded)
 
-def _may_match(n_a: Column, i_a: Column, n_b: Column, i_b: Column, percent: int) -> Column:
-    """Length and positional filters for lines whose first shared token is at places i_a and i_b."""
+    dealt = F.flatten(F.transform(F.slice("keys", F.lit(1), last + 1), entries))
+    own = ranked.select("doc_id", "pos", "sig", n.cast("long").alias("n"), F.explode(dealt).alias("e"))
+    return own.select("e.key", "doc_id", "pos", F.call_function("shiftleft", "n", F.lit(32)).bitwiseOR(F.col("e.i")).alias("n_i"), "sig")
+
+
+def _class_of(key: Column) -> Column:
+    """Of a key that is one token; that of two tokens is negative."""
+    return F.shiftright(key, _TOKEN_BITS)
+
+
+def _may_match(a, b, percent: int) -> Column:
+    """Length, positional and bit filters for lines that share a key; a and b give their n_i and sig."""
+    n_a, n_b = (F.shiftright(x("n_i"), 32).cast("int") for x in (a, b))
+    i_a, i_b = (x("n_i").bitwiseAND(F.lit((1 << 32) - 1)).cast("int") for x in (a, b))
     need = percent * (n_a + n_b)
     return (
-        (100 * n_a >= percent * n_b)
+        ((100 + percent) * F.bit_count(a("sig").bitwiseXOR(b("sig"))) <= (100 - percent) * (n_a + n_b))
+        & (100 * n_a >= percent * n_b)
         & (100 * n_b >= percent * n_a)
         & ((100 + percent) * (n_a - i_a) >= need)
         & ((100 + percent) * (n_b - i_b) >= need)
     )
 
 
-def _verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+def _tokens(docs: DataFrame, pairs: DataFrame, by_word: bool) -> DataFrame:
+    """doc_id, pos, h and token strings of the lines of the pairs, cut again from their texts."""
+    ends = pairs.select("doc_id", "pos").unionByName(pairs.select(F.col("e_doc").alias("doc_id"), F.col("e_pos").alias("pos")))
+    places = ends.distinct().withColumn("h", F.lit(0).cast("long"))
+    wanted = _with_positions(docs, places, "wanted").filter(F.size("wanted") > 0)
+    picked = wanted.select(
+        "doc_id",
+        F.explode(_let(F.split("text", "\n"), lambda x: F.transform("wanted", lambda p: F.struct(p["pos"].alias("pos"), F.get(x, p["pos"]).alias("line"))))).alias("l"),
+    )
+    worded = picked.select("doc_id", "l.pos", "l.line").filter(F.col("line").rlike(r"\S"))
+    strings = _token_strings(_words(F.col("line")), by_word)
+    return kept(worded.select("doc_id", "pos", F.xxhash64("line").alias("h"), strings.alias("tokens")), "tokens")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, percent: int, by_word: bool) -> DataFrame:
     """(doc_id, pos, h) of the later lines of the pairs that reach the threshold."""
+    pairs = kept(pairs.distinct(), "pairs")
+    tokens = _tokens(docs, pairs, by_word)
     other = tokens.select(F.col("doc_id").alias("e_doc"), F.col("pos").alias("e_pos"), F.col("tokens").alias("others"))
     both = pairs.join(tokens, ["doc_id", "pos"]).join(other, ["e_doc", "e_pos"])
     shared = F.size(F.array_intersect("tokens", "others"))
     union = F.size("tokens") + F.size("others") - shared
-    return both.filter(100 * shared >= percent * union).select("doc_id", "pos", "h").distinct()
+    return kept(both.filter(100 * shared >= percent * union).select("doc_id", "pos", "h").distinct(), "verified")
+
+
+def _rare_pairs(rare: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, pos, e_doc, e_pos) of lines that share a rare token; RARE bounds the lines of a key, so they are held side by side."""
+    group = rare.groupBy("key").agg(F.collect_list(F.struct("doc_id", "pos", "n_i", "sig")).alias("g")).filter(F.size("g") > 1)
+
+    def earlier(a: Column) -> Column:
+        def fits(b: Column) -> Column:
+            before = (b["doc_id"] < a["doc_id"]) | ((b["doc_id"] == a["doc_id"]) & (b["pos"] < a["pos"]))
+            return _may_match(lambda c: a[c], lambda c: b[c], percent) & before
+
+        found = F.filter("g", fits)
+        return F.transform(found, lambda b: F.struct(a["doc_id"].alias("doc_id"), a["pos"].alias("pos"), b["doc_id"].alias("e_doc"), b["pos"].alias("e_pos")))
 
+    return group.select(F.explode(F.flatten(F.transform("g", earlier))).alias("p")).select("p.*")
 
-def _near(docs: DataFrame, lines: DataFrame, repeated: DataFrame, percent: int) -> DataFrame:
+
+def _near(docs: DataFrame, lines: DataFrame, repeated: DataFrame, percent: int, by_word: bool) -> DataFrame:
     """(doc_id, pos, h) of lines that are no copies and have an earlier similar line."""
+    prefixes = kept(_prefixes(lines, repeated, percent), "prefixes")
+    is_rare = (F.col("key") >= 0) & (_class_of(F.col("key")) <= _class(RARE))
     own = Window.partitionBy("key")
-    me = F.struct("doc_id", "pos", "n_i")
-    crowd = _prefixes(lines, repeated, percent).withColumn("pivot", F.min(me).over(own)).withColumn("size", F.count("*").over(own))
-    n, i = (lambda x: F.shiftright(x, 32).cast("int")), (lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
-    pivot = F.struct("pivot.doc_id", "pivot.pos", n(F.col("pivot.n_i")).alias("n"), i(F.col("pivot.n_i")).alias("i"))
-    several = crowd.filter("size > 1").select("key", "doc_id", "pos", n(F.col("n_i")).alias("n"), i(F.col("n_i")).alias("i"), pivot.alias("pivot"))
-    shared = kept(several, "shared-prefixes")
-    places = shared.select("doc_id", "pos").distinct().withColumn("h", F.lit(0).cast("long"))
-    wanted = _with_positions(docs.select("doc_id", "text"), places, "wanted").filter(F.size("wanted") > 0)
-    picked = wanted.select(
-        "doc_id",
-        F.explode(_let(F.split("text", "\n"), lambda x: F.transform("wanted", lambda p: F.struct(p["pos"].alias("pos"), F.get(x, p["pos"]).alias("line"))))).alias("l"),
-    )
-    worded = picked.select("doc_id", "l.pos", "l.line").filter(F.col("line").rlike(r"\S"))
-    tokens = kept(worded.select("doc_id", "pos", F.xxhash64("line").alias("h"), _token_strings(_words(F.col("line"))).alias("tokens")), "tokens")
-    earlier = [F.col("pivot.doc_id").alias("e_doc"), F.col("pivot.pos").alias("e_pos")]
-    fits = _may_match(F.col("n"), F.col("i"), F.col("pivot.n"), F.col("pivot.i"), percent)
+    me = F.struct("doc_id", "pos", "n_i", "sig")
+    crowd = prefixes.filter(~is_rare).withColumn("pivot", F.min(me).over(own)).withColumn("size", F.count("*").over(own))
+    shared = kept(crowd.filter("size > 1").drop("size"), "shared-prefixes")
     later = shared.filter(F.struct("doc_id", "pos") != F.struct("pivot.doc_id", "pivot.pos"))
-    by_pivot = kept(_verified(later.filter(fits).select("doc_id", "pos", *earlier).distinct(), tokens, percent), "by-pivot")
-    open_ = later.join(by_pivot, ["doc_id", "pos"], "left_anti").select("key", "doc_id", "pos", "n", "i", "pivot")
-    a, b = kept(open_, "undecided").alias("a"), shared.alias("b")
+    fits = _may_match(F.col, lambda c: F.col(f"pivot.{c}"), percent)
+    by_pivot = later.filter(fits).select("doc_id", "pos", F.col("pivot.doc_id").alias("e_doc"), F.col("pivot.pos").alias("e_pos"))
+    first = _verified(docs, _rare_pairs(prefixes.filter(is_rare), percent).unionByName(by_pivot), percent, by_word)
+    a, b = later.join(first, ["doc_id", "pos"], "left_anti").alias("a"), shared.drop("pivot").alias("b")
     before = F.struct("b.doc_id", "b.pos") < F.struct("a.doc_id", "a.pos")
     fresh = F.struct("b.doc_id", "b.pos") != F.struct("a.pivot.doc_id", "a.pivot.pos")
-    fits = _may_match(F.col("a.n"), F.col("a.i"), F.col("b.n"), F.col("b.i"), percent)
+    fits = _may_match(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"), percent)
     rest = a.join(b, (F.col("a.key") == F.col("b.key")) & before & fresh & fits).select(
         "a.doc_id", "a.pos", F.col("b.doc_id").alias("e_doc"), F.col("b.pos").alias("e_pos")
     )
-    return by_pivot.unionByName(_verified(rest.distinct(), tokens, percent))
+    return first.unionByName(_verified(docs, rest, percent, by_word))
 
 
-def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def removed_lines(docs: DataFrame, percent: int = PERCENT, by_word: bool = False) -> DataFrame:
     """(doc_id, pos, h) of every line that goes."""
     read = ids_and_texts(docs).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    lines = _line_table(read)
+    lines = _line_table(read, by_word)
     repeated, copies = _repeated(lines)
-    return copies.unionByName(kept(_near(read, lines, repeated, percent), "near-lines"))
+    return copies.unionByName(_near(read, lines, repeated, percent, by_word))
+
 
+def dedup_lines(docs: DataFrame, percent: int = PERCENT, by_word: bool = False) -> DataFrame:
+    """`docs` with `text` less the lines that go; other columns as they were, and last the positions `_removed`.
 
-def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """`docs` with `text` less the lines that go; other columns as they were, and last the positions `_removed`."""
-    gone = _with_positions(docs, removed_lines(docs, percent), "_gone")
+    by_word: tokens are a line's distinct words, not its shingles.
+    """
+    gone = _with_positions(docs, removed_lines(docs, percent, by_word), "_gone")
     both = _let(
         F.split("text", "\n"),
         lambda x: _let(
