@@ -6,7 +6,7 @@ by Spark; nothing depends on how the input is split into files or batches.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
 from contextlib import contextmanager
 from functools import partial
 
@@ -71,6 +71,57 @@ def run_to_table(stream: DataFrame, label: str, output_mode: str = "append") ->
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
+#: The event time of the row that ends a finished input, near the last that pandas can hold; its own results never come out.
+END = "2262-01-01 00:00:00"
+
+
+def run_finished(
+    inputs: Mapping[str, DataFrame], of: Callable[..., DataFrame], label: str
+) -> DataFrame:
+    """Run of(*streams) over inputs that are finished, into a table: the rows that wait behind the watermark too.
+
+    `inputs` has the streams under the name of the event time of each. When all that is
+    available has been read, a second run of the same checkpoint reads one row more from
+    each, at the event time END, and the watermark passes all rows. Its strings are its
+    own folder: a join may leave out null keys before the watermark is taken, and must not match it. All else is null.
+    """
+    spark = next(iter(inputs.values())).sparkSession
+    path = scratch_path(spark, label)
+    closed = []
+    for at, stream in inputs.items():
+        place = f"{path}/end-{len(closed)}"
+        nullable = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
+        spark.createDataFrame([], nullable).write.parquet(place)
+        end = spark.readStream.schema(nullable).parquet(place)
+        closed.append((at, place, nullable, stream.unionByName(end)))
+    out = of(*[stream for *_, stream in closed])
+
+    def run() -> None:
+        writer = (
+            out.writeStream.format("parquet")
+            .option("checkpointLocation", f"{path}/checkpoint")
+            .outputMode("append")
+            .trigger(availableNow=True)
+        )
+        with stream_settings(spark):
+            query = writer.start(f"{path}/rows")
+        query.awaitTermination()
+
+    run()
+    for at, place, nullable, _ in closed:
+        row = spark.range(1).select(
+            *[
+                F.lit(END if f.name == at else place if f.dataType.typeName() == "string" else None)
+                .cast(f.dataType)
+                .alias(f.name)
+                for f in spark.createDataFrame([], nullable).schema
+            ]
+        )
+        row.write.mode("append").parquet(place)
+    run()
+    return spark.read.schema(out.schema).parquet(f"{path}/rows")
+
+
 def stream_violations(
     violations: DataFrame, limits: Limits = DEFAULTS, watermark: str = WATERMARK
 ) -> DataFrame:
@@ -96,7 +147,7 @@ def _judge(
 ) -> Iterator[pd.DataFrame]:
     waiting, recent, until = state.get if state.exists else ([], [], 0)
     if not state.hasTimedOut:
-        waiting = sorted([*waiting, *(int(u) for b in batches for u in b["us"])])
+        waiting = sorted([*waiting, *(int(u) for b in batches for u in b["us"].dropna())])
     ready_us = state.getCurrentWatermarkMs() * 1000
     n_ready = int(np.searchsorted(np.asarray(waiting, dtype=np.int64), ready_us, side="right"))
     # `start` moves over the times as they leave the window, so each is seen twice.
