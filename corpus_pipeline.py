@@ -25,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier line go; a document that loses all its words goes too."""
-    out = dedup_lines(docs, by_word=True).filter("text IS NULL OR size(_removed) = 0 OR text RLIKE '[^ \\\\t\\\\n\\\\x0B\\\\f\\\\r]'")
+    out = dedup_lines(docs, by_word=True, folded=True).filter("text IS NULL OR size(_removed) = 0 OR text RLIKE '[^ \\\\t\\\\n\\\\x0B\\\\f\\\\r]'")
     size = F.when(F.size("_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", size.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 

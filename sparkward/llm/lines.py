@@ -1,7 +1,7 @@
 """Removing lines that repeat an earlier line, exactly or nearly: an exact set-similarity join.
 
 A line's tokens are its distinct words, or its distinct five-word shingles (words are what stands between
-blanks, as written; for shingles, a line of fewer words, but not none, is one token). One changed
+blanks, as written, or between white space, lower-cased; for shingles, a line of fewer words, but not none, is one token). One changed
 word breaks five shingles, so near copies of fewer than 49 words are found by words only. Lines are
 ordered by (doc_id, position). A line goes if an earlier line is equal, or if
 100 * |intersection| >= percent * |union| of the tokens of the two, whether that earlier line stays or goes.
@@ -51,8 +51,12 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _words(line: Column) -> Column:
-    return F.array_remove(F.split(line, " "), "")
+def _words(line: Column, folded: bool) -> Column:
+    return F.array_remove(F.split(F.lower(line), r"[ \t\x0B\f\r]+") if folded else F.split(line, " "), "")
+
+
+def _line_hash(line: Column, folded: bool) -> Column:
+    return F.xxhash64(F.array_join(_words(line, folded), " ") if folded else line)
 
 
 def _by_window(words: Column, of) -> Column:
@@ -74,16 +78,16 @@ def _token_strings(words: Column, by_word: bool) -> Column:
     return F.array_distinct(words if by_word else _let(words, lambda w: _by_window(w, lambda *part: F.concat_ws(" ", *part))))
 
 
-def _line_table(docs: DataFrame, by_word: bool) -> DataFrame:
+def _line_table(docs: DataFrame, by_word: bool, folded: bool) -> DataFrame:
     """Every line with a word, its hashes and its tokens' hashes: doc_id, pos, h, g, tokens. Texts are cut up once."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(F.col("line").rlike(r"\S"))
+    words = F.col("words")
+    own = F.array_join(words, " ") if folded else F.col("line")
+    worded = lines.select("doc_id", "pos", "line", _words(F.col("line"), folded).alias("words"))
     return kept(
-        lines.select(
-            "doc_id", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("g"),
-            _token_hashes(_words(F.col("line")), by_word).alias("tokens"),
-        ),
+        worded.select("doc_id", "pos", F.xxhash64(own).alias("h"), F.xxhash64(F.lit(7), own).alias("g"), _token_hashes(words, by_word).alias("tokens")),
         "line-table",
-    )
+    )
 
 
 def _repeated(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -113,9 +117,9 @@ def _with_positions(docs: DataFrame, places: DataFrame, name: str) -> DataFrame:
     return named.unionByName(docs.filter(~F.coalesce(hit, F.lit(False))).withColumn(name, none))
 
 
-def _kept_positions(lines: Column, places: Column) -> Column:
+def _kept_positions(lines: Column, places: Column, folded: bool) -> Column:
     """Positions of the lines that stay, in order."""
-    gone = F.filter(places, lambda p: F.xxhash64(F.get(lines, p["pos"])) == p["h"])
+    gone = F.filter(places, lambda p: _line_hash(F.get(lines, p["pos"]), folded) == p["h"])
     return F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.transform(gone, lambda p: p["pos"]))
 
 
@@ -198,7 +202,7 @@ def _may_match(a, b, percent: int) -> Column:
     )
 
 
-def _tokens(docs: DataFrame, pairs: DataFrame, by_word: bool) -> DataFrame:
+def _tokens(docs: DataFrame, pairs: DataFrame, by_word: bool, folded: bool) -> DataFrame:
     """doc_id, pos, h and token strings of the lines of the pairs, cut again from their texts."""
     ends = pairs.select("doc_id", "pos").unionByName(pairs.select(F.col("e_doc").alias("doc_id"), F.col("e_pos").alias("pos")))
     places = ends.distinct().withColumn("h", F.lit(0).cast("long"))
@@ -208,14 +212,14 @@ def _tokens(docs: DataFrame, pairs: DataFrame, by_word: bool) -> DataFrame:
         F.explode(_let(F.split("text", "\n"), lambda x: F.transform("wanted", lambda p: F.struct(p["pos"].alias("pos"), F.get(x, p["pos"]).alias("line"))))).alias("l"),
     )
     worded = picked.select("doc_id", "l.pos", "l.line").filter(F.col("line").rlike(r"\S"))
-    strings = _token_strings(_words(F.col("line")), by_word)
-    return kept(worded.select("doc_id", "pos", F.xxhash64("line").alias("h"), strings.alias("tokens")), "tokens")
+    strings = _token_strings(_words(F.col("line"), folded), by_word)
+    return kept(worded.select("doc_id", "pos", _line_hash(F.col("line"), folded).alias("h"), strings.alias("tokens")), "tokens")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, percent: int, by_word: bool) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, percent: int, by_word: bool, folded: bool) -> DataFrame:
     """(doc_id, pos, h) of the later lines of the pairs that reach the threshold."""
     pairs = kept(pairs.distinct(), "pairs")
-    tokens = _tokens(docs, pairs, by_word)
+    tokens = _tokens(docs, pairs, by_word, folded)
     other = tokens.select(F.col("doc_id").alias("e_doc"), F.col("pos").alias("e_pos"), F.col("tokens").alias("others"))
     both = pairs.join(tokens, ["doc_id", "pos"]).join(other, ["e_doc", "e_pos"])
     shared = F.size(F.array_intersect("tokens", "others"))
@@ -238,7 +242,7 @@ def _rare_pairs(rare: DataFrame, percent: int) -> DataFrame:
     return group.select(F.explode(F.flatten(F.transform("g", earlier))).alias("p")).select("p.*")
 
 
-def _near(docs: DataFrame, lines: DataFrame, repeated: DataFrame, percent: int, by_word: bool) -> DataFrame:
+def _near(docs: DataFrame, lines: DataFrame, repeated: DataFrame, percent: int, by_word: bool, folded: bool) -> DataFrame:
     """(doc_id, pos, h) of lines that are no copies and have an earlier similar line."""
     prefixes = kept(_prefixes(lines, repeated, percent), "prefixes")
     is_rare = (F.col("key") >= 0) & (_class_of(F.col("key")) <= _class(RARE))
@@ -249,7 +253,7 @@ def _near(docs: DataFrame, lines: DataFrame, repeated: DataFrame, percent: int,
     later = shared.filter(F.struct("doc_id", "pos") != F.struct("pivot.doc_id", "pivot.pos"))
     fits = _may_match(F.col, lambda c: F.col(f"pivot.{c}"), percent)
     by_pivot = later.filter(fits).select("doc_id", "pos", F.col("pivot.doc_id").alias("e_doc"), F.col("pivot.pos").alias("e_pos"))
-    first = _verified(docs, _rare_pairs(prefixes.filter(is_rare), percent).unionByName(by_pivot), percent, by_word)
+    first = _verified(docs, _rare_pairs(prefixes.filter(is_rare), percent).unionByName(by_pivot), percent, by_word, folded)
     a, b = later.join(first, ["doc_id", "pos"], "left_anti").alias("a"), shared.drop("pivot").alias("b")
     before = F.struct("b.doc_id", "b.pos") < F.struct("a.doc_id", "a.pos")
     fresh = F.struct("b.doc_id", "b.pos") != F.struct("a.pivot.doc_id", "a.pivot.pos")
@@ -257,27 +261,28 @@ def _near(docs: DataFrame, lines: DataFrame, repeated: DataFrame, percent: int,
     rest = a.join(b, (F.col("a.key") == F.col("b.key")) & before & fresh & fits).select(
         "a.doc_id", "a.pos", F.col("b.doc_id").alias("e_doc"), F.col("b.pos").alias("e_pos")
     )
-    return first.unionByName(_verified(docs, rest, percent, by_word))
+    return first.unionByName(_verified(docs, rest, percent, by_word, folded))
 
 
-def removed_lines(docs: DataFrame, percent: int = PERCENT, by_word: bool = False) -> DataFrame:
+def removed_lines(docs: DataFrame, percent: int = PERCENT, by_word: bool = False, folded: bool = False) -> DataFrame:
     """(doc_id, pos, h) of every line that goes."""
     read = ids_and_texts(docs).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    lines = _line_table(read, by_word)
+    lines = _line_table(read, by_word, folded)
     repeated, copies = _repeated(lines)
-    return copies.unionByName(_near(read, lines, repeated, percent, by_word))
+    return copies.unionByName(_near(read, lines, repeated, percent, by_word, folded))
 
 
-def dedup_lines(docs: DataFrame, percent: int = PERCENT, by_word: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, percent: int = PERCENT, by_word: bool = False, folded: bool = False) -> DataFrame:
     """`docs` with `text` less the lines that go; other columns as they were, and last the positions `_removed`.
 
-    by_word: tokens are a line's distinct words, not its shingles.
+    by_word: tokens are a line's distinct words, not its shingles. folded: words are lower-cased and
+    stand between white space of any kind, and lines of the same words in the same order are equal.
     """
-    gone = _with_positions(docs, removed_lines(docs, percent, by_word), "_gone")
+    gone = _with_positions(docs, removed_lines(docs, percent, by_word, folded), "_gone")
     both = _let(
         F.split("text", "\n"),
         lambda x: _let(
-            _kept_positions(x, F.col("_gone")),
+            _kept_positions(x, F.col("_gone"), folded),
             lambda at: F.struct(
                 F.array_join(F.transform(at, lambda i: F.get(x, i)), "\n").alias("text"),
                 F.sort_array(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), at)).alias("removed"),

@@ -83,7 +83,7 @@ def op4(spark: SparkSession, root: str) -> DataFrame:
 def op5(spark: SparkSession, root: str) -> DataFrame:
     from sparkward.llm.lines import dedup_lines
 
-    out = dedup_lines(_table(spark, root, "documents").select("doc_id", "text"), by_word=True)
+    out = dedup_lines(_table(spark, root, "documents").select("doc_id", "text"), by_word=True, folded=True)
     return out.select(
         "doc_id",
         F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_left"),

@@ -50,3 +50,10 @@ def test_one_changed_word_in_a_line_of_twenty(spark):
     line = " ".join(f"w{i}" for i in range(20))
     docs = spark.createDataFrame([(1, line), (2, line.replace("w10", "haingon")), (3, "another line")], "doc_id long, text string")
     assert {r["doc_id"]: r["_removed"] for r in lines.dedup_lines(docs, by_word=True).collect()} == {1: [], 2: [0], 3: []}
+
+
+def test_copies_in_case_tabs_and_line_ends(spark):
+    texts = ["One two\nthree four five", "one\ttwo \r\nTHREE four  five\r", "ONE TWO\n \t\r\none three"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["_removed"]) for r in lines.dedup_lines(docs, by_word=True, folded=True).collect()}
+    assert got == {0: (texts[0], []), 1: ("", [0, 1]), 2: (" \t\r\none three", [0])}
