@@ -223,3 +223,37 @@ def op10(spark: SparkSession, root: str) -> DataFrame:
     folder = scratch_path(spark, "token-files")
     tokenfile.write(_table(spark, root, "documents"), folder, tokenizer_path())
     return tokenfile.read(spark, folder, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+_OP13_SQL = """
+WITH ids AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
+g AS (SELECT c, xor(4294967295, list_reduce(
+        list_concat([4294967295::BIGINT], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+        lambda v, b: list_reduce(list_concat([xor(v, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+          lambda w, z: xor(w >> 1, 3988292384 * (w & 1))))) % 6 AS h FROM ids),
+l AS (SELECT conv_id AS c, list({'role': coalesce(role, ''), 'text': coalesce(text, '')}
+        ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS xs
+      FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+r AS (SELECT g.c, list_concat(coalesce(b.xs, l.xs[1:0])[1:g.h], l.xs[g.h + 1:]) AS xs
+      FROM g JOIN l USING (c) LEFT JOIN l AS b ON b.c = g.c - g.c % 100),
+m AS (SELECT c, len(xs) AS n, d, xs[1:d] AS path FROM r, unnest(range(0, len(xs) + 1)) AS u(d)),
+v AS (SELECT d, path, min(c) AS conv_id, count(*) AS n_convs, max(n) = d AS leaf,
+        (count(*) - 1) * (CASE WHEN d = 0 THEN 0 ELSE length(path[d].text) END) AS saved,
+        sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256
+      FROM m GROUP BY d, path)
+SELECT a.conv_id, CAST(a.d AS BIGINT) AS depth, any_value(p.conv_id) AS parent_conv_id, any_value(a.n_convs) AS n_convs,
+  count(*) FILTER (b.d = a.d + 1) AS n_children, count(*) FILTER (b.leaf) AS n_leaves,
+  CAST(sum(b.saved) AS BIGINT) AS saved_tokens, any_value(a.ends_sha256) AS ends_sha256
+FROM v AS a JOIN v AS b ON b.d >= a.d AND b.path[1:a.d] = a.path LEFT JOIN v AS p ON p.d = a.d - 1 AND p.path = a.path[1:a.d - 1]
+GROUP BY a.conv_id, a.d
+"""
+
+
+@_query("op13_trie", _OP13_SQL)
+def op13(spark: SparkSession, root: str) -> DataFrame:
+    from sparkward.llm.frames import kept
+    from sparkward.llm.trie import trie, turn_ids, with_shared_heads
+
+    turns = kept(turn_ids(_table(spark, root, "conversations")), "turn-ids")
+    heads = (F.crc32(F.col("conv_id").cast("string")) % 6).cast("int")
+    return trie(*with_shared_heads(turns, 100, heads, 5))
