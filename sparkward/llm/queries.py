@@ -257,3 +257,32 @@ def op13(spark: SparkSession, root: str) -> DataFrame:
     turns = kept(turn_ids(_table(spark, root, "conversations")), "turn-ids")
     heads = (F.crc32(F.col("conv_id").cast("string")) % 6).cast("int")
     return trie(*with_shared_heads(turns, 100, heads, 5))
+
+
+_OP11_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+k AS (SELECT doc_id, source, size,
+        -ln((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), text)), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
+          / greatest(0.05::DOUBLE, 1::DOUBLE - (length(text) - length(translate(text, '#*$%&|<>', '')))::DOUBLE / greatest(size, 1)) AS key FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w
+      FROM d GROUP BY source),
+o AS (SELECT *, sum(2 * source_size) OVER a - 2 * source_size AS full_words, sum(w) OVER b AS open_weight, row_number() OVER a AS r,
+        (SELECT sum(source_size) FROM s) * 150 / 100.0::DOUBLE AS all_words
+      FROM s WINDOW a AS (ORDER BY source_size::DOUBLE / w, source NULLS LAST ROWS UNBOUNDED PRECEDING),
+        b AS (ORDER BY source_size::DOUBLE / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+f AS (SELECT (all_words - full_words::DOUBLE) / open_weight::DOUBLE AS share FROM o
+      WHERE 2 * source_size >= w * (all_words - full_words::DOUBLE) / open_weight::DOUBLE ORDER BY r LIMIT 1),
+t AS (SELECT source, source_size, least((2 * source_size)::DOUBLE, w::DOUBLE * coalesce((SELECT share FROM f), 0)) AS target FROM s),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t),
+x AS (SELECT k.*, p.source_size, p.target, p.epochs, CAST(round(p.target) AS BIGINT) - p.epochs * p.source_size AS budget,
+        sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before
+      FROM k JOIN p ON k.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, source_size, target, CAST(epochs * size + least(size, greatest(0, budget - before)) AS BIGINT) AS taken FROM x
+"""
+
+
+@_query("op11_mix", _OP11_SQL)
+def op11(spark: SparkSession, root: str) -> DataFrame:
+    from sparkward.llm.mix import planned
+
+    return planned(_table(spark, root, "documents"), weights=(5, 2, 1), percent=150, most=2).drop("source")
