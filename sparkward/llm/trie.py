@@ -111,7 +111,8 @@ def _key(lane: int) -> Column:
     return key
 
 
-_DEPTH = F.col("block") * WIDTH + F.col("width")
+def _depth() -> Column:
+    return F.col("block") * WIDTH + F.col("width")
 
 
 def _chars_above() -> Column:
@@ -126,7 +127,7 @@ def _own_depths(blocks: DataFrame) -> DataFrame:
     """Of every conversation that is smallest in some node: the least such depth, the code points
     above that depth, and whether one of the nodes has no children."""
     nodes = _rollup(blocks, "min(conv_id) AS conv_id, max(n_turns) AS deepest").select(
-        "conv_id", _DEPTH.alias("depth"), _chars_above().alias("above"), "deepest"
+        "conv_id", _depth().alias("depth"), _chars_above().alias("above"), "deepest"
     )
     return nodes.groupBy("conv_id").agg(
         F.min("depth").alias("own_depth"),
@@ -184,7 +185,7 @@ def trie(turns: DataFrame, members: DataFrame) -> DataFrame:
     depth = F.col("depth")
     nodes = (
         _rollup(known, sums)
-        .withColumns({"depth": _DEPTH, "k1": _key(1), "k2": _key(2), "above": _chars_above()})
+        .withColumns({"depth": _depth(), "k1": _key(1), "k2": _key(2), "above": _chars_above()})
         .select(
             *KEY,
             F.col("first.conv_id").alias("conv_id"),
