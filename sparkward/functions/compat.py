@@ -5,6 +5,8 @@ Everything else on the allowlist is the Spark builtin of the same name.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,6 +82,58 @@ def date_pattern(postgres: str) -> str:
     return out
 
 
+# The fields of make_interval, in order.
+INTERVAL_FIELDS = ("years", "months", "weeks", "days", "hours", "mins", "secs")
+
+
+@dataclass(frozen=True)
+class NumberPattern:
+    """A Postgres number pattern: Spark's pattern of all digits, which leading signs are blank, what FM cuts off."""
+
+    digits: str
+    blanked: str
+    trailing: str
+    fill: bool
+    places: int
+    width: int
+
+
+def number_pattern(postgres: str) -> NumberPattern:
+    """9, 0, the comma and the point, with FM before them; other signs are refused."""
+    fill = not postgres.upper().startswith("FM")
+    body = postgres if fill else postgres[2:]
+    whole, point, part = body.partition(".")
+    if not body or set(body) - set("90,.") or set(part) - set("90") or not set(whole) & set("90"):
+        raise ValueError(f"the number pattern '{postgres}' is not supported")
+    forced = whole.find("0")
+    blank = forced if forced >= 0 else len(whole) - (0 if point else 1)
+    cut = part[part.rfind("0") + 1 :]
+    trailing = rf"(?<=\.\d{{{len(part) - len(cut)},{len(part)}}})0+$" if cut else ""
+    return NumberPattern(body.replace("9", "0"), f"^[0,]{{0,{blank}}}", trailing, fill, len(part), len(body))
+
+
+def interval_text(value: Column) -> Column:
+    """A calendar interval as Postgres writes it: '1 year 2 mons 3 days 04:05:06'."""
+    text = value.cast("string")
+
+    def of(unit: str) -> Column:
+        return F.coalesce(F.nullif(F.regexp_extract(text, rf"(-?[\d.]+) {unit}", 1), F.lit("")), F.lit("0"))
+
+    def field(unit: str, name: str) -> Column:
+        n = of(unit).cast("int")
+        return F.when(n != 0, F.concat(n.cast("string"), F.lit(f" {name}"), F.when(n == 1, F.lit("")).otherwise(F.lit("s"))))
+
+    hours, minutes, seconds = of("hours").cast("int"), of("minutes").cast("int"), of("seconds").cast("decimal(18,6)")
+    sign = F.when((hours < 0) | (minutes < 0) | (seconds < 0), F.lit("-")).otherwise(F.lit(""))
+    rest = F.abs(seconds)
+    whole = F.floor(rest).cast("long")
+    part = F.regexp_replace(F.format_string("%06d", ((rest - whole) * 1_000_000).cast("int")), "0+$", "")
+    clock = F.format_string("%s%02d:%02d:%02d%s", sign, F.abs(hours), F.abs(minutes), whole, F.when(part == "", F.lit("")).otherwise(F.concat(F.lit("."), part)))
+    timed = (hours != 0) | (minutes != 0) | (seconds != 0)
+    dated = F.concat_ws(" ", field("years", "year"), field("months", "mon"), field("days", "day"))
+    return F.when(value.isNull(), F.lit(None)).when(timed, F.trim(F.concat_ws(" ", dated, clock))).otherwise(F.when(dated == "", F.lit("00:00:00")).otherwise(dated))
+
+
 def to_char(when: Column, pattern: str) -> Column:
     return F.date_format(when, date_pattern(pattern))
 

@@ -6,9 +6,10 @@ the session: what they are made of is the owner's, not the user's.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
 
 # Plan nodes without children that hold no stored data.
@@ -34,11 +35,35 @@ class Seen:
     calls: set[str] = field(default_factory=set)
 
 
-def _items(sequence) -> Iterator:
+def items(sequence) -> Iterator:
     for i in range(sequence.size()):
         yield sequence.apply(i)
 
 
+def subqueries(session: SparkSession) -> Callable[[JavaObject], list[JavaObject]]:
+    """Gives the plan of an expression that is a subquery, in a list, else none."""
+    kind = session._jvm.java.lang.Class.forName(_SUBQUERY)
+    return lambda e: [e.plan()] if kind.isInstance(e) else []
+
+
+def resolved(session: SparkSession, plan: JavaObject) -> Iterator[tuple[str, JavaObject]]:
+    """The expressions of an analyzed plan, subqueries included, but not what views are made of."""
+    plans, expressions, of = [plan], [], subqueries(session)
+    rewritten = session._jvm.java.lang.Class.forName(_REWRITTEN)
+    while plans or expressions:
+        if expressions:
+            e = expressions.pop()
+            yield e.getClass().getSimpleName(), e
+            plans.extend(of(e))
+            expressions.extend(items(e.parameters() if rewritten.isInstance(e) else e.children()))
+            continue
+        plan = plans.pop()
+        if plan.getClass().getSimpleName() != "View":
+            plans.extend(items(plan.children()))
+            plans.extend(x for x in items(plan.innerChildren()) if hasattr(x, "expressions"))
+            expressions.extend(items(plan.expressions()))
+
+
 def inspect(df: DataFrame, own_functions: frozenset[str] = frozenset()) -> Seen:
     """Everything the analyzed plan of `df` reads and calls. own_functions: names the session itself registered."""
     jvm = df.sparkSession._jvm
@@ -54,18 +79,18 @@ def inspect(df: DataFrame, own_functions: frozenset[str] = frozenset()) -> Seen:
                 seen.calls.add(name)
             if subquery.isInstance(e):
                 plans.append(e.plan())
-            expressions.extend(_items(e.parameters() if rewritten.isInstance(e) else e.children()))
+            expressions.extend(items(e.parameters() if rewritten.isInstance(e) else e.children()))
             continue
         plan = plans.pop()
         kind = plan.getClass().getSimpleName()
         if kind == "View":
             seen.views.add(plan.desc().identifier().table())
             continue
-        children = list(_items(plan.children()))
+        children = list(items(plan.children()))
         if not children and kind not in _OWN_ROWS:
             seen.relations.add(kind)
         plans.extend(children)
-        expressions.extend(_items(plan.expressions()))
+        expressions.extend(items(plan.expressions()))
     return seen
 
 

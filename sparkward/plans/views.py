@@ -9,10 +9,12 @@ from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkward.functions.compat import interval_text
 from sparkward.functions.masking import mask_frame
 from sparkward.operators.bounded import MAX_BYTES, MAX_ROWS, clamp, over_bytes, row_bytes
 from sparkward.operators.policy import row_filter
 from sparkward.plans.checked import inspect, limit_at
+from sparkward.plans.dialect import as_spark, by_types
 from sparkward.session import written
 
 Loader = Callable[[SparkSession], DataFrame]
@@ -43,7 +45,7 @@ class GovernedSession:
     def sql(self, text: str) -> DataFrame:
         """The read as Spark plans it: scoped and checked, but neither masked by value
         nor limited. For jobs that go on to compute with the result."""
-        return _scoped(self, f"SELECT * FROM (\n{_one_statement(text)}\n) q")
+        return _read(self, _one_statement(text), "")
 
 
 def governed_session(
@@ -95,9 +97,8 @@ def governed_query(governed: GovernedSession, text: str, limit: int | None = Non
     Spark's own parser is the statement check: text that is not one query does not
     parse inside the brackets.
     """
-    body = _with_limit(governed.session, _one_statement(text))
     most = MAX_ROWS if limit is None else clamp(limit)
-    return mask_frame(_scoped(governed, f"SELECT * FROM (\n{body}\n) q LIMIT {most}"))
+    return mask_frame(_read(governed, _one_statement(text), f" LIMIT {most}"))
 
 
 @dataclass(frozen=True)
@@ -152,26 +153,37 @@ def _one_statement(text: str) -> str:
 
 def _with_limit(session: SparkSession, body: str) -> str:
     """The text with the most rows in place of a limit of 0 or less."""
-    try:
-        found = limit_at(session, body)
-    except ParseException as e:
-        raise Refused("only a single SELECT is permitted") from e
+    found = limit_at(session, body)
     if found is None or found[0] > 0:
         return body
     return f"{body[: found[1]]}{MAX_ROWS}{body[found[2] + 1 :]}"
 
 
-def _scoped(governed: GovernedSession, text: str) -> DataFrame:
+def _read(governed: GovernedSession, body: str, tail: str) -> DataFrame:
+    """The user's query as Spark runs it: functions as Postgres has them, checked, intervals as text."""
+    session = governed.session
     try:
-        df = governed.session.sql(text)
+        body = as_spark(session, body)
+        if tail:
+            body = _with_limit(session, body)
+        whole = lambda text: f"SELECT * FROM (\n{text}\n) q{tail}"
+        text = by_types(session, whole(body), lambda t: session.sql(t)._jdf.queryExecution().analyzed())
+        df = session.sql(text)
     except ParseException as e:
         raise Refused("only a single SELECT is permitted") from e
     except AnalysisException as e:
         raise Refused(str(e).splitlines()[0]) from e
+    except ValueError as e:
+        raise Refused(str(e)) from e
+    _check(governed, df)
+    spans = [f.name for f in df.schema.fields if f.dataType.typeName() == "interval"]
+    return df.withColumns({c: interval_text(F.col(f"`{c}`")) for c in spans}) if spans else df
+
+
+def _check(governed: GovernedSession, df: DataFrame) -> None:
     seen = inspect(df)
     if seen.calls:
         raise Refused(f"functions that reach outside the query are not permitted: {sorted(seen.calls)}")
     outside = seen.views - governed.visible
     if outside or seen.relations:
         raise Refused(f"access denied to table(s): {sorted(outside) or 'of the catalog'}")
-    return df
