@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkward.functions import compat as X
 from sparkward.operators.ranking import neighbours, ranks
 from sparkward.operators.running import Cut
 from sparkward.plans import inputs as I
@@ -15,21 +14,18 @@ from sparkward.plans.relational import reader_query
 _GAP = "CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_linenumber END"
 
 
-@query("fn_agg", f"""
+reader_query("fn_agg", f"""
+    SELECT l_orderkey, count(*) AS n, count(g) AS n_g, sum(g) AS sum_g, min(l_quantity) AS min_q, max(l_quantity) AS max_q,
+           avg(l_quantity) AS avg_q, sum(g) / nullif(count(g), 0) AS whole_avg,
+           array_join(array_sort(array_agg(CAST(g AS STRING))), ',', 'NULL') AS collected,
+           string_agg(l_returnflag, ',' ORDER BY l_returnflag DESC) AS flags
+    FROM (SELECT *, {_GAP} AS g FROM lineitem) q GROUP BY l_orderkey""", f"""
     SELECT l_orderkey, count(*) AS n, count(g) AS n_g, CAST(sum(g) AS BIGINT) AS sum_g, min(l_quantity) AS min_q,
            max(l_quantity) AS max_q, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) / count(*) AS avg_q,
-           CAST(len(array_agg(g)) AS INT) AS n_collected,
-           string_agg(l_returnflag, ',' ORDER BY l_returnflag) AS flags
+           CAST(sum(g) AS BIGINT) // nullif(count(g), 0) AS whole_avg,
+           array_to_string(list_transform(list_sort(array_agg(CAST(g AS VARCHAR)), 'ASC', 'NULLS LAST'), lambda x: coalesce(x, 'NULL')), ',') AS collected,
+           string_agg(l_returnflag, ',' ORDER BY l_returnflag DESC) AS flags
     FROM (SELECT *, {_GAP} AS g FROM lineitem) GROUP BY l_orderkey""")
-def fn_agg(spark, root):
-    lines = I.table(spark, root, "lineitem").withColumn("g", F.expr(_GAP))
-    return lines.groupBy("l_orderkey").agg(
-        F.count("*").alias("n"), F.count("g").alias("n_g"), F.sum("g").alias("sum_g"),
-        F.min("l_quantity").alias("min_q"), F.max("l_quantity").alias("max_q"),
-        F.avg("l_quantity").alias("avg_q"), F.size(X.array_agg(F.col("g"))).alias("n_collected"),
-        F.expr("listagg(l_returnflag, ',') WITHIN GROUP (ORDER BY l_returnflag)").alias("flags"),
-    )
-
 
 reader_query("fn_bool_agg", """
     SELECT o_custkey, bool_and(o_totalprice > 50000) AS all_big, bool_or(o_orderstatus = 'P') AS any_p,
@@ -40,44 +36,28 @@ reader_query("fn_bool_agg", """
 reader_query("fn_case_trim", """
     SELECT p_partkey, upper(p_name) AS up, lower(p_type) AS low, trim(concat('  ', p_name, ' ')) AS t,
            ltrim(concat('  ', p_name)) AS lt, rtrim(concat(p_name, '  ')) AS rt, CAST(length(p_name) AS INT) AS len,
-           CAST(char_length(p_brand) AS INT) AS chars, initcap(p_name) AS cap FROM part""", """
+           CAST(char_length(p_brand) AS INT) AS chars, initcap(replace(p_name, ' ', '-')) AS cap FROM part""", """
     SELECT p_partkey, upper(p_name) AS up, lower(p_type) AS low, trim(concat('  ', p_name, ' ')) AS t,
            ltrim(concat('  ', p_name)) AS lt, rtrim(concat(p_name, '  ')) AS rt, CAST(length(p_name) AS INT) AS len,
            CAST(length(p_brand) AS INT) AS chars,
-           array_to_string(list_transform(string_split(p_name, ' '), lambda w: concat(upper(w[1]), lower(w[2:]))), ' ')
+           array_to_string(list_transform(string_split(p_name, ' '), lambda w: concat(upper(w[1]), lower(w[2:]))), '-')
                AS cap FROM part""")
 
 
-@query("fn_concat_null", """
+_JOINED = f"""
     SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(g, -1) AS filled,
            coalesce(nullif(l_returnflag, 'A'), 'was A') AS no_a, greatest(g, 2) AS most, least(g, 2) AS least,
-           concat('x', CAST(g AS VARCHAR), 'y') AS joined
-    FROM (SELECT *, """ + _GAP + """ AS g FROM lineitem)""")
-def fn_concat_null(spark, root):
-    lines = I.table(spark, root, "lineitem").withColumn("g", F.expr(_GAP))
-    return lines.select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.coalesce("g", F.lit(-1)).alias("filled"),
-        F.coalesce(F.nullif("l_returnflag", F.lit("A")), F.lit("was A")).alias("no_a"),
-        F.greatest("g", F.lit(2)).alias("most"), F.least("g", F.lit(2)).alias("least"),
-        X.concat(F.lit("x"), F.col("g").cast("string"), F.lit("y")).alias("joined"),
-    )
-
+           concat('x', CAST(g AS VARCHAR(9)), 'y') AS joined, coalesce('x' || CAST(g AS VARCHAR(9)), 'none') AS piped
+    FROM (SELECT *, {_GAP} AS g FROM lineitem) q"""
+reader_query("fn_concat_null", _JOINED.replace("VARCHAR(9)", "STRING"), _JOINED)
 
-@query("fn_substr", """
+_CUT = """
     SELECT p_partkey, replace(p_name, 'e', '_') AS rep, substring(p_name, 0, 4) AS from0, substring(p_name, 2, 3) AS from2,
-           split_part(p_name, ' ', 2) AS second, split_part(p_name, ' ', -1) AS last, left(p_name, 3) AS l3,
-           left(p_name, -3) AS lm3, right(p_name, 3) AS r3, right(p_name, -3) AS rm3,
-           CAST(position('r' IN p_name) AS INT) AS pos, CAST(strpos(p_name, 'i') AS INT) AS at_i FROM part""")
-def fn_substr(spark, root):
-    name = F.col("p_name")
-    return I.table(spark, root, "part").select(
-        "p_partkey", F.replace(name, F.lit("e"), F.lit("_")).alias("rep"), X.substring(name, 0, 4).alias("from0"),
-        X.substring(name, 2, 3).alias("from2"), F.split_part(name, F.lit(" "), F.lit(2)).alias("second"),
-        F.split_part(name, F.lit(" "), F.lit(-1)).alias("last"), X.left(name, 3).alias("l3"),
-        X.left(name, -3).alias("lm3"), X.right(name, 3).alias("r3"), X.right(name, -3).alias("rm3"),
-        F.position(F.lit("r"), name).alias("pos"), X.strpos(name, "i").alias("at_i"),
-    )
-
+           substring(p_name FROM 3) AS from3, split_part(p_name, ' ', 2) AS second, split_part(p_name, ' ', -1) AS last,
+           left(p_name, 3) AS l3, left(p_name, -3) AS lm3, right(p_name, 3) AS r3, right(p_name, -3) AS rm3,
+           left(p_name, 4 - length(p_name)) AS front, CAST(position('r' IN p_name) AS INT) AS pos, CAST(strpos(p_name, 'i') AS INT) AS at_i
+    FROM part ORDER BY right(p_name, -3), p_partkey"""
+reader_query("fn_substr", _CUT)
 
 reader_query("fn_pad", """
     SELECT n_nationkey, c_custkey, lpad(CAST(c_custkey AS STRING), 8, '0') AS padded, rpad(n_name, 12, '.') AS dotted,
@@ -85,37 +65,31 @@ reader_query("fn_pad", """
     FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 
 
-@query("fn_format", """
+reader_query("fn_format", """
+    SELECT o_orderkey, to_char(o_orderdate, 'YYYY-MM-DD HH24:MI:SS') AS stamp, to_char(o_orderdate, 'DD/MM/YYYY') AS day,
+           encode(o_orderpriority, 'base64') AS b64, encode(o_orderstatus, 'hex') AS hexed,
+           to_char(o_orderkey, '0000000') AS zeros, to_char(o_totalprice, 'FM999,999,990.00') AS price,
+           to_char(-o_orderkey, '9999999') AS minus FROM orders""", """
     SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS stamp, strftime(o_orderdate, '%d/%m/%Y') AS day,
-           base64(encode(o_orderpriority)) AS b64, lower(hex(encode(o_orderstatus))) AS hexed FROM orders""")
-def fn_format(spark, root):
-    day = F.col("o_orderdate")
-    return I.table(spark, root, "orders").select(
-        "o_orderkey", X.to_char(day, "YYYY-MM-DD HH24:MI:SS").alias("stamp"),
-        X.to_char(day, "DD/MM/YYYY").alias("day"),
-        X.encode(F.col("o_orderpriority").cast("binary"), "base64").alias("b64"),
-        X.encode(F.col("o_orderstatus").cast("binary"), "hex").alias("hexed"),
-    )
+           base64(encode(o_orderpriority)) AS b64, lower(hex(encode(o_orderstatus))) AS hexed,
+           printf(' %07d', o_orderkey) AS zeros, format('{:,.2f}', CAST(o_totalprice AS DECIMAL(18,2))) AS price,
+           lpad(CASE WHEN o_orderkey > 0 THEN printf('%d', -o_orderkey) ELSE '0' END, 8, ' ') AS minus FROM orders""")
 
 
 _V = "(CAST(c_custkey AS DOUBLE) - 500) / 4"
 
 
-@query("fn_math", f"""
-    SELECT c_custkey, round(v, 1) AS r1, CAST(ceil(v) AS BIGINT) AS up, CAST(floor(v) AS BIGINT) AS down, abs(v) AS mag,
-           c_custkey % 7 AS m7, power(v, 2) AS sq, round(sqrt(abs(v)), 6) AS root, CAST(sign(v) AS DOUBLE) AS sgn,
-           trunc(v) + 0 AS cut, round(log10(abs(v) + 1), 6) AS lg, round(ln(abs(v) + 1), 6) AS nat,
-           round(exp(v / 1000), 6) AS ex, round(log(2, abs(v) + 1), 6) AS lg2, c_custkey // 7 AS whole
-    FROM (SELECT c_custkey, {_V} AS v FROM customer)""")
-def fn_math(spark, root):
-    v = F.col("v")
-    return I.table(spark, root, "customer").selectExpr("c_custkey", f"{_V} AS v").select(
-        "c_custkey", F.round(v, 1).alias("r1"), F.ceil(v).alias("up"), F.floor(v).alias("down"), F.abs(v).alias("mag"),
-        (F.col("c_custkey") % 7).alias("m7"), F.power(v, F.lit(2)).alias("sq"), F.round(F.sqrt(F.abs(v)), 6).alias("root"),
-        F.sign(v).alias("sgn"), X.trunc(v).alias("cut"), F.round(X.log(F.abs(v) + 1), 6).alias("lg"),
-        F.round(F.ln(F.abs(v) + 1), 6).alias("nat"), F.round(F.exp(v / 1000), 6).alias("ex"),
-        F.round(X.log(F.abs(v) + 1, F.lit(2.0)), 6).alias("lg2"), F.expr("c_custkey div 7").alias("whole"),
-    )
+reader_query("fn_math", f"""
+    SELECT c_custkey, round(CAST(v AS DECIMAL(12,2)), 1) AS r1, round(v * 2) AS even, ceil(v) AS up, floor(v) AS down, abs(v) AS mag,
+           mod(c_custkey, 7) AS m7, power(v, 2) AS sq, round(sqrt(abs(v)), 6) AS root, sign(v) AS sgn, trunc(v) + 0 AS cut,
+           CAST(trunc(v * 1.01, 1) AS DOUBLE) AS cut1, round(log(abs(v) + 1), 6) AS lg, round(ln(abs(v) + 1), 6) AS nat, round(exp(v / 1000), 6) AS ex,
+           round(log(2, abs(v) + 1), 6) AS lg2, c_custkey / 7 AS whole, c_custkey / 7 / 3 AS less
+    FROM (SELECT c_custkey, {_V} AS v FROM (SELECT c_custkey FROM customer) c) q""", f"""
+    SELECT c_custkey, round(CAST(v AS DECIMAL(12,2)), 1) AS r1, round_even(v * 2, 0) AS even, CAST(ceil(v) AS BIGINT) AS up, CAST(floor(v) AS BIGINT) AS down, abs(v) AS mag,
+           c_custkey % 7 AS m7, power(v, 2) AS sq, round(sqrt(abs(v)), 6) AS root, CAST(sign(v) AS DOUBLE) AS sgn, trunc(v) + 0 AS cut,
+           CAST(trunc(CAST(v * 1.01 AS DECIMAL(38,12)) * 10) / 10 AS DOUBLE) AS cut1, round(log10(abs(v) + 1), 6) AS lg, round(ln(abs(v) + 1), 6) AS nat, round(exp(v / 1000), 6) AS ex,
+           round(log(2, abs(v) + 1), 6) AS lg2, c_custkey // 7 AS whole, c_custkey // 7 // 3 AS less
+    FROM (SELECT c_custkey, {_V} AS v FROM (SELECT c_custkey FROM customer) c)""")
 
 
 @query("fn_now", """
@@ -131,38 +105,30 @@ def fn_now(spark, root):
     )
 
 
-@query("fn_date", """
+_MONTHS_BACK = "CASE WHEN extract(day FROM ts) < 29 THEN 1 ELSE 0 END"
+reader_query("fn_date", """
+    SELECT event_id, date_part('year', ts) AS y, extract(month FROM ts) AS m, extract(day FROM ts) AS d, date_part('dow', ts) AS dow,
+           extract(isodow FROM ts) AS isodow, extract(epoch FROM ts) AS epoch, to_char(date_trunc('hour', ts), 'YYYY-MM-DD HH24:MI:SS') AS hour,
+           extract(year FROM age(CAST(ts AS DATE), DATE '2020-02-29')) AS age_years,
+           extract(month FROM age(CAST(ts AS DATE), DATE '2020-02-29')) AS age_months,
+           extract(day FROM age(CAST(ts AS DATE), DATE '2020-02-29')) AS age_days FROM events""", f"""
+    SELECT *, months // 12 AS age_years, months % 12 AS age_months FROM (
     SELECT event_id, CAST(date_part('year', ts) AS INT) AS y, CAST(extract(month FROM ts) AS INT) AS m,
-           CAST(extract(day FROM ts) AS INT) AS d, CAST(date_part('dow', ts) AS INT) AS dow,
+           CAST(extract(day FROM ts) AS INT) AS d, CAST(date_part('dow', ts) AS INT) AS dow, CAST(extract(isodow FROM ts) AS INT) AS isodow,
            epoch_us(ts) / 1000000 AS epoch, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour,
-           CAST(date_diff('month', DATE '2020-02-29', CAST(ts AS DATE)) - CASE WHEN extract(day FROM ts) < 29
-                THEN 1 ELSE 0 END AS INT) AS age_months,
-           CAST(extract(day FROM ts) - 29 + CASE WHEN extract(day FROM ts) < 29 THEN 29 ELSE 0 END AS INT) AS age_days FROM events""")
-def fn_date(spark, root):
-    ts = F.col("ts")
-    age = X.age(ts.cast("date"), F.lit("2020-02-29").cast("date"))
-    return I.table(spark, root, "events").select(
-        "event_id", F.date_part(F.lit("year"), ts).alias("y"), F.extract(F.lit("month"), ts).alias("m"),
-        F.dayofmonth(ts).alias("d"), X.day_of_week(ts).alias("dow"), X.epoch(ts).alias("epoch"),
-        F.date_format(F.date_trunc("hour", ts), "yyyy-MM-dd HH:mm:ss").alias("hour"),
-        age.getField("months").alias("age_months"), age.getField("days").alias("age_days"),
-    )
-
-
-@query("fn_make_date", """
+           date_diff('month', DATE '2020-02-29', CAST(ts AS DATE)) - {_MONTHS_BACK} AS months,
+           CAST(extract(day FROM ts) - 29 + 29 * {_MONTHS_BACK} AS INT) AS age_days FROM events)""".replace("SELECT *,", "SELECT * EXCLUDE (months),", 1))
+
+reader_query("fn_make_date", """
+    SELECT event_id, to_char(make_date(2024, 1 + CAST(event_id % 12 AS INT), 15), 'YYYY-MM-DD') AS made,
+           to_char(to_date(to_char(ts, 'DD/MM/YYYY'), 'DD/MM/YYYY'), 'YYYY-MM-DD') AS parsed,
+           CAST(extract(epoch FROM to_timestamp(CAST(extract(epoch FROM ts) AS DOUBLE))) AS BIGINT) AS from_epoch,
+           to_char(to_timestamp(to_char(ts, 'YYYY-MM-DD HH24'), 'YYYY-MM-DD HH24'), 'YYYY-MM-DD HH24:MI:SS') AS from_text,
+           to_char(ts + make_interval(days => 1, hours => 12), 'YYYY-MM-DD HH24:MI:SS') AS later FROM events""", """
     SELECT event_id, strftime(make_date(2024, 1 + CAST(event_id % 12 AS INT), 15), '%Y-%m-%d') AS made,
-           strftime(CAST(strftime(ts, '%Y-%m-%d') AS DATE), '%Y-%m-%d') AS parsed,
-           epoch_us(to_timestamp(epoch_us(ts) / 1000000)) // 1000000 AS from_epoch,
+           strftime(ts, '%Y-%m-%d') AS parsed, epoch_us(ts) // 1000000 AS from_epoch,
+           strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS from_text,
            strftime(ts + to_hours(36), '%Y-%m-%d %H:%M:%S') AS later FROM events""")
-def fn_make_date(spark, root):
-    ts = F.col("ts")
-    day = F.date_format(ts, "yyyy-MM-dd")
-    return I.table(spark, root, "events").select(
-        "event_id", F.date_format(F.make_date(F.lit(2024), (1 + F.col("event_id") % 12).cast("int"), F.lit(15)), "yyyy-MM-dd").alias("made"),
-        F.date_format(F.to_date(day, X.date_pattern("YYYY-MM-DD")), "yyyy-MM-dd").alias("parsed"),
-        F.unix_seconds(F.timestamp_seconds(X.epoch(ts))).alias("from_epoch"),
-        F.date_format(ts + F.make_dt_interval(F.lit(1), F.lit(12)), "yyyy-MM-dd HH:mm:ss").alias("later"),
-    )
 
 
 reader_query("fn_cast", """
@@ -176,16 +142,12 @@ reader_query("fn_cast", """
            coalesce(try_cast(o_orderpriority AS INT), -1) AS bad FROM orders""")
 
 
-@query("fn_json", """
-    SELECT event_id, props ->> '$.k' AS k, concat('{"a":{"b":"', event_type, '"}}') ->> '$.a.b' AS deep,
-           CAST(json_array_length(concat('[', event_id, ',', user_id, ']')) AS INT) AS n FROM events""")
-def fn_json(spark, root):
-    nested = F.concat(F.lit('{"a":{"b":"'), "event_type", F.lit('"}}'))
-    pair = F.concat(F.lit("["), F.col("event_id").cast("string"), F.lit(","), F.col("user_id").cast("string"), F.lit("]"))
-    return I.table(spark, root, "events").select(
-        "event_id", X.json_path_text(F.col("props"), "k").alias("k"),
-        X.json_path_text(nested, "a", "b").alias("deep"), F.json_array_length(pair).alias("n"),
-    )
+reader_query("fn_json", """
+    SELECT event_id, json_extract_path_text(props, 'k') AS k,
+           jsonb_extract_path_text(concat('{"a":{"b c":["', event_type, '",1]}}'), 'a', 'b c', '0') AS deep,
+           jsonb_array_length(concat('[', event_id, ',', user_id, ']')) AS n, json_array_length('[]') AS none FROM events""", """
+    SELECT event_id, props ->> '$.k' AS k, concat('{"a":{"b c":["', event_type, '",1]}}') ->> '$.a."b c"[0]' AS deep,
+           CAST(json_array_length(concat('[', event_id, ',', user_id, ']')) AS INT) AS n, 0 AS none FROM events""")
 
 
 _PLACE = "l_quantity, l_partkey, l_suppkey, l_linenumber, l_extendedprice"
@@ -238,19 +200,18 @@ def fn_offset_skewed(spark, root):
     return near.drop("us").withColumns({"lag": F.coalesce("lag", absent), "lead": F.coalesce("lead", absent)})
 
 
-@query("fn_typeof", """
-    SELECT 'bigint' AS key_type, 'double' AS price_type, 'string' AS status_type, count(*) AS n FROM orders""")
-def fn_typeof(spark, root):
-    return I.table(spark, root, "orders").groupBy(
-        F.typeof("o_orderkey").alias("key_type"), F.typeof("o_totalprice").alias("price_type"),
-        F.typeof("o_orderstatus").alias("status_type"),
-    ).agg(F.count("*").alias("n"))
+reader_query("fn_typeof", """
+    SELECT pg_typeof(o_orderkey) AS key_type, pg_typeof(o_totalprice) AS price_type, pg_typeof(o_orderstatus) AS status_type,
+           pg_typeof(o_orderdate) AS date_type, pg_typeof(o_orderkey / 2) AS half_type, count(*) AS n
+    FROM orders GROUP BY ALL""", """
+    SELECT 'bigint' AS key_type, 'double precision' AS price_type, 'text' AS status_type, 'timestamp without time zone' AS date_type,
+           'bigint' AS half_type, count(*) AS n FROM orders""")
 
 
 reader_query("fn_setret", """
-    SELECT conv_id, n, word FROM (
-        SELECT conv_id, explode(sequence(CAST(0 AS BIGINT), turn)) AS n, role FROM conversations) s
-    LATERAL VIEW explode(split(role, 's')) w AS word""", """
-    SELECT conv_id, n, word FROM (
-        SELECT conv_id, unnest(generate_series(CAST(0 AS BIGINT), turn)) AS n, role FROM conversations) s,
+    SELECT conv_id, n, word, back FROM (
+        SELECT conv_id, turn, generate_series(0, turn) AS n, role FROM conversations) s, LATERAL unnest(split(role, 's')) w(word),
+        LATERAL generate_series(turn, n, -2) AS g(back)""", """
+    SELECT conv_id, n, word, unnest(generate_series(turn, n, CAST(-2 AS BIGINT))) AS back FROM (
+        SELECT conv_id, turn, unnest(generate_series(CAST(0 AS BIGINT), turn)) AS n, role FROM conversations) s,
     unnest(string_split(role, 's')) w(word)""")
