@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from sparkward.functions.masking import masked_view
 from sparkward.operators import policy as P
+from sparkward.operators.enforce import Limits
 from sparkward.plans import check_sql as C
 from sparkward.plans import inputs as I
+from sparkward.plans.recorded import Reader, read
 from sparkward.plans.registry import query
 from sparkward.plans.views import (
     GovernedSession, governed_query, governed_result, governed_session, readable_tables,
@@ -316,4 +318,53 @@ _CONTACT_TEXT = """SELECT c_custkey, c_name, email, phone FROM customer
     FROM sized WHERE upto <= 6144""")
 def governed_measures(spark, root):
     result = governed_result(role_session(spark, root), _CONTACT_TEXT, max_bytes=6 * 1024)
-    return result.metrics.withColumn("tables", F.lit(",".join(result.tables)))
+    return result.metrics_row().withColumn("tables", F.lit(",".join(result.tables)))
+
+
+_FLOW = {
+    "count": "SELECT o_orderstatus, count(*) AS n, sum(o_orderkey) / count(*) AS mean_key FROM orders GROUP BY o_orderstatus",
+    "top": "SELECT c_name, email FROM customer JOIN orders ON c_custkey = o_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 20",
+    "other_role": "SELECT count(*) AS n FROM lineitem",
+    "two": "SELECT 1 AS one; SELECT 2",
+    "fails": "SELECT max(1 / (o_orderkey - o_orderkey)) AS x FROM orders",
+}
+_SPAN = "(SELECT max(us) + 1000000 FROM audit)"
+
+
+@query("governed_flow", I.with_sql("audit", f"""
+    , state AS (
+        SELECT role, count(*) FILTER (type = 'QUERY_ACCEPTED' OR type = 'QUERY_REJECTED' AND coalesce(stage, '') NOT IN ('RATE_LIMIT', 'CB')) AS queries,
+               sum(CASE WHEN type = 'QUERY_ACCEPTED' THEN exec_ms ELSE 0 END) AS ms,
+               count(*) FILTER (stage = 'AST' AND type IN ('QUERY_REJECTED', 'MUTATION_REJECTED') OR reason = 'bad operator key') AS bad
+        FROM audit WHERE us > {_SPAN} - 864000000000 GROUP BY role),
+    asked AS (SELECT * FROM (VALUES ('reader', 1000000000, 1000000000), ('editor', 1, 1000000000), ('admin', 1000000000, 1)) AS v(role, most, ms_most)),
+    given AS (SELECT role, coalesce(queries, 0) >= most OR coalesce(ms, 0) >= ms_most AS shut, coalesce(bad, 0) AS bad FROM asked LEFT JOIN state USING (role)),
+    texts AS (SELECT * FROM (VALUES (0, 'count', CAST((SELECT count(DISTINCT o_orderstatus) FROM orders) AS BIGINT), 'orders', NULL),
+        (1, 'top', least(20, (SELECT count(*) FROM orders JOIN customer ON c_custkey = o_custkey)), 'customer,orders', NULL),
+        (2, 'other_role', NULL, NULL, 'ROLE'), (3, 'two', NULL, NULL, 'AST'), (4, 'fails', NULL, NULL, 'DB')) AS v(i, name, n, tables, stage)),
+    reads AS (SELECT role, i, CASE WHEN shut OR stage IS NOT NULL THEN 'QUERY_REJECTED' ELSE 'QUERY_ACCEPTED' END AS type,
+            CASE WHEN shut THEN 'RATE_LIMIT' ELSE stage END AS stage, CASE WHEN NOT shut THEN n END AS row_count, CASE WHEN NOT shut THEN tables END AS tables
+          FROM given, texts),
+    trips AS (SELECT role, 3 AS i, 'CIRCUIT_BREAKER_TRIP' AS type, NULL AS stage, NULL AS row_count, NULL AS tables FROM given WHERE NOT shut AND bad + 1 >= 3)
+    SELECT role, CAST(i AS INT) AS i, type, stage, row_count, tables, (SELECT count(*) FROM audit) + (SELECT count(*) FROM reads) + (SELECT count(*) FROM trips) AS n_logged
+    FROM (FROM reads UNION ALL FROM trips)""".replace("    , state", ", state", 1)).replace(") , state", "), state"))
+def governed_flow(spark, root):
+    """Five reads of each of three sessions, after what the log holds already; then the log itself."""
+    path, entries = scratch_path(spark, "flow"), _entries(spark, root)
+    A.append_audit(entries.drop("event_id", "session_id").withColumn("session_id", F.col("role")), path)
+    now = entries.agg(F.max("ts")).first()[0] + 1
+    wide = {"rate_window_s": 864_000, "compute_window_s": 864_000, "violation_window_s": 864_000}
+    limits = {
+        "reader": Limits(max_queries=10**9, max_compute_us=10**12, **wide),
+        "editor": Limits(max_queries=1, max_compute_us=10**12, **wide),
+        "admin": Limits(max_queries=10**9, max_compute_us=10**3, **wide),
+    }
+    loaders = {t: partial(I.table, root=root, name=t) for t in I.TABLES} | {"customer": partial(I.customer_pii, root=root)}
+    governed = governed_session(spark, loaders, ["customer", "orders"], masked={"customer": masked_view}, restricted=I.RESTRICTED)
+    for role, limit in limits.items():
+        for i, text in enumerate(_FLOW.values()):
+            read(Reader(governed, path, role, role, limit), text, now=now + i / 100)
+    log = A.good_events(A.read_audit(spark, path))
+    mine = log.filter(F.col("ts") >= now).withColumn("i", F.round((F.col("ts") - now) * 100).cast("int"))
+    total = log.agg(F.count("type").alias("n_logged"))
+    return mine.select("role", "i", "type", "stage", "row_count", F.array_join("tables_accessed", ",").alias("tables")).withColumn("n_logged", total.scalar())

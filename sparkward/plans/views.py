@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException, ParseException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkward.functions.compat import interval_text
@@ -15,12 +16,15 @@ from sparkward.operators.bounded import MAX_BYTES, MAX_ROWS, clamp, over_bytes,
 from sparkward.operators.policy import row_filter
 from sparkward.plans.checked import inspect, limit_at
 from sparkward.plans.dialect import as_spark, by_types
-from sparkward.session import written
 
 Loader = Callable[[SparkSession], DataFrame]
 
 class Refused(PermissionError):
-    """A read that is not run."""
+    """A read that is not run. `stage` says what refused it, as the audit log names it."""
+
+    def __init__(self, reason: str, stage: str = "AST"):
+        super().__init__(reason)
+        self.stage = stage
 
 
 @dataclass(frozen=True)
@@ -35,11 +39,13 @@ class Tenancy:
 class GovernedSession:
     session: SparkSession
     visible: frozenset[str]
+    #: Tables that exist for some role. Reading one that is not visible is the role's fault, not the text's.
+    known: frozenset[str] = frozenset()
 
     def table(self, name: str) -> DataFrame:
         clean = name.strip().lower()
         if clean not in self.visible:
-            raise Refused(f"table '{clean}' is not readable here")
+            raise Refused(f"table '{clean}' is not readable here", "ROLE" if clean in self.known else "AST")
         return self.session.table(clean)
 
     def sql(self, text: str) -> DataFrame:
@@ -61,8 +67,8 @@ def governed_session(
 
     A masked table is registered under its own name, so a user's functions only ever
     see masked values. Restricted tables are not registered for any role. A tenant's
-    rows are written out before the user's SQL sees them: in one plan, Spark would
-    push the user's predicates down beside the row filter, onto the hidden rows.
+    rows are observed on their way to the user's SQL: Spark moves no predicate below
+    what counts rows, so none of the user's ever sees a hidden row, and nothing is copied.
     """
     session = spark.newSession()
     _copy_settings(spark, session)
@@ -73,10 +79,11 @@ def governed_session(
         df = loaders[name](session)
         held = (tenancy or {}).get(name)
         if held is not None and held.tenant:
-            df = written(row_filter(df, held.column, held.tenant), f"tenant-{name}")
+            own = row_filter(df, held.column, held.tenant)
+            df = own.observe(f"tenant-{name}-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("n"))
         mask = (masked or {}).get(name)
         (mask(df) if mask else df).createOrReplaceTempView(name)
-    return GovernedSession(session, frozenset(names))
+    return GovernedSession(session, frozenset(names), frozenset({n.lower() for n in loaders} - blocked))
 
 
 def _copy_settings(source: SparkSession, target: SparkSession) -> None:
@@ -103,39 +110,54 @@ def governed_query(governed: GovernedSession, text: str, limit: int | None = Non
 
 @dataclass(frozen=True)
 class GovernedResult:
-    """What a read returns: the rows that fit, the tables it read, and its measures."""
+    """What a read returned: the rows that fit, in order, the tables it read, and its measures."""
 
     rows: DataFrame
     tables: list[str]
-    metrics: DataFrame
+    metrics: dict
+
+    def metrics_row(self) -> DataFrame:
+        return self.rows.sparkSession.createDataFrame([tuple(self.metrics.values())], _METRICS)
+
+
+_METRICS = "row_count long, payload_bytes long, truncated boolean, truncation_reason string"
 
 
 def governed_result(
     governed: GovernedSession, text: str, limit: int | None = None, max_bytes: int = MAX_BYTES
 ) -> GovernedResult:
-    """A read with its byte budget kept and its measures taken.
+    """A read with its byte budget kept and its measures taken, in one run.
 
-    The clamped result is one partition of at most the row limit, so its own order
-    can be numbered.
+    The clamped result is one partition of at most the row limit, so its own order can be
+    numbered. The rows that fit come to the caller, row limit and byte budget at most; what is
+    measured is observed on the very rows they are taken from.
     """
     read = governed_query(governed, text, limit)
-    numbered = read.coalesce(1).withColumn("_at", F.monotonically_increasing_id())
-    sized = numbered.withColumn("_bytes", row_bytes(read))
-    upto = F.sum("_bytes").over(Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
-    fits = sized.withColumn("_upto", upto)
-    cut = F.coalesce(F.max("_upto") > max_bytes, F.lit(False))
-    reason = F.when(
-        cut, over_bytes(max_bytes)
-    ).otherwise("")
-    metrics = fits.agg(
-        F.count_if(F.col("_upto") <= max_bytes).alias("row_count"),
-        F.coalesce(F.max(F.when(F.col("_upto") <= max_bytes, F.col("_upto"))), F.lit(0))
-        .alias("payload_bytes"),
-        cut.alias("truncated"),
-        reason.alias("truncation_reason"),
+    at, size, upto = _free(read.columns, "at", "bytes", "upto")
+    numbered = read.coalesce(1).withColumn(at, F.monotonically_increasing_id())
+    before = Window.orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    sized = numbered.withColumn(size, row_bytes(read)).withColumn(upto, F.sum(size).over(before))
+    fits, seen = F.col(upto) <= max_bytes, Observation()
+    observed = sized.observe(
+        seen,
+        F.count_if(fits).alias("row_count"),
+        F.coalesce(F.max(F.when(fits, F.col(upto))), F.lit(0)).alias("payload_bytes"),
+        F.coalesce(F.max(upto) > max_bytes, F.lit(False)).alias("truncated"),
     )
-    rows = fits.filter(F.col("_upto") <= max_bytes).select(*read.columns)
-    return GovernedResult(rows, tables_accessed(read), metrics)
+    kept = observed.filter(fits).orderBy(at).select(*(F.col(f"`{c}`") for c in read.columns)).collect()
+    metrics = {k: seen.get[k] for k in ("row_count", "payload_bytes", "truncated")}
+    metrics["truncation_reason"] = over_bytes(max_bytes) if metrics["truncated"] else ""
+    return GovernedResult(governed.session.createDataFrame(kept, read.schema), tables_accessed(read), metrics)
+
+
+def _free(taken: Iterable[str], *names: str) -> list[str]:
+    """Names like these that none of the taken ones is."""
+    lower, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in lower:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def tables_accessed(df: DataFrame) -> list[str]:
@@ -172,7 +194,7 @@ def _read(governed: GovernedSession, body: str, tail: str) -> DataFrame:
     except ParseException as e:
         raise Refused("only a single SELECT is permitted") from e
     except AnalysisException as e:
-        raise Refused(str(e).splitlines()[0]) from e
+        raise Refused(str(e).splitlines()[0], _stage(governed, e)) from e
     except ValueError as e:
         raise Refused(str(e)) from e
     _check(governed, df)
@@ -180,6 +202,13 @@ def _read(governed: GovernedSession, body: str, tail: str) -> DataFrame:
     return df.withColumns({c: interval_text(F.col(f"`{c}`")) for c in spans}) if spans else df
 
 
+def _stage(governed: GovernedSession, e: AnalysisException) -> str:
+    if e.getCondition() != "TABLE_OR_VIEW_NOT_FOUND":
+        return "AST"
+    name = (e.getMessageParameters() or {}).get("relationName", "").strip("`").lower()
+    return "ROLE" if name in governed.known else "AST"
+
+
 def _check(governed: GovernedSession, df: DataFrame) -> None:
     seen = inspect(df)
     if seen.calls:

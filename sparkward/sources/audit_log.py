@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+from zoneinfo import ZoneInfo
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,15 +39,20 @@ AUDIT_SCHEMA = T.StructType(
 ALERT_TYPES = ("CIRCUIT_BREAKER_TRIP", "MUTATION_REJECTED", "QUERY_REJECTED")
 
 
-def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    """All lines of the log. A line that is no event has only `_corrupt` set.
+def read_audit(spark: SparkSession, path: str, modified_after: datetime | None = None) -> DataFrame:
+    """All lines of the log, or of its files written after a moment. A line that is no event has
+    only `_corrupt` set.
 
     A log that was never written reads as empty.
     """
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
         return spark.createDataFrame([], AUDIT_SCHEMA)
-    return _json_reader(spark.read).json(path)
+    reader = _json_reader(spark.read)
+    if modified_after is not None:
+        zone = ZoneInfo(spark.conf.get("spark.sql.session.timeZone"))
+        reader = reader.option("modifiedAfter", modified_after.astimezone(zone).strftime("%Y-%m-%dT%H:%M:%S"))
+    return reader.json(path)
 
 
 def stream_audit(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
