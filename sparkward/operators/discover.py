@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Collection, Mapping, Sequence
 from functools import reduce
+from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -49,51 +50,159 @@ def list_tables(
     )
 
 
+#: Columns of a composite key, at most.
+KEY_PARTS = 2
+#: How far an estimated count of distinct values may lie below the rows of a key. Its error is 2 %.
+_NEAR = 0.85
+#: Types that are no part of a composite key: measures, flags and contents.
+_NO_PART = ("double", "float", "boolean", "binary", "array", "map", "struct")
+
+
 def describe_table(df: DataFrame, table: str) -> DataFrame:
-    """One row per column: position, name, type, notnull, default and key flag.
+    """One row per column: position, name, type, notnull, default and key flag; see `describe_tables`."""
+    return describe_tables({table: df})
+
+
+def describe_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """One row per column of each table: position, name, type, notnull, default and key flag.
 
-    Parquet declares neither keys nor NOT NULL, so both are measured, for every column.
+    Parquet declares neither keys nor NOT NULL, so both are measured. A column that is a key by
+    itself is flagged; in a table without one, the columns of its first composite key.
     """
-    declared = df.sparkSession.createDataFrame(
-        [
-            (table, i, f.name, f.dataType.simpleString(), not f.nullable, "")
-            for i, f in enumerate(df.schema.fields, 1)
-        ],
-        "table_name string, cid int, name string, type string, declared boolean, "
-        "default_value string",
-    )
-    measured = key_profile(df, df.columns, table).select(
-        F.col("column_name").alias("name"), (F.col("n_nulls") == 0).alias("full"), "is_key"
+    facts, keys = unique_sets(tables)
+    rows = []
+    for table, df in tables.items():
+        own = [k for t, k in keys if t == table]
+        flagged = {c for k in own if len(k) == 1 for c in k} or set(own[0] if own else ())
+        for i, f in enumerate(df.schema.fields, 1):
+            n_rows, n_nulls, _ = facts[table, (f.name,)]
+            rows.append((table, i, f.name, f.dataType.simpleString(), not f.nullable or n_nulls == 0, "", f.name in flagged))
+    return _session(tables).createDataFrame(
+        rows, "table_name string, cid int, name string, type string, notnull boolean, default_value string, is_primary_key boolean"
     )
-    return declared.join(measured, "name", "left").select(
-        "table_name", "cid", "name", "type",
-        (F.col("declared") | F.coalesce("full", F.lit(False))).alias("notnull"),
-        "default_value",
-        F.coalesce("is_key", F.lit(False)).alias("is_primary_key"),
+
+
+def composite_keys(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """(table_name, columns, n_rows): every smallest set of two or more columns, up to KEY_PARTS, that is unique."""
+    facts, keys = unique_sets(tables)
+    rows = [(t, ",".join(k), facts[t, k][0]) for t, k in keys if len(k) > 1]
+    return _session(tables).createDataFrame(rows, "table_name string, columns string, n_rows long")
+
+
+def unique_sets(tables: Mapping[str, DataFrame], most: int = KEY_PARTS) -> tuple[dict, list[tuple[str, tuple[str, ...]]]]:
+    """((table, columns) -> (rows, rows with a null, distinct values), and the smallest unique sets in column order).
+
+    Level by level: a set is looked at only if no part of it is unique by itself. A sketch of
+    each set, all in one scan of the table, drops what is far from unique; what is left is
+    counted exactly in one shuffle of digests. Both are a few numbers for each set of columns.
+    """
+    facts: dict = {}
+    keys: list[tuple[str, tuple[str, ...]]] = []
+    for size in range(1, most + 1):
+        wanted = {t: _sets(df, t, size, facts, keys) for t, df in tables.items()}
+        seen = _estimates({t: tables[t] for t in tables if wanted[t]}, wanted)
+        facts |= seen
+        near = {t: [k for k in ks if (t, k) in seen and seen[t, k][1] == 0 and seen[t, k][2] >= _NEAR * seen[t, k][0]] for t, ks in wanted.items()}
+        exact = _exact(tables, near)
+        numbered = [(t, k) for t, ks in near.items() for k in ks]
+        for r in exact.collect() if exact is not None else []:
+            facts[numbered[r["at"]]] = r["n_rows"], r["n_nulls"], r["n_distinct"]
+        keys += [(t, k) for t, ks in near.items() for k in ks if facts[t, k][2] == facts[t, k][0]]
+    return facts, keys
+
+
+def _sets(df: DataFrame, table: str, size: int, facts: dict, keys: list) -> list[tuple[str, ...]]:
+    if size == 1:
+        return [(c,) for c in df.columns]
+    unique = [set(k) for t, k in keys if t == table]
+    parts = [f.name for f in df.schema.fields if not f.dataType.simpleString().startswith(_NO_PART) and facts[table, (f.name,)][1] == 0]
+
+    def possible(columns: tuple[str, ...]) -> bool:
+        values = 1.0
+        for c in columns:
+            values *= facts[table, (c,)][2] * 1.1
+        return values >= facts[table, columns[:1]][0] and not any(k <= set(columns) for k in unique)
+
+    return [k for k in combinations(parts, size) if possible(k)]
+
+
+def _whole(columns: Sequence[str]) -> Column:
+    """Whether no part is null."""
+    return reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in columns])
+
+
+def _value(df: DataFrame, column: str) -> Column:
+    """A column as something that can be hashed."""
+    kind = df.schema[column].dataType.simpleString()
+    return F.to_json(F.struct(F.col(f"`{column}`"))) if "map<" in kind or "variant" in kind else F.col(f"`{column}`")
+
+
+def _estimates(tables: Mapping[str, DataFrame], sets: Mapping[str, Sequence[tuple[str, ...]]]) -> dict:
+    """(rows, rows with a null, distinct values by a sketch) of each set; a row for each table."""
+    parts = []
+    for t, df in tables.items():
+        cells = [
+            F.struct(
+                F.count_if(~_whole(k)).alias("n_nulls"),
+                F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(F.when(_whole(k), F.xxhash64(*(_value(df, c) for c in k))), F.lit(12))), F.lit(0)).alias("n_distinct"),
+            )
+            for k in sets[t]
+        ]
+        parts.append(df.agg(F.count("*").alias("n_rows"), F.array(*cells).alias("sets")).select(F.lit(t).alias("table_name"), "n_rows", "sets"))
+    found = _union(parts).collect() if parts else []
+    return {
+        (r["table_name"], k): (r["n_rows"], x["n_nulls"], x["n_distinct"])
+        for r in found
+        for k, x in zip(sets[r["table_name"]], r["sets"], strict=True)
+    }
+
+
+def _exact(tables: Mapping[str, DataFrame], sets: Mapping[str, Sequence[tuple[str, ...]]]) -> DataFrame | None:
+    """(at, n_rows, n_nulls, n_distinct) of the sets, numbered in order of `sets`.
+
+    One scan of each table and one shuffle of (set, 128-bit digest); no value travels, and equal
+    ones are summed before the shuffle.
+    """
+    parts, first = [], 0
+    for t, ks in sets.items():
+        cells = [
+            F.struct(F.lit(i).alias("at"), *(F.when(_whole(k), F.xxhash64(F.lit(salt), *(_value(tables[t], c) for c in k))).alias(f"h{salt}") for salt in (1, 2)))
+            for i, k in enumerate(ks, first)
+        ]
+        first += len(ks)
+        if cells:
+            parts.append(tables[t].select(F.explode(F.array(*cells)).alias("x")).select("x.*"))
+    if not parts:
+        return None
+    counted = _union(parts).groupBy("at", "h1", "h2").agg(F.count("*").alias("n"))
+    return counted.groupBy("at").agg(
+        F.sum("n").alias("n_rows"),
+        F.coalesce(F.sum(F.when(F.col("h1").isNull(), F.col("n"))), F.lit(0)).alias("n_nulls"),
+        F.count("h1").alias("n_distinct"),
     )
 
 
+def _session(tables: Mapping[str, DataFrame]) -> SparkSession:
+    return next(iter(tables.values())).sparkSession
+
+
 def key_profile(df: DataFrame, columns: Sequence[str], table: str) -> DataFrame:
-    """Per candidate column: rows, NULLs, distinct values, and whether it is a key.
+    """Per candidate column: rows, NULLs, distinct values, and whether it is a key; see `key_profiles`."""
+    return key_profiles({table: df}, {table: columns})
+
 
-    Each column is counted by value in its own type, from a scan of that column
-    alone. Equal values meet before the shuffle, so one that fills a third of the
-    table costs one row per task.
+def key_profiles(tables: Mapping[str, DataFrame], columns: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """Per column of each table: rows, NULLs, distinct values, and whether it is a key.
+
+    All columns of a table are counted exactly in one scan and one shuffle of digests.
     """
-    return _union([_one_key(df, c, table) for c in columns])
-
-
-def _one_key(df: DataFrame, column: str, table: str) -> DataFrame:
-    by_value = df.groupBy(F.col(f"`{column}`").alias("v")).agg(F.count("*").alias("n"))
-    return by_value.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
-        F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("n_nulls"),
-        F.count("v").alias("n_distinct"),
-    ).select(
-        F.lit(table).alias("table_name"), F.lit(column).alias("column_name"),
-        "n_rows", "n_nulls", "n_distinct",
-        ((F.col("n_nulls") == 0) & (F.col("n_distinct") == F.col("n_rows"))).alias("is_key"),
+    asked = {t: [(c,) for c in (columns[t] if columns else df.columns)] for t, df in tables.items()}
+    listed = _session(tables).createDataFrame(
+        [(t, i, k[0]) for i, (t, k) in enumerate((t, k) for t, ks in asked.items() for k in ks)], "table_name string, at int, column_name string"
     )
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    out = listed.join(_exact(tables, asked), "at", "left").select("table_name", "column_name", *map(zero, ("n_rows", "n_nulls", "n_distinct")))
+    return out.withColumn("is_key", (F.col("n_nulls") == 0) & (F.col("n_distinct") == F.col("n_rows")))
 
 
 def candidate_references(
@@ -118,6 +227,42 @@ def candidate_references(
     ]
 
 
+def value_references(
+    tables: Mapping[str, DataFrame], children: Sequence[tuple[str, str]], keys: Collection[tuple[str, str]]
+) -> list[tuple[str, str, str, str]]:
+    """References that the values alone allow: from `children` to the key columns `keys` of other tables.
+
+    One theta sketch of each column, of a fixed size and all in one job, tells which pairs surely
+    do not hold: a value of the child below both sketches' thresholds that the parent's sketch lacks is
+    no value of the parent. So no pair that holds is dropped; what is left is for `fk_profile` to count.
+    """
+    columns = list(dict.fromkeys([*children, *keys]))
+    kinds = {(t, c): _family(tables[t].schema[c].dataType.simpleString()) for t, c in columns}
+    columns = [x for x in columns if kinds[x]]
+    parts = []
+    for t in dict.fromkeys(t for t, _ in columns):
+        own = [c for u, c in columns if u == t]
+        sketches = [F.struct(F.lit(c).alias("c"), F.theta_sketch_agg(F.col(f"`{c}`").cast(kinds[t, c])).alias("sketch")) for c in own]
+        parts.append(tables[t].agg(F.array(*sketches).alias("xs")).select(F.lit(t).alias("t"), F.explode("xs").alias("x")).select("t", "x.*"))
+    if not parts:
+        return []
+    kept = _union(parts).collect()  # a few kilobytes for each column
+    held = _session(tables).createDataFrame([(r["t"], r["c"], kinds[r["t"], r["c"]], r["sketch"]) for r in kept], "t string, c string, kind string, sketch binary")
+    asked = _session(tables).createDataFrame([*children], "t string, c string")
+    named = _session(tables).createDataFrame([*keys], "u string, d string")
+    child = held.join(asked, ["t", "c"])
+    parent = held.select(F.col("t").alias("u"), F.col("c").alias("d"), "kind", F.col("sketch").alias("other")).join(named, ["u", "d"])
+    pairs = child.join(parent, "kind").filter("t <> u")
+    lacking = F.theta_sketch_estimate(F.theta_difference("sketch", "other"))
+    return sorted((r["t"], r["c"], r["u"], r["d"]) for r in pairs.filter((F.theta_sketch_estimate("sketch") > 0) & (lacking == 0)).select("t", "c", "u", "d").collect())
+
+
+def _family(kind: str) -> str | None:
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return "bigint"
+    return "string" if kind == "string" else None
+
+
 def fk_profile(
     tables: Mapping[str, DataFrame],
     candidates: Sequence[tuple[str, str, str, str]],
@@ -144,3 +289,25 @@ def fk_profile(
             )
         )
     return _union(checks)
+
+
+def composite_references(
+    tables: Mapping[str, DataFrame], candidates: Sequence[tuple[str, Sequence[str], str, Sequence[str]]]
+) -> DataFrame:
+    """Which `(table, columns, references_table, references_columns)` of several columns hold, columns in the key's order.
+
+    A child row with a null part refers to nothing, as it does for a declared reference.
+    """
+    checks = []
+    for child, columns, parent, targets in candidates:
+        names = [f"v{i}" for i in range(len(columns))]
+        wanted = tables[child].select(*(F.col(f"`{c}`").alias(n) for c, n in zip(columns, names, strict=True))).dropna().distinct()
+        had = tables[parent].select(*(F.col(f"`{c}`").alias(n) for c, n in zip(targets, names, strict=True)))
+        orphans = wanted.join(had, names, "left_anti").agg(F.count("*").alias("n_orphans"))
+        checks.append(
+            orphans.select(
+                F.lit(child).alias("table_name"), F.lit(",".join(columns)).alias("column_names"), F.lit(parent).alias("references_table"),
+                F.lit(",".join(targets)).alias("references_columns"), "n_orphans", (F.col("n_orphans") == 0).alias("is_foreign_key"),
+            )
+        )
+    return _union(checks)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,40 +124,74 @@ def table_row_estimates(spark, root):
     return D.table_rows({t: I.table(spark, root, t) for t in I.OPEN_TABLES})
 
 
-def _describe_sql(table: str) -> str:
-    return " UNION ALL ".join(
-        f"SELECT '{table}' AS table_name, {i} AS cid, '{c}' AS name, '{kind}' AS type, count(*) = count({c}) AS notnull, "
-        f"'' AS default_value, count(*) = count({c}) AND count(DISTINCT {c}) = count(*) AS is_primary_key FROM {table}"
-        for i, (c, kind) in enumerate(I.COLUMNS[table], 1)
-    )
+def _unique(columns: str) -> str:
+    return f"count(*) = count({columns}) AND count(DISTINCT {columns}) = count(*)"
 
 
-@query("describe_table", " UNION ALL ".join(map(_describe_sql, I.COLUMNS)))
+def _parts(table: str) -> list[tuple[str, str]]:
+    """The pairs of columns that may be a composite key."""
+    return list(combinations([c for c, kind in I.COLUMNS[table] if not kind.startswith(D._NO_PART)], 2))
+
+
+_SINGLE = " UNION ALL ".join(
+    f"SELECT '{t}' AS t, {i} AS i, '{c}' AS c, '{kind}' AS kind, count(*) AS n, count({c}) AS n_full, {_unique(c)} AS is_key FROM {t}"
+    for t, cs in I.COLUMNS.items() for i, (c, kind) in enumerate(cs, 1))
+_PAIRS = " UNION ALL ".join(
+    f"SELECT '{t}' AS t, {i} AS i, '{a}' AS a, '{b}' AS b, count(*) AS n FROM {t} HAVING count(*) = count(CASE WHEN {a} IS NOT NULL THEN {b} END) "
+    f"AND count(*) = count(DISTINCT ({a}, {b}))" for t in I.COLUMNS for i, (a, b) in enumerate(_parts(t)))
+_KEYS_SQL = f"""WITH s AS ({_SINGLE}), p AS (SELECT * FROM ({_PAIRS}) WHERE (t, a) NOT IN (SELECT t, c FROM s WHERE is_key)
+    AND (t, b) NOT IN (SELECT t, c FROM s WHERE is_key))"""
+
+
+@query("describe_table", f"""{_KEYS_SQL}, first AS (SELECT t, arg_min([a, b], i) AS cs FROM p WHERE t NOT IN (SELECT t FROM s WHERE is_key) GROUP BY t)
+    SELECT t AS table_name, i AS cid, c AS name, kind AS type, n = n_full AS notnull, '' AS default_value,
+           is_key OR coalesce(list_contains(cs, c), false) AS is_primary_key FROM s LEFT JOIN first USING (t)""")
 def describe_table(spark, root):
-    parts = [D.describe_table(I.scan_table(spark, root, f" {t.upper()} ", I.OPEN_TABLES), t) for t in I.OPEN_TABLES]
-    return reduce(DataFrame.unionByName, parts)
+    return D.describe_tables({t: I.scan_table(spark, root, f" {t.upper()} ", I.OPEN_TABLES) for t in I.OPEN_TABLES})
+
+
+@query("composite_keys", f"{_KEYS_SQL} SELECT t AS table_name, concat(a, ',', b) AS columns, n AS n_rows FROM p")
+def composite_keys(spark, root):
+    return D.composite_keys({t: I.table(spark, root, t) for t in I.OPEN_TABLES})
 
 
-@query("key_profile", " UNION ALL ".join(
-    f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_nulls, "
-    f"count(DISTINCT {c}) AS n_distinct, count(*) = count({c}) AND count(DISTINCT {c}) = count(*) AS is_key FROM {t}"
-    for t, cs in I.COLUMNS.items() for c, _ in cs))
+@query("key_profile", f"""SELECT t AS table_name, c AS column_name, n AS n_rows, n - n_full AS n_nulls, d AS n_distinct, is_key FROM ({" UNION ALL ".join(
+    f"SELECT '{t}' AS t, '{c}' AS c, count(*) AS n, count({c}) AS n_full, count(DISTINCT {c}) AS d, {_unique(c)} AS is_key FROM {t}"
+    for t, cs in I.COLUMNS.items() for c, _ in cs)})""")
 def key_profile(spark, root):
-    tables = {t: I.table(spark, root, t) for t in I.OPEN_TABLES}
-    return reduce(DataFrame.unionByName, [D.key_profile(df, df.columns, t) for t, df in tables.items()])
+    return D.key_profiles({t: I.table(spark, root, t) for t in I.OPEN_TABLES})
+
+
+_NAMED = D.candidate_references(I.COLUMNS)
+
+
+def _loose(columns, named) -> list[tuple[str, str]]:
+    """Columns that are named like references but like no other table's column."""
+    told = {(t, c) for t, c, _, _ in named}
+    return [(t, c) for t, cs in columns.items() for c, _ in cs if c.endswith(("key", "id")) and (t, c) not in told]
+
+
+def _orphans(a: str, b: str, c: str, d: str) -> str:
+    return (f"SELECT '{a}' AS table_name, '{b}' AS column_name, '{c}' AS references_table, '{d}' AS references_column, "
+            f"count(*) AS n_orphans, count(*) = 0 AS is_foreign_key FROM (SELECT {b} AS v FROM {a} WHERE {b} IS NOT NULL EXCEPT SELECT {d} FROM {c})")
 
 
-# Named unlike what it refers to, so no rule finds it.
-_KNOWN = (("events", "user_id", "customer", "c_custkey"),)
-_REFERENCES = (*D.candidate_references(I.COLUMNS), *_KNOWN)
+_KIND = {(t, c): D._family(kind) for t, cs in I.COLUMNS.items() for c, kind in cs}
+_BY_VALUE = " UNION ALL ".join(
+    f"{_orphans(a, b, c, d)} WHERE (SELECT count({b}) FROM {a}) > 0 AND (SELECT {_unique(d)} FROM {c}) HAVING count(*) = 0 AND (SELECT {_unique(d)} FROM {c}) AND (SELECT count({b}) FROM {a}) > 0"
+    for a, b in _loose(I.COLUMNS, _NAMED) if a not in I.RESTRICTED and _KIND[a, b]
+    for c, cs in I.COLUMNS.items() if c != a and c not in I.RESTRICTED for d, _ in cs if _KIND[c, d] == _KIND[a, b])
 
 
-@query("fk_profile", " UNION ALL ".join(
-    f"SELECT '{a}' AS table_name, '{b}' AS column_name, '{c}' AS references_table, '{d}' AS references_column, "
-    f"count(*) AS n_orphans, count(*) = 0 AS is_foreign_key FROM "
-    f"(SELECT {b} AS v FROM {a} WHERE {b} IS NOT NULL EXCEPT SELECT {d} FROM {c})"
-    for a, b, c, d in _REFERENCES if c not in I.RESTRICTED))
+@query("fk_profile", " UNION ALL ".join([*(_orphans(*x) for x in _NAMED if x[2] not in I.RESTRICTED and x[0] not in I.RESTRICTED), _BY_VALUE]))
 def fk_profile(spark, root):
+    """References that names suggest, whether they hold or not; of columns whose names suggest none, those that values allow."""
     tables = {t: I.table(spark, root, t) for t in I.OPEN_TABLES}
-    found = D.candidate_references({t: [(f.name, f.dataType.simpleString()) for f in df.schema] for t, df in tables.items()})
-    return D.fk_profile(tables, [*found, *_KNOWN], I.OPEN_TABLES)
+    columns = {t: [(f.name, f.dataType.simpleString()) for f in df.schema] for t, df in tables.items()}
+    named = D.candidate_references(columns)
+    _, keys = D.unique_sets(tables, most=1)
+    by_value = D.value_references(tables, _loose(columns, named), [(t, k[0]) for t, k in keys if len(k) == 1])
+    asked = D.fk_profile(tables, named, I.OPEN_TABLES)
+    if not by_value:
+        return asked
+    return asked.unionByName(D.fk_profile(tables, by_value, I.OPEN_TABLES).filter("is_foreign_key"))
