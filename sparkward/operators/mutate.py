@@ -6,6 +6,7 @@ import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -187,31 +188,69 @@ def read_version(spark: SparkSession, root: str, version: int | None = None) ->
     return spark.read.parquet(*reversed(parts))
 
 
-def write_version(df: DataFrame, root: str, base: int = 0, only_added: bool = False) -> int:
+def _claim(spark: SparkSession, root: str, version: int, token: str) -> None:
+    """Take a version's number for the one writer that gets it; the claim tells for which proposal."""
+    jvm, path = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(f"{root}/claim-{version}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path.getParent())
+    # On a local disk Hadoop looks first and creates then, so the file system itself is asked.
+    local = fs.getUri().getScheme() == "file"
+    try:
+        mine = jvm.java.io.File(path.toUri().getPath()).createNewFile() if local else True
+        out = fs.create(path, local) if mine else None
+    except Py4JJavaError as e:
+        if "AlreadyExists" not in e.java_exception.getClass().getSimpleName():
+            raise
+        out = None
+    if out is None:
+        raise FileExistsError(f"version {version} under {root} is another writer's")
+    out.write(bytearray(token.encode()))
+    out.close()
+
+
+def claims(spark: SparkSession, root: str, after: int = 0) -> dict[int, str]:
+    """Committed version to the token it was claimed with, of versions past `after`."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    found = {}
+    for n in versions(spark, root):
+        at = path(f"{root}/claim-{n}")
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        if n > after and fs.exists(at):
+            found[n] = spark.read.text(at.toString(), wholetext=True).agg(F.max("value")).first()[0] or ""
+    return found
+
+
+def write_version(df: DataFrame, root: str, base: int = 0, only_added: bool = False, token: str = "") -> int:
     """Commit version base + 1 beside the others; the one being read is never overwritten.
 
-    Of two writers that started from one base the second fails, and so does one that
-    meets what a dead writer left: `clear_abandoned` removes that.
+    The number is claimed first, by creating a file that must not be there. So of two writers that
+    started from one base the second fails, whatever it writes and whenever it looked, and so does
+    one that meets what a dead writer left: `clear_abandoned` removes that.
     """
-    known = _folders(df.sparkSession, root)
-    if base + 1 in known:
+    spark = df.sparkSession
+    if base + 1 in _folders(spark, root):
         raise FileExistsError(f"version {base + 1} under {root} exists already")
+    _claim(spark, root, base + 1, token)
     df.write.mode("errorifexists").parquet(f"{root}/v{base + 1}{'a' if only_added else ''}")
     return base + 1
 
 
 def clear_abandoned(spark: SparkSession, root: str) -> list[int]:
-    """Remove versions whose write never finished; only while no writer is at work."""
+    """Remove versions, and claims to versions, whose write never finished; only while no writer is at work."""
     path = spark._jvm.org.apache.hadoop.fs.Path
-    gone = []
-    for n, (folder, done) in _folders(spark, root).items():
-        if not done:
-            path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).delete(path(folder), True)
-            gone.append(n)
+    known, folder = _folders(spark, root), path(root)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    claimed = {int(m[1]) for n in names if (m := re.fullmatch(r"claim-(\d+)", n))}
+    gone = sorted({n for n, (_, done) in known.items() if not done} | (claimed - known.keys()))
+    for n in gone:
+        if n in known:
+            fs.delete(path(known[n][0]), True)
+        fs.delete(path(f"{root}/claim-{n}"), False)
     return gone
 
 
-def apply(spark: SparkSession, root: str, change: Mutation) -> int:
+def apply(spark: SparkSession, root: str, change: Mutation, token: str = "") -> int:
     """Commit the table after the change as the next version. An INSERT writes only its rows.
 
     UPDATE and DELETE write the table anew: plain Parquet has no change in place.
@@ -219,8 +258,8 @@ def apply(spark: SparkSession, root: str, change: Mutation) -> int:
     base = versions(spark, root)[-1]
     before = read_version(spark, root, base)
     if change.kind == INSERT:
-        return write_version(change.rows.select(*before.columns), root, base, only_added=True)
-    return write_version(transformed(before, change), root, base)
+        return write_version(change.rows.select(*before.columns), root, base, only_added=True, token=token)
+    return write_version(transformed(before, change), root, base, token=token)
 
 
 APPLIED_SCHEMA = "proposal_token string, us bigint, version int"
@@ -231,13 +270,19 @@ def apply_proposal(
 ) -> int:
     """Apply a recorded proposal once, within its lifetime, by someone who may approve.
 
-    `ledger` holds what `propose` gave, `used` one row for each applied proposal. The
-    row is written after the commit, so a run that fails leaves the proposal usable.
+    `ledger` holds what `propose` gave, `used` one row for each applied proposal. The version
+    carries the token, so a run that dies between the commit and that row leaves a proposal
+    that is known to be applied; one that dies before the commit leaves it usable.
     """
     if not can_approve:
         raise PermissionError("this role may not approve changes")
     pending = spark.read.schema(PROPOSAL_SCHEMA).parquet(ledger).filter(F.col("proposal_token") == token)
     spent = spark.createDataFrame([], APPLIED_SCHEMA) if not _exists(spark, used) else spark.read.schema(APPLIED_SCHEMA).parquet(used)
+    last = spent.agg(F.max("version")).first()[0] or 0
+    for version, claimed in claims(spark, root, last).items():
+        if claimed == token:
+            spark.createDataFrame([(token, now_us, version)], APPLIED_SCHEMA).write.mode("append").parquet(used)
+            raise PermissionError(f"proposal '{token}' is applied")
     row = proposal_status(pending, spent.filter(F.col("proposal_token") == token), now_us).first()
     if row is None:
         raise LookupError(f"no proposal '{token}'")
@@ -245,7 +290,7 @@ def apply_proposal(
         raise PermissionError(f"proposal '{token}' is {row['state'].lower()}")
     if row["statement_type"] != change.kind or row["normalized_sql"] != change.sql(row["target_tables"][0]):
         raise PermissionError(f"the change is not the one proposed as '{token}'")
-    version = apply(spark, root, change)
+    version = apply(spark, root, change, token)
     spark.createDataFrame([(token, now_us, version)], APPLIED_SCHEMA).write.mode("append").parquet(used)
     return version
 

@@ -1,7 +1,7 @@
 """The enforcement rules as streams over the event table, run over all it holds.
 
-A stream emits what its watermark has passed, so the checks leave out the last
-stretch, one watermark long, before the newest event.
+The input is finished, so the rows behind the last watermark come out too: `run_finished` ends
+each stream, and the checks are the rules over all events.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from sparkward.session import scratch_path
 from sparkward.streaming import streams as S
 
 DELAY = "1 day"
-_DELAY_US = 86_400_000_000
 
 
 def followed(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -36,13 +35,9 @@ def live_events(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-# The watermark is kept in whole milliseconds.
-_MARK = f"mark AS (SELECT (max(us) - {_DELAY_US}) // 1000 * 1000 AS mark FROM {{source}})"
-
 _LIVE_VIOLATIONS = f"""WITH RECURSIVE ev AS ({I.SQL['ev']}),
     viol AS (SELECT session_id, us, row_number() OVER (PARTITION BY session_id ORDER BY us) AS rn
              FROM ev WHERE event_type = 'error'),
-    {_MARK.format(source="viol")},
     fold(session_id, rn, us, recent, until) AS (
         SELECT session_id, rn, us, [us], CAST(0 AS BIGINT) FROM viol WHERE rn = 1
         UNION ALL
@@ -53,34 +48,34 @@ _LIVE_VIOLATIONS = f"""WITH RECURSIVE ev AS ({I.SQL['ev']}),
                    CASE WHEN f.until > 0 AND p.us >= f.until THEN 0 ELSE f.until END AS until
             FROM fold f JOIN viol p ON p.session_id = f.session_id AND p.rn = f.rn + 1))
     SELECT session_id, us, len(recent) AS n_violations, len(recent) >= {N.K} AS tripped,
-           until AS quarantine_until_us FROM fold, mark WHERE us <= mark"""
+           until AS quarantine_until_us FROM fold"""
 
 
 @query("stream_violations", _LIVE_VIOLATIONS)
 def stream_violations(spark, root):
     violations = live_events(spark, root).filter("event_type = 'error'").select("session_id", "us", "at")
-    return S.run_to_table(S.stream_violations(violations, N.LIMITS, DELAY), "trips")
+    return S.run_finished({"at": violations}, lambda v: S.stream_violations(v, N.LIMITS, DELAY), "trips")
 
 
-@query("stream_rate", I.with_sql("ev", "").rstrip() + f""", {_MARK.format(source="ev")},
+@query("stream_rate", I.with_sql("ev", "").rstrip() + """,
     placed AS (SELECT session_id, unnest(generate_series(us // 21600000000 - 3, us // 21600000000)) * 21600000000
                AS start_us FROM ev)
-    SELECT start_us, start_us + 86400000000 AS end_us, session_id, count(*) AS n_queries FROM placed, mark
-    WHERE start_us + 86400000000 <= mark GROUP BY 1, 2, 3""")
+    SELECT start_us, start_us + 86400000000 AS end_us, session_id, count(*) AS n_queries FROM placed
+    GROUP BY 1, 2, 3""")
 def stream_rate(spark, root):
     queries = live_events(spark, root).select("session_id", "at")
-    return S.run_to_table(S.stream_rate(queries, "1 day", "6 hours", DELAY), "rate")
+    return S.run_finished({"at": queries}, lambda q: S.stream_rate(q, "1 day", "6 hours", DELAY), "rate")
 
 
-@query("stream_sessions", I.with_sql("ev", "").rstrip() + f""", {_MARK.format(source="ev")},
+@query("stream_sessions", I.with_sql("ev", "").rstrip() + """,
     marked AS (SELECT role, us, CASE WHEN us - lag(us) OVER (PARTITION BY role ORDER BY us) < 900000000 THEN 0 ELSE 1
                END AS opens FROM ev),
     numbered AS (SELECT role, us, sum(opens) OVER (PARTITION BY role ORDER BY us) AS s FROM marked)
     SELECT role, min(us) AS start_us, max(us) + 900000000 AS end_us, count(*) AS n_events
-    FROM numbered, mark GROUP BY role, s HAVING max(us) + 900000000 <= max(mark)""")
+    FROM numbered GROUP BY role, s""")
 def stream_sessions(spark, root):
     events = live_events(spark, root).select("role", "at")
-    return S.run_to_table(S.stream_sessions(events, "role", "15 minutes", DELAY), "sessions")
+    return S.run_finished({"at": events}, lambda e: S.stream_sessions(e, "role", "15 minutes", DELAY), "sessions")
 
 
 @query("stream_dedup", I.with_sql("ev", "SELECT event_id, session_id, us FROM ev"))
@@ -94,11 +89,10 @@ def stream_dedup(spark, root):
 
 
 @query("stream_lifecycle", I.with_sql("proposals outcomes", "").rstrip() + """,
-    marks AS (SELECT least((SELECT max(us) FROM proposals), (SELECT max(us) FROM outcomes)) - 600000000 AS mark),
     joined AS (SELECT p.proposal_token, p.us, o.type, o.us AS outcome_us FROM proposals p LEFT JOIN outcomes o
         ON o.proposal_token = p.proposal_token AND o.us BETWEEN p.us AND p.us + 300000000)
     SELECT proposal_token, us, coalesce(type, 'OPEN') AS outcome, coalesce(outcome_us - us, -1) AS latency_us
-    FROM joined, marks WHERE type IS NOT NULL OR us + 300000000 < mark""")
+    FROM joined""")
 def stream_lifecycle(spark, root):
     orders = followed(spark, root, "orders")
     start = f"unix_micros(CAST(o_orderdate AS TIMESTAMP)) + ({I.PROPOSED_S}) * 1000000"
@@ -108,7 +102,7 @@ def stream_lifecycle(spark, root):
         f"{token} AS token", f"timestamp_micros({start} + ({I.OUTCOME_S}) * 1000000) AS outcome_at",
         "CASE o_orderstatus WHEN 'F' THEN 'MUTATION_APPLIED' ELSE 'MUTATION_REJECTED' END AS type",
     )
-    return S.run_to_table(S.stream_lifecycle(proposed, outcomes), "lifecycle")
+    return S.run_finished({"at": proposed, "outcome_at": outcomes}, S.stream_lifecycle, "lifecycle")
 
 
 @query("stream_state", I.with_sql("ev", """

@@ -5,15 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def local_session(cores: int = 8, app: str = "sparkward") -> SparkSession:
-    """A single-JVM session for tests and the bench; a cluster brings its own."""
+    """A single-JVM session for tests and the bench; a cluster brings its own.
+
+    Its executors all live on this machine, so where no shared folder is set it may be a temporary one.
+    """
+    SparkContext._ensure_initialized()
+    builder = SparkSession.builder
+    if not SparkConf().contains(_CHECKPOINT_DIR):
+        builder = builder.config(_CHECKPOINT_DIR, tempfile.mkdtemp(prefix="sparkward-"))
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -29,19 +37,11 @@ def local_session(cores: int = 8, app: str = "sparkward") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
-
-    Only a local session, whose executors all live on this machine, may fall back
-    to a temporary folder.
-    """
+    """The folder every executor can reach, as the cluster names it. It cannot be set once a session runs."""
     configured = spark.conf.get(_CHECKPOINT_DIR, None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {_CHECKPOINT_DIR} to a folder all executors share")
-    own = tempfile.mkdtemp(prefix="sparkward-")
-    spark.conf.set(_CHECKPOINT_DIR, own)
-    return own
+    if not configured:
+        raise RuntimeError(f"start the session with {_CHECKPOINT_DIR} set to a folder all executors share")
+    return configured.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
