@@ -11,12 +11,14 @@ ordered by (doc_id, position). A line goes if an earlier line is equal, or if
 2. Tokens are put in order of rarity. How often each occurs is counted over all lines in
    BINS bins, a fixed number; any order gives the same result, a better one less work.
 3. Only a line's prefix can hold the first token it shares with a line that similar. A token
-   in at most RARE lines is a key by itself, and its lines are held side by side. One in more
+   in at most RARE lines is a key by itself. One in more
    is a key together with the second shared token, which stands in the prefix one longer;
    beyond LONG tokens, where such keys are many and lines few, it stays a key by itself.
 4. The length and positional filters drop pairs that cannot reach the threshold, and so do
    64 bits of each line: the bits in which two lines differ are never more than the tokens.
-5. With a crowded key a line is first held against the earliest line with it. Lines that this
+   A semi join over the keys says which lines have any earlier line that passes; it makes a
+   row at most for each key of a line, and only these rows, few in most texts, go on.
+5. Such a line is first held against the earliest line of each of its keys. Lines that this
    doesn't decide are held against all earlier lines of the key. So a large
    group of near copies makes few pairs, and no pair is left out.
 6. What is left is verified on the tokens themselves.
@@ -34,13 +36,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkward.llm.frames import ids_and_texts, kept
+from sparkward.llm.frames import discard, free_name, ids_and_texts, kept
 from sparkward.llm.sketch import may_hold, sketch
 
 SHINGLE, PERCENT = 5, 80
 #: A token of at most RARE lines is a key by itself; one of more is a key with the second shared token, in lines of up to LONG tokens.
-RARE, LONG = 32, 64
-BINS = 1 << 20
+RARE, LONG = 1024, 64
+BINS = 1 << 22
 #: How often a bin's tokens occur is told in this many classes, four for each doubling.
 _CLASS_BITS = 7
 _TOKEN_BITS = 40
@@ -108,11 +110,12 @@ def _firsts(lines: DataFrame, repeated: DataFrame) -> DataFrame:
 
 
 def _with_positions(docs: DataFrame, places: DataFrame, name: str) -> DataFrame:
-    """`docs` with the places (pos, h) of each document as an array; documents without any are not shuffled."""
-    by_doc = kept(places.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.struct("pos", "h")).alias(name)), name)
-    hit = may_hold(kept(sketch(by_doc, "_doc"), f"{name}-sketch"), "doc_id")
+    """`docs` with the places (pos, h) of each document as an array `name`, a free one; documents without any are not shuffled."""
+    doc = free_name([*docs.columns, name], "_doc")
+    by_doc = kept(places.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set(F.struct("pos", "h")).alias(name)), "places")
+    hit = may_hold(kept(sketch(by_doc, doc), "places-sketch"), "doc_id")
     none = F.array().cast("array<struct<pos: int, h: bigint>>")
-    named = docs.filter(hit).join(by_doc, F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
+    named = docs.filter(hit).join(by_doc, F.col("doc_id") == F.col(doc), "left").drop(doc)
     named = named.withColumn(name, F.coalesce(F.col(name), none))
     return named.unionByName(docs.filter(~F.coalesce(hit, F.lit(False))).withColumn(name, none))
 
@@ -224,47 +227,44 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int, by_word: bool, fo
     both = pairs.join(tokens, ["doc_id", "pos"]).join(other, ["e_doc", "e_pos"])
     shared = F.size(F.array_intersect("tokens", "others"))
     union = F.size("tokens") + F.size("others") - shared
-    return kept(both.filter(100 * shared >= percent * union).select("doc_id", "pos", "h").distinct(), "verified")
-
-
-def _rare_pairs(rare: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, pos, e_doc, e_pos) of lines that share a rare token; RARE bounds the lines of a key, so they are held side by side."""
-    group = rare.groupBy("key").agg(F.collect_list(F.struct("doc_id", "pos", "n_i", "sig")).alias("g")).filter(F.size("g") > 1)
-
-    def earlier(a: Column) -> Column:
-        def fits(b: Column) -> Column:
-            before = (b["doc_id"] < a["doc_id"]) | ((b["doc_id"] == a["doc_id"]) & (b["pos"] < a["pos"]))
-            return _may_match(lambda c: a[c], lambda c: b[c], percent) & before
-
-        found = F.filter("g", fits)
-        return F.transform(found, lambda b: F.struct(a["doc_id"].alias("doc_id"), a["pos"].alias("pos"), b["doc_id"].alias("e_doc"), b["pos"].alias("e_pos")))
-
-    return group.select(F.explode(F.flatten(F.transform("g", earlier))).alias("p")).select("p.*")
+    out = kept(both.filter(100 * shared >= percent * union).select("doc_id", "pos", "h").distinct(), "verified")
+    discard(pairs, tokens)
+    return out
 
 
 def _near(docs: DataFrame, lines: DataFrame, repeated: DataFrame, percent: int, by_word: bool, folded: bool) -> DataFrame:
     """(doc_id, pos, h) of lines that are no copies and have an earlier similar line."""
     prefixes = kept(_prefixes(lines, repeated, percent), "prefixes")
-    is_rare = (F.col("key") >= 0) & (_class_of(F.col("key")) <= _class(RARE))
-    own = Window.partitionBy("key")
-    me = F.struct("doc_id", "pos", "n_i", "sig")
-    crowd = prefixes.filter(~is_rare).withColumn("pivot", F.min(me).over(own)).withColumn("size", F.count("*").over(own))
-    shared = kept(crowd.filter("size > 1").drop("size"), "shared-prefixes")
-    later = shared.filter(F.struct("doc_id", "pos") != F.struct("pivot.doc_id", "pivot.pos"))
+    discard(lines)
+
+    def pairs(a: DataFrame, b: DataFrame, how: str, *more: Column) -> DataFrame:
+        """Rows of a and earlier rows of b that share a key and pass the filters."""
+        a, b = a.alias("a"), b.alias("b")
+        before = (F.col("b.doc_id") < F.col("a.doc_id")) | ((F.col("b.doc_id") == F.col("a.doc_id")) & (F.col("b.pos") < F.col("a.pos")))
+        fits = _may_match(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"), percent)
+        both = (F.col("a.key") == F.col("b.key")) & before & fits
+        for x in more:
+            both &= x
+        return a.join(b, both, how)
+
+    open_ = kept(pairs(prefixes, prefixes, "left_semi"), "open-prefixes")
+    own = prefixes.join(open_.select("key").distinct(), "key", "left_semi")
+    pivots = own.groupBy("key").agg(F.min(F.struct("doc_id", "pos", "n_i", "sig")).alias("pivot"))
+    later = kept(open_.join(pivots, "key"), "later-prefixes")
     fits = _may_match(F.col, lambda c: F.col(f"pivot.{c}"), percent)
     by_pivot = later.filter(fits).select("doc_id", "pos", F.col("pivot.doc_id").alias("e_doc"), F.col("pivot.pos").alias("e_pos"))
-    first = _verified(docs, _rare_pairs(prefixes.filter(is_rare), percent).unionByName(by_pivot), percent, by_word, folded)
-    a, b = later.join(first, ["doc_id", "pos"], "left_anti").alias("a"), shared.drop("pivot").alias("b")
-    before = F.struct("b.doc_id", "b.pos") < F.struct("a.doc_id", "a.pos")
+    first = _verified(docs, by_pivot, percent, by_word, folded)
     fresh = F.struct("b.doc_id", "b.pos") != F.struct("a.pivot.doc_id", "a.pivot.pos")
-    fits = _may_match(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"), percent)
-    rest = a.join(b, (F.col("a.key") == F.col("b.key")) & before & fresh & fits).select(
+    undecided = later.join(first, ["doc_id", "pos"], "left_anti")
+    rest = pairs(undecided, prefixes, "inner", fresh).select(
         "a.doc_id", "a.pos", F.col("b.doc_id").alias("e_doc"), F.col("b.pos").alias("e_pos")
     )
-    return first.unionByName(_verified(docs, rest, percent, by_word, folded))
+    out = first.unionByName(_verified(docs, rest, percent, by_word, folded))
+    discard(prefixes, open_, later)
+    return out
 
 
-def removed_lines(docs: DataFrame, percent: int = PERCENT, by_word: bool = False, folded: bool = False) -> DataFrame:
+def removed_lines(docs: DataFrame, percent: int = PERCENT, by_word: bool = True, folded: bool = True) -> DataFrame:
     """(doc_id, pos, h) of every line that goes."""
     read = ids_and_texts(docs).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     lines = _line_table(read, by_word, folded)
@@ -272,24 +272,27 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, by_word: bool = False
     return copies.unionByName(_near(read, lines, repeated, percent, by_word, folded))
 
 
-def dedup_lines(docs: DataFrame, percent: int = PERCENT, by_word: bool = False, folded: bool = False) -> DataFrame:
-    """`docs` with `text` less the lines that go; other columns as they were, and last the positions `_removed`.
+def dedup_lines(docs: DataFrame, percent: int = PERCENT, by_word: bool = True, folded: bool = True, removed: str = "_removed") -> DataFrame:
+    """`docs` with `text` less the lines that go; other columns as they were, and last the positions `removed`.
 
     by_word: tokens are a line's distinct words, not its shingles. folded: words are lower-cased and
     stand between white space of any kind, and lines of the same words in the same order are equal.
+    If `docs` has a column called as `removed`, it stays, and the new one's name ends with an underscore more.
     """
-    gone = _with_positions(docs, removed_lines(docs, percent, by_word, folded), "_gone")
+    name = free_name(docs.columns, removed)
+    own = free_name([*docs.columns, name], "_gone")
+    out = free_name([*docs.columns, name, own], "_out")
+    gone = _with_positions(docs, removed_lines(docs, percent, by_word, folded), own)
     both = _let(
         F.split("text", "\n"),
         lambda x: _let(
-            _kept_positions(x, F.col("_gone"), folded),
+            _kept_positions(x, F.col(own), folded),
             lambda at: F.struct(
                 F.array_join(F.transform(at, lambda i: F.get(x, i)), "\n").alias("text"),
                 F.sort_array(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), at)).alias("removed"),
             ),
         ),
     )
-    touched = F.when(F.col("text").isNotNull() & (F.size("_gone") > 0), both)
-    out = gone.withColumn("_out", touched)
-    names = [F.coalesce("_out.text", "text").alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return out.select(*names, F.coalesce("_out.removed", F.array().cast("array<int>")).alias("_removed"))
+    touched = F.when(F.col("text").isNotNull() & (F.size(own) > 0), both)
+    names = [F.coalesce(f"{out}.text", "text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return gone.withColumn(out, touched).select(*names, F.coalesce(f"{out}.removed", F.array().cast("array<int>")).alias(name))

@@ -1,9 +1,11 @@
 """Line dedup by distinct words against brute force, near copies of short lines among them."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkward.llm import lines
 
@@ -41,7 +43,7 @@ def rows():
 @pytest.mark.parametrize("percent, rare", [(80, lines.RARE), (80, 0), (80, 3), (60, 3), (40, 0)])
 def test_words(spark, rows, monkeypatch, percent, rare):
     monkeypatch.setattr(lines, "RARE", max(rare, 1))
-    got = Counter((r["doc_id"], i) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), percent, by_word=True).collect() for i in r["_removed"])
+    got = Counter((r["doc_id"], i) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), percent, by_word=True, folded=False).collect() for i in r["_removed"])
     wanted = brute(rows, percent)
     assert set(got) == wanted and len(wanted) > 100
 
@@ -57,3 +59,72 @@ def test_copies_in_case_tabs_and_line_ends(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: (r["text"], r["_removed"]) for r in lines.dedup_lines(docs, by_word=True, folded=True).collect()}
     assert got == {0: (texts[0], []), 1: ("", [0, 1]), 2: (" \t\r\none three", [0])}
+
+
+def brute_folded(rows, percent=80):
+    """The registered setting: words between white space, lower-cased; lines of the same words in the same order are equal."""
+    known = []
+    for d, t in rows:
+        for i, line in enumerate((t or "").split("\n") if d is not None else []):
+            own = [w for w in re.split(r"[ \t\x0B\f\r]+", line.lower()) if w]
+            if own:
+                known.append((d, i, own, frozenset(own)))
+    gone = set()
+    for d, i, words, own in known:
+        for e, j, other, others in known:
+            if (e, j) < (d, i) and (words == other or 100 * len(own & others) >= percent * len(own | others)):
+                gone.add((d, i))
+                break
+    return gone
+
+
+CLASHES = ("_removed", "_gone", "_doc", "_out", "_OUT_", "pos", "h", "key", "wanted")
+
+
+def test_registered_setting(spark, rows):
+    rnd = random.Random(9)
+
+    def spoilt(text):
+        signs = [rnd.choice([" ", "  ", "\t", " \r"]) if c == " " and rnd.random() < 0.1 else c.upper() if rnd.random() < 0.05 else c for c in text]
+        return "".join(signs) + rnd.choice(["", "\r", " ", "\t"])
+
+    more = [(d, "\n".join(spoilt(x) for x in t.split("\n"))) for d, t in rows]
+    more += [(5000, None), (5001, ""), (5002, "\n \n\t\n"), (None, rows[0][1]), (5003, "w " * 30000 + "\nw"), (5004, rows[0][1]), (5005, "x" * 200000)]
+    docs = spark.createDataFrame(more, "doc_id long, text string")
+    for c in CLASHES:
+        docs = docs.withColumn(c, F.lit(f"own {c}"))
+    wanted = brute_folded(more)
+    out = lines.dedup_lines(docs)
+    assert out.columns == [*docs.columns, "_removed_"]
+    got = out.collect()
+    assert {(r["doc_id"], i) for r in got for i in r["_removed_"]} == wanted and len(wanted) > 100
+    texts = {d: t for d, t in more if d is not None}
+    for r in got:
+        assert all(r[c] == f"own {c}" for c in CLASHES)
+        if r["doc_id"] is not None and r["text"] is not None:
+            left = [x for i, x in enumerate(texts[r["doc_id"]].split("\n")) if (r["doc_id"], i) not in wanted]
+            assert r["text"] == "\n".join(left)
+        else:
+            assert r["text"] == (rows[0][1] if r["doc_id"] is None else None) or r["doc_id"] is None
+
+
+def test_stage_with_clashing_columns(spark):
+    import corpus_pipeline
+
+    texts = [(1, "one two three\nfour"), (2, "one two three\nfive"), (3, "four"), (4, None), (5, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    for c in CLASHES:
+        docs = docs.withColumn(c, F.lit(1))
+    out = corpus_pipeline.line_dedup(spark, docs, "")
+    assert out.columns == docs.columns
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()} == {1: ("one two three\nfour", 18), 2: ("five", 4), 4: (None, 0), 5: ("", 0)}
+
+
+def test_a_group_of_near_copies_makes_few_rows(spark):
+    """No line is held against all others of its group."""
+    base = [f"g{i}" for i in range(30)]
+    rnd = random.Random(2)
+    group = [" ".join([*base[:k], f"own{i}", *base[k + 1 :]]) for i in range(1200) for k in [rnd.randrange(30)]]
+    docs = spark.createDataFrame(list(enumerate(group)), "doc_id long, text string")
+    got = {r["doc_id"] for r in lines.dedup_lines(docs).collect() if r["_removed"]}
+    assert got == set(range(1, 1200))
