@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkward.llm.bpe import encoded
 from sparkward.llm.decontaminate import drop_contaminated
-from sparkward.llm.frames import kept
+from sparkward.llm.frames import free_name, kept
 from sparkward.llm.lines import dedup_lines
 from sparkward.llm.neardup import drop_near_duplicates
 from sparkward.llm.quality import drop_bad, train
@@ -25,8 +25,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier line go; a document that loses all its words goes too."""
-    out = dedup_lines(docs, by_word=True, folded=True).filter("text IS NULL OR size(_removed) = 0 OR text RLIKE '[^ \\\\t\\\\n\\\\x0B\\\\f\\\\r]'")
-    size = F.when(F.size("_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+    gone = F.size(free_name(docs.columns, "_removed"))
+    out = dedup_lines(docs).filter(F.col("text").isNull() | (gone == 0) | F.col("text").rlike(r"[^ \t\n\x0B\f\r]"))
+    size = F.when(gone > 0, F.length("text")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", size.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
