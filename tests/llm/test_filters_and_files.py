@@ -212,3 +212,64 @@ def test_pipeline(spark, root):
     assert after.count() == before.count()
     whole = {r["doc_id"]: hashlib.sha256(str(r["ids"]).encode()).hexdigest() for r in corpus_pipeline.run(spark, root).collect()}
     assert whole == {r["doc_id"]: hashlib.sha256(str(r["ids"]).encode()).hexdigest() for r in after.collect()}
+
+
+@pytest.mark.parametrize("lost", ["block = 0", "block = 1", "block = (SELECT max(block) FROM r WHERE part = 1)", "part = 1", "part = 0"])
+def test_a_lost_block_is_noticed(spark, lost):
+    texts = [(i, " ".join(f"word{j * i % 977}" for j in range(3000))) for i in range(12)]
+    folder, cut = scratch_path(spark, "tokens"), scratch_path(spark, "cut")
+    tokenfile.write(spark.createDataFrame(texts, "doc_id long, text string").repartition(2), folder, tokenizer_path())
+    records = spark.read.parquet(folder)
+    last = records.agg(F.max("part")).first()[0]
+    assert last >= 1 and records.filter("part = 1").count() > 2
+    records.createOrReplaceTempView("r")
+    gone = spark.sql(f"SELECT * FROM r WHERE part = {0 if 'part = 0' in lost else 1} AND {lost.replace('part = 0', 'TRUE')}")
+    assert gone.count() > 0
+    records.join(gone.select("part", "block"), ["part", "block"], "left_anti").write.parquet(cut)
+    spark.read.parquet(f"{folder}/{tokenfile.MANIFEST}").write.parquet(f"{cut}/{tokenfile.MANIFEST}")
+    assert tokenfile.read(spark, folder, with_ids=False).count() == 12
+    with pytest.raises(ValueError, match="not as it was written"):
+        tokenfile.read(spark, cut)
+
+
+def long_toxic_rows(n, words, seed):
+    """Texts of `words` words; one in four has three bad words somewhere."""
+    rnd = random.Random(seed)
+    rows = []
+    for i in range(n):
+        own = ["".join(rnd.choice("abcdefgh") for _ in range(4)) for _ in range(words)]
+        for _ in range(3 * (i % 4 == 0)):
+            own[rnd.randrange(words)] = rnd.choice(["zzbad", "zzworse", "zzfoul"])
+        rows.append((i, " ".join(own), "en", int(i % 4 == 0)))
+    return rows
+
+
+def test_long_texts_are_learnt_from(spark):
+    rows = long_toxic_rows(200, 2600, 1)
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    net = toxicity.train(docs, labels)
+    fresh = long_toxic_rows(80, 3000, 2)
+    scores = toxicity.score_column(net, pa.array([r[1] for r in fresh]))
+    assert np.mean((scores >= 0.5) == np.array([r[3] for r in fresh], bool)) >= 0.95
+
+
+def test_a_score_by_hand(spark):
+    """Every window of every filter, one at a time."""
+    rows = long_toxic_rows(40, 60, 3)
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    net = toxicity.train(docs, spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int"))
+    column = pa.array([r[1] for r in rows[:5]] + ["", None, "zzbad"])
+    got = toxicity.score_column(net, column, block=7)
+    for piece in toxicity.words_of.pieces(column):
+        found = toxicity.words_of.words(piece, toxicity.words_of.PLAIN)
+        of = toxicity.word_rows(piece, found)
+        for d in range(len(piece)):
+            own = of[found.bounds[d] : found.bounds[d + 1]]
+            best = []
+            for k, weights in zip(toxicity.SPANS, net.filters, strict=True):
+                for f in range(toxicity.FILTERS):
+                    windows = [sum(float(net.table[own[i + o]].sum(axis=0) @ weights[o][:, f]) for o in range(k) if i + o < len(own)) for i in range(len(own))]
+                    best.append(max([0.0, *(w + float(net.bias[len(best)]) for w in windows)]))
+            z = float(np.dot(best, net.out[:-1]) + net.out[-1])
+            assert got[piece.first + d] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
