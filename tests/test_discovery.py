@@ -34,6 +34,29 @@ def test_no_key_at_all(spark):
     assert not any(r["is_primary_key"] for r in D.describe_table(twice, "t").collect())
 
 
+def test_what_a_slice_of_the_values_shows_to_repeat_is_not_shuffled_whole(spark, monkeypatch):
+    """`b` repeats often, `c` and (d, e) once in the whole table, (d, f) never."""
+    n = 4000
+    rows = [(i, i % 3600, max(i, 1), i // 2, i % 2 if i > 1 else 0, i % 2) for i in range(n)]
+    tables = {"t": spark.createDataFrame(rows, "a int, b int, c int, d int, e int, f int").select("b", "c", "d", "e", "f")}
+    asked = []
+    exact = D._exact
+    monkeypatch.setattr(D, "_exact", lambda tables, sets, *share: asked.append((share, dict(sets))) or exact(tables, sets, *share))
+
+    def found():
+        asked.clear()
+        facts, keys = D.unique_sets(tables)
+        return {k: facts[k][0] for k in keys}, [k for share, sets in asked if share in ((), (1,)) for k in sets.get("t", [])]
+
+    wanted, every = found()
+    monkeypatch.setattr(D, "_SLICED", 0)
+    got, whole = found()
+    assert got == wanted and wanted[("t", ("d", "f"))] == n and ("t", ("d", "e")) not in wanted
+    assert ("b",) in every and ("b",) not in whole and {("c",), ("d", "e"), ("d", "f")} <= set(whole)
+    alone = D._exact(tables, {"t": [("b",)]}, 8).first()
+    assert alone["n_nulls"] == 0 and 0 < alone["n_rows"] < n / 4 and alone["n_distinct"] < alone["n_rows"]
+
+
 def test_profile_counts(tables, spark):
     got = {(r["table_name"], r["column_name"]): tuple(r)[2:] for r in D.key_profiles(tables).collect()}
     assert got["lines", "note"] == (1200, 600, 600, False) and got["lines", "price"] == (1200, 0, 1200, True)
