@@ -101,6 +101,41 @@ def test_toxicity_held_out(spark):
     assert toxicity.score_column(net, long, block=50) == pytest.approx(toxicity.score_column(net, long))
 
 
+def test_toxicity_learns_from_every_row(spark):
+    """A kind of bad word that the first part has not met, in rows beyond it."""
+    rows, fresh = (every := toxic_rows(6400, 4))[:6000], every[6000:]
+    order = {r["doc_id"]: r["h"] for r in spark.range(6000).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("h")).collect()}
+    first = {r[0] for y in (0, 1) for r in sorted((r for r in rows if r[3] == y), key=lambda r: order[r[0]])[:60]}
+    swap = lambda text: " ".join("qqvile" if w == "Zounds" or w == "ratbag" or w.startswith("loathso") else w for w in text.split(" "))
+    rows = [r if r[0] in first or not r[3] else (r[0], swap(r[1]), *r[2:]) for r in rows]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    net = toxicity.train(docs, labels, sample=60, part=3000)
+    scores = toxicity.score_column(net, pa.array([swap(r[1]) for r in fresh]))
+    wanted = np.array([r[3] for r in fresh], bool)
+    assert np.mean((scores >= 0.5) == wanted) >= 0.95 and set(net.thresholds) == {"de", "en"}
+    again = toxicity.train(docs.repartition(5), labels.repartition(3), sample=60, part=3000)
+    assert (again.table == net.table).all() and (again.out == net.out).all() and again.thresholds == net.thresholds
+
+
+def test_thresholds_count_every_row(spark):
+    """Against every cut between two scores, with the rows of the first part far from all."""
+    rows = toxic_rows(900, 6)
+    rows = [(*r[:3], 1 - r[3] if i % 9 == 0 else r[3]) for i, r in enumerate(rows)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    net = toxicity.train(docs, labels, sample=40, part=400)
+    scores = toxicity.score_column(net, pa.array([r[1] for r in rows]))
+
+    def f1(lang, at):
+        own = [(s >= at, r[3]) for s, r in zip(scores, rows, strict=True) if r[2] == lang]
+        return 2 * sum(a and b for a, b in own) / (sum(a for a, _ in own) + sum(b for _, b in own))
+
+    for lang in ("de", "en"):
+        best = max(f1(lang, s) for s, r in zip(scores, rows, strict=True) if r[2] == lang)
+        assert f1(lang, net.thresholds[lang]) == pytest.approx(best, abs=0.01)
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "x", "en")], "doc_id long, text string, lang string")
     net = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
