@@ -15,13 +15,13 @@ ordered by (doc_id, position). A line goes if an earlier line is equal, or if
    is a key together with the second shared token, which stands in the prefix one longer;
    beyond LONG tokens, where such keys are many and lines few, it stays a key by itself.
 4. The length and positional filters drop pairs that cannot reach the threshold, and so do
-   64 bits of each line: the bits in which two lines differ are never more than the tokens.
+   64 or 128 bits of each line: the bits in which two lines differ are never more than the tokens.
    A semi join over the keys says which lines have any earlier line that passes; it makes a
    row at most for each key of a line, and only these rows, few in most texts, go on.
 5. Such a line is first held against the earliest line of each of its keys. Lines that this
-   doesn't decide are held against all earlier lines of the key. So a large
-   group of near copies makes few pairs, and no pair is left out.
-6. What is left is verified on the tokens themselves.
+   doesn't decide are held against all earlier lines of the key, by a semi join that stops at
+   the first that verifies. So a large group of near copies makes few rows, and no line is left out.
+6. All is verified on the tokens themselves.
 
 Lines of nothing but white space stay. A null text stays null. A row without doc_id is returned as
 it is, and removes nothing. Rows that share a doc_id are taken as versions of one
@@ -42,6 +42,10 @@ from sparkward.llm.sketch import may_hold, sketch
 SHINGLE, PERCENT = 5, 80
 #: A token of at most RARE lines is a key by itself; one of more is a key with the second shared token, in lines of up to LONG tokens.
 RARE, LONG = 1024, 64
+#: Lines of more tokens are told apart by 128 bits instead of 64.
+FEW = 56
+#: Rows that are verified within a join carry up to this many tokens.
+CARRIED = 512
 BINS = 1 << 22
 #: How often a bin's tokens occur is told in this many classes, four for each doubling.
 _CLASS_BITS = 7
@@ -53,8 +57,17 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _evened(text: Column, folded: bool) -> Column:
+    """Folded: lower-cased, with blanks for white space of other kinds but line ends. Line by line or over the whole text it is the same."""
+    return F.regexp_replace(F.lower(text), r"[\t\x0B\f\r]", " ") if folded else text
+
+
+def _split(evened: Column) -> Column:
+    return F.array_remove(F.split(evened, " "), "")
+
+
 def _words(line: Column, folded: bool) -> Column:
-    return F.array_remove(F.split(F.lower(line), r"[ \t\x0B\f\r]+") if folded else F.split(line, " "), "")
+    return _split(_evened(line, folded))
 
 
 def _line_hash(line: Column, folded: bool) -> Column:
@@ -82,10 +95,11 @@ def _token_strings(words: Column, by_word: bool) -> Column:
 
 def _line_table(docs: DataFrame, by_word: bool, folded: bool) -> DataFrame:
     """Every line with a word, its hashes and its tokens' hashes: doc_id, pos, h, g, tokens. Texts are cut up once."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(F.col("line").rlike(r"\S"))
+    lines = docs.select("doc_id", F.posexplode(F.split(_evened(F.col("text"), folded), "\n")).alias("pos", "line"))
     words = F.col("words")
     own = F.array_join(words, " ") if folded else F.col("line")
-    worded = lines.select("doc_id", "pos", "line", _words(F.col("line"), folded).alias("words"))
+    worded = lines.select("doc_id", "pos", "line", _split(F.col("line")).alias("words"))
+    worded = worded.filter(F.size(words) > 0 if folded else F.col("line").rlike(r"\S"))
     return kept(
         worded.select("doc_id", "pos", F.xxhash64(own).alias("h"), F.xxhash64(F.lit(7), own).alias("g"), _token_hashes(words, by_word).alias("tokens")),
         "line-table",
@@ -143,26 +157,32 @@ def _rarity_classes(lines: DataFrame) -> DataFrame:
 
 
 def _prefixes(lines: DataFrame, repeated: DataFrame, percent: int) -> DataFrame:
-    """(key, doc_id, pos, n_i, sig): the keys of every line that is no copy.
+    """(key, doc_id, pos, n_i, sig, more): the keys of every line that is no copy.
 
     n_i holds its number of tokens and the place of the key's first token; sig has a bit for each token, bits of two
-    tokens cancel out.
+    tokens cancel out. Over FEW tokens 64 bits say little: there more has the half of 128 bits that folds into sig.
     """
     # A subquery must not stand in a lambda. As a column that is used once Spark puts it there itself, and no row holds the table.
     firsts = _firsts(lines, repeated).withColumn("classes", kept(_rarity_classes(lines), "rarity").scalar())
 
     def key(t: Column) -> Column:
-        bin_ = F.pmod(t, F.lit(BINS)).cast("int")
-        own = F.call_function("shiftright", F.get("classes", (bin_ / 8).cast("int")), bin_ % 8 * 8).bitwiseAND(F.lit((1 << _CLASS_BITS) - 1))
+        word, place = F.shiftright(t.bitwiseAND(F.lit(BINS - 1)), 3), F.shiftleft(t.bitwiseAND(F.lit(7)), 3)
+        own = F.call_function("shiftright", F.get("classes", word.cast("int")), place.cast("int")).bitwiseAND(F.lit((1 << _CLASS_BITS) - 1))
         return F.call_function("shiftleft", own, F.lit(_TOKEN_BITS)).bitwiseOR(t)
 
-    def bit(t: Column) -> Column:
-        return F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
+    def bits(upper: int) -> Column:
+        """64 bits of the tokens whose seventh bit is `upper`."""
+
+        def put(x: Column, t: Column) -> Column:
+            bit = F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
+            return F.when(t.bitwiseAND(F.lit(64)) == 64 * upper, x.bitwiseXOR(bit)).otherwise(x)
+
+        return F.aggregate("tokens", F.lit(0).cast("long"), put)
 
     ranked = firsts.select(
         "doc_id", "pos", F.sort_array(F.transform("tokens", key)).alias("keys"),
-        F.aggregate("tokens", F.lit(0).cast("long"), lambda x, t: x.bitwiseXOR(bit(t))).alias("sig"),
-    )
+        bits(0).alias("lower"), bits(1).alias("upper"),
+    ).withColumn("sig", F.col("lower").bitwiseXOR(F.col("upper")))
     n = F.size("keys")
     need = F.ceil(n * percent / 100).cast("int")
     last = n - need  # of the places that can hold the first shared token; the second is at most one further
@@ -182,8 +202,9 @@ def _prefixes(lines: DataFrame, repeated: DataFrame, percent: int) -> DataFrame:
         return F.when(own <= _class(1), none).when(own <= _class(RARE), entry(k, i)).otherwise(crowded)
 
     dealt = F.flatten(F.transform(F.slice("keys", F.lit(1), last + 1), entries))
-    own = ranked.select("doc_id", "pos", "sig", n.cast("long").alias("n"), F.explode(dealt).alias("e"))
-    return own.select("e.key", "doc_id", "pos", F.call_function("shiftleft", "n", F.lit(32)).bitwiseOR(F.col("e.i")).alias("n_i"), "sig")
+    more = F.when(n > FEW, F.col("upper")).alias("more")
+    own = ranked.select("doc_id", "pos", "sig", more, n.cast("long").alias("n"), F.explode(dealt).alias("e"))
+    return own.select("e.key", "doc_id", "pos", F.call_function("shiftleft", "n", F.lit(32)).bitwiseOR(F.col("e.i")).alias("n_i"), "sig", "more")
 
 
 def _class_of(key: Column) -> Column:
@@ -192,12 +213,14 @@ def _class_of(key: Column) -> Column:
 
 
 def _may_match(a, b, percent: int) -> Column:
-    """Length, positional and bit filters for lines that share a key; a and b give their n_i and sig."""
+    """Length, positional and bit filters for lines that share a key; a and b give their n_i, sig and more."""
     n_a, n_b = (F.shiftright(x("n_i"), 32).cast("int") for x in (a, b))
     i_a, i_b = (x("n_i").bitwiseAND(F.lit((1 << 32) - 1)).cast("int") for x in (a, b))
     need = percent * (n_a + n_b)
+    folded, upper = a("sig").bitwiseXOR(b("sig")), a("more").bitwiseXOR(b("more"))
+    unlike = F.coalesce(F.bit_count(upper) + F.bit_count(folded.bitwiseXOR(upper)), F.bit_count(folded))
     return (
-        ((100 + percent) * F.bit_count(a("sig").bitwiseXOR(b("sig"))) <= (100 - percent) * (n_a + n_b))
+        ((100 + percent) * unlike <= (100 - percent) * (n_a + n_b))
         & (100 * n_a >= percent * n_b)
         & (100 * n_b >= percent * n_a)
         & ((100 + percent) * (n_a - i_a) >= need)
@@ -205,9 +228,8 @@ def _may_match(a, b, percent: int) -> Column:
     )
 
 
-def _tokens(docs: DataFrame, pairs: DataFrame, by_word: bool, folded: bool) -> DataFrame:
-    """doc_id, pos, h and token strings of the lines of the pairs, cut again from their texts."""
-    ends = pairs.select("doc_id", "pos").unionByName(pairs.select(F.col("e_doc").alias("doc_id"), F.col("e_pos").alias("pos")))
+def _tokens(docs: DataFrame, ends: DataFrame, by_word: bool, folded: bool) -> DataFrame:
+    """doc_id, pos, h and token strings of the lines at (doc_id, pos) of `ends`, cut again from their texts."""
     places = ends.distinct().withColumn("h", F.lit(0).cast("long"))
     wanted = _with_positions(docs, places, "wanted").filter(F.size("wanted") > 0)
     picked = wanted.select(
@@ -219,48 +241,82 @@ def _tokens(docs: DataFrame, pairs: DataFrame, by_word: bool, folded: bool) -> D
     return kept(worded.select("doc_id", "pos", _line_hash(F.col("line"), folded).alias("h"), strings.alias("tokens")), "tokens")
 
 
+def _similar(a: Column, b: Column, percent: int) -> Column:
+    """Whether two arrays of distinct tokens reach the threshold."""
+    shared = F.size(F.array_intersect(a, b))
+    return 100 * shared >= percent * (F.size(a) + F.size(b) - shared)
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, percent: int, by_word: bool, folded: bool) -> DataFrame:
     """(doc_id, pos, h) of the later lines of the pairs that reach the threshold."""
     pairs = kept(pairs.distinct(), "pairs")
-    tokens = _tokens(docs, pairs, by_word, folded)
+    ends = pairs.select("doc_id", "pos").unionByName(pairs.select(F.col("e_doc").alias("doc_id"), F.col("e_pos").alias("pos")))
+    tokens = _tokens(docs, ends, by_word, folded)
     other = tokens.select(F.col("doc_id").alias("e_doc"), F.col("pos").alias("e_pos"), F.col("tokens").alias("others"))
     both = pairs.join(tokens, ["doc_id", "pos"]).join(other, ["e_doc", "e_pos"])
-    shared = F.size(F.array_intersect("tokens", "others"))
-    union = F.size("tokens") + F.size("others") - shared
-    out = kept(both.filter(100 * shared >= percent * union).select("doc_id", "pos", "h").distinct(), "verified")
+    out = kept(both.filter(_similar(F.col("tokens"), F.col("others"), percent)).select("doc_id", "pos", "h").distinct(), "verified")
     discard(pairs, tokens)
     return out
 
 
+def _joined(a: DataFrame, b: DataFrame, how: str, percent: int, *more: Column, later: str = "a") -> DataFrame:
+    """Rows of a and rows of b that share a key and pass the filters, those of `later` being the later lines."""
+    a, b = a.alias("a"), b.alias("b")
+    e = "b" if later == "a" else "a"
+    both = (F.col(f"{e}.doc_id") < F.col(f"{later}.doc_id")) | ((F.col(f"{e}.doc_id") == F.col(f"{later}.doc_id")) & (F.col(f"{e}.pos") < F.col(f"{later}.pos")))
+    for x in (_may_match(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"), percent), *more):
+        both &= x
+    return a.join(b, (F.col("a.key") == F.col("b.key")) & both, how)
+
+
+def _sharing(rows: DataFrame, others: DataFrame, name: str) -> DataFrame:
+    """Rows whose key is one of `others`, and a few more."""
+    return kept(rows.filter(may_hold(kept(sketch(others, "key"), f"{name}-sketch"), "key")), name)
+
+
+def _verified_in_groups(docs: DataFrame, undecided: DataFrame, own: DataFrame, percent: int, by_word: bool, folded: bool) -> DataFrame:
+    """(doc_id, pos, h) of undecided lines that reach the threshold with an earlier line of their key other than its pivot.
+
+    Semi joins leave the rows on either side that pass the filters with any of the other. These carry their tokens and the
+    last join verifies, so that a line gives a row at most for each of its keys, however large their groups. A line of over
+    CARRIED tokens has too many keys for that; such lines, few, are paired.
+    """
+    same = _sharing(own, undecided, "same-keys")
+    fresh = F.struct("b.doc_id", "b.pos") != F.col("a.pivot")
+    rest = kept(_joined(undecided, same, "left_semi", percent, fresh), "rest")
+    mates = kept(_joined(_sharing(same, rest, "rest-keys"), rest, "left_semi", percent, later="b"), "mates")
+    n = F.shiftright("n_i", 32)
+    short, others = rest.filter(n <= CARRIED), mates.filter(percent * n <= 100 * CARRIED)
+    tokens = _tokens(docs, short.select("doc_id", "pos").unionByName(others.select("doc_id", "pos")), by_word, folded)
+    a, b = (x.join(tokens, ["doc_id", "pos"]) for x in (short, others))
+    similar = _similar(F.col("a.tokens"), F.col("b.tokens"), percent)
+    out = kept(_joined(a, b, "left_semi", percent, similar).select("doc_id", "pos", "h").distinct(), "verified")
+    discard(same, tokens)
+    long = rest.filter(n > CARRIED)
+    if not long.isEmpty():
+        pairs = _joined(long, mates, "inner", percent).select("a.doc_id", "a.pos", F.col("b.doc_id").alias("e_doc"), F.col("b.pos").alias("e_pos"))
+        out = out.unionByName(_verified(docs, pairs, percent, by_word, folded))
+    discard(rest, mates)
+    return out
+
+
 def _near(docs: DataFrame, lines: DataFrame, repeated: DataFrame, percent: int, by_word: bool, folded: bool) -> DataFrame:
     """(doc_id, pos, h) of lines that are no copies and have an earlier similar line."""
     prefixes = kept(_prefixes(lines, repeated, percent), "prefixes")
     discard(lines)
-
-    def pairs(a: DataFrame, b: DataFrame, how: str, *more: Column) -> DataFrame:
-        """Rows of a and earlier rows of b that share a key and pass the filters."""
-        a, b = a.alias("a"), b.alias("b")
-        before = (F.col("b.doc_id") < F.col("a.doc_id")) | ((F.col("b.doc_id") == F.col("a.doc_id")) & (F.col("b.pos") < F.col("a.pos")))
-        fits = _may_match(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"), percent)
-        both = (F.col("a.key") == F.col("b.key")) & before & fits
-        for x in more:
-            both &= x
-        return a.join(b, both, how)
-
-    open_ = kept(pairs(prefixes, prefixes, "left_semi"), "open-prefixes")
-    own = prefixes.join(open_.select("key").distinct(), "key", "left_semi")
-    pivots = own.groupBy("key").agg(F.min(F.struct("doc_id", "pos", "n_i", "sig")).alias("pivot"))
-    later = kept(open_.join(pivots, "key"), "later-prefixes")
-    fits = _may_match(F.col, lambda c: F.col(f"pivot.{c}"), percent)
-    by_pivot = later.filter(fits).select("doc_id", "pos", F.col("pivot.doc_id").alias("e_doc"), F.col("pivot.pos").alias("e_pos"))
+    open_ = kept(_joined(prefixes, prefixes, "left_semi", percent), "open-prefixes")
+    own = _sharing(prefixes, open_, "own-prefixes")
+    discard(prefixes)
+    pivots = own.groupBy("key").agg(F.min(F.struct("doc_id", "pos", "n_i", "sig", "more")).alias("pivot"))
+    held = kept(open_.join(pivots, "key"), "held")
+    discard(open_)
+    e_doc, e_pos = F.col("pivot.doc_id"), F.col("pivot.pos")
+    by_pivot = held.filter(_may_match(F.col, lambda c: F.col(f"pivot.{c}"), percent)).select("doc_id", "pos", e_doc.alias("e_doc"), e_pos.alias("e_pos"))
     first = _verified(docs, by_pivot, percent, by_word, folded)
-    fresh = F.struct("b.doc_id", "b.pos") != F.struct("a.pivot.doc_id", "a.pivot.pos")
-    undecided = later.join(first, ["doc_id", "pos"], "left_anti")
-    rest = pairs(undecided, prefixes, "inner", fresh).select(
-        "a.doc_id", "a.pos", F.col("b.doc_id").alias("e_doc"), F.col("b.pos").alias("e_pos")
-    )
-    out = first.unionByName(_verified(docs, rest, percent, by_word, folded))
-    discard(prefixes, open_, later)
+    undecided = held.withColumn("pivot", F.struct(e_doc.alias("doc_id"), e_pos.alias("pos"))).join(first, ["doc_id", "pos"], "left_anti")
+    undecided = kept(undecided, "undecided")
+    out = first if undecided.isEmpty() else first.unionByName(_verified_in_groups(docs, undecided, own, percent, by_word, folded))
+    discard(own, held, undecided)
     return out
 
 

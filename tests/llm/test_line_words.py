@@ -128,3 +128,41 @@ def test_a_group_of_near_copies_makes_few_rows(spark):
     docs = spark.createDataFrame(list(enumerate(group)), "doc_id long, text string")
     got = {r["doc_id"] for r in lines.dedup_lines(docs).collect() if r["_removed"]}
     assert got == set(range(1, 1200))
+
+
+def _rows_kept(monkeypatch):
+    """How many rows each label of `kept` gets."""
+    seen, own = Counter(), lines.kept
+
+    def counted(df, label):
+        out = own(df, label)
+        if label in ("open-prefixes", "pairs", "rest", "mates"):
+            seen[label] += out.count()
+        return out
+
+    monkeypatch.setattr(lines, "kept", counted)
+    return seen
+
+
+def test_long_lines_that_share_a_few_words_are_no_candidates(spark, monkeypatch):
+    rnd = random.Random(6)
+    rows = [(d, " ".join(rnd.sample([f"v{i}" for i in range(1500)], 120))) for d in range(300)]
+    rows.append((300, " ".join([*rows[7][1].split(" ")[:115], *(f"own{i}" for i in range(5))])))
+    seen = _rows_kept(monkeypatch)
+    got = {r["doc_id"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["_removed"]}
+    assert got == {300} and 0 < seen["open-prefixes"] < 100
+
+
+@pytest.mark.parametrize("carried", [lines.CARRIED, 10])
+def test_a_group_whose_first_line_decides_little_makes_few_rows(spark, monkeypatch, carried):
+    """Two lines of the group are similar only if they change a word at the same place; most are not, to the earliest."""
+    rnd, base = random.Random(3), [f"b{i}" for i in range(50)]
+    rows = []
+    for d in range(500):
+        at = set(rnd.sample(range(50), 3))
+        rows.append((d, " ".join(f"own{d}x{i}" if i in at else w for i, w in enumerate(base))))
+    monkeypatch.setattr(lines, "CARRIED", carried)
+    seen = _rows_kept(monkeypatch)
+    got = {(r["doc_id"], i) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() for i in r["_removed"]}
+    assert got == brute(rows, 80) and len(got) > 400
+    assert carried == 10 or seen["pairs"] + seen["rest"] + seen["mates"] < 40 * len(rows)
