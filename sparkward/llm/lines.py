@@ -10,14 +10,19 @@ ordered by (doc_id, position). A line goes if an earlier line is equal, or if
    not enter the join.
 2. Tokens are put in order of rarity. How often each occurs is counted over all lines in
    BINS bins, a fixed number; any order gives the same result, a better one less work.
-3. Only a line's prefix can hold the first token it shares with a line that similar. A token
-   in at most RARE lines is a key by itself. One in more
-   is a key together with the second shared token, which stands in the prefix one longer;
-   beyond LONG tokens, where such keys are many and lines few, it stays a key by itself.
+3. Only a line's prefix can hold the first token it shares with a line that similar. A token in at
+   most RARE lines is a key by itself. Where no such token is shared, the rare ones are all among the
+   few tokens in which the lines differ; in the order of the others, each such token parts at most two
+   neighbours of its own line and one pair of the other's. So among a line's first 2 * spare + 1 pairs
+   of neighbours, spare being the most tokens it may have alone, there is one that the other line has
+   among its first ones too: these pairs are the keys. Their number grows with the tokens of a line, never
+   with their square, and not with the table. Lines too short for that bound (at 80 percent,
+   those of one token) keep their single tokens.
 4. The length and positional filters drop pairs that cannot reach the threshold, and so do
    64 or 128 bits of each line: the bits in which two lines differ are never more than the tokens.
-   A semi join over the keys says which lines have any earlier line that passes; it makes a
-   row at most for each key of a line, and only these rows, few in most texts, go on.
+   A semi join over the keys leaves the lines that pass them with any other line, earlier or
+   later; it makes a row at most for each key of a line, and only these rows, few in most
+   texts, go on. Those that have an earlier line are looked at.
 5. Such a line is first held against the earliest line of each of its keys. Lines that this
    doesn't decide are held against all earlier lines of the key, by a semi join that stops at
    the first that verifies. So a large group of near copies makes few rows, and no line is left out.
@@ -32,6 +37,8 @@ DataFrame functions only.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,8 +47,8 @@ from sparkward.llm.frames import discard, free_name, ids_and_texts, kept
 from sparkward.llm.sketch import may_hold, sketch
 
 SHINGLE, PERCENT = 5, 80
-#: A token of at most RARE lines is a key by itself; one of more is a key with the second shared token, in lines of up to LONG tokens.
-RARE, LONG = 1024, 64
+#: A token of at most RARE lines is a key by itself; one of more is a key with its neighbour in the order of rarity.
+RARE = 1024
 #: Lines of more tokens are told apart by 128 bits instead of 64.
 FEW = 56
 #: Rows that are verified within a join carry up to this many tokens.
@@ -59,7 +66,11 @@ def _let(value: Column, body) -> Column:
 
 def _evened(text: Column, folded: bool) -> Column:
     """Folded: lower-cased, with blanks for white space of other kinds but line ends. Line by line or over the whole text it is the same."""
-    return F.regexp_replace(F.lower(text), r"[\t\x0B\f\r]", " ") if folded else text
+    if not folded:
+        return text
+    low = F.lower(text)
+    odd = reduce(or_, (F.contains(text, F.lit(c)) for c in "\t\x0B\f\r"))  # four searches cost far less than the regex, and most texts have none
+    return F.when(odd, F.regexp_replace(low, r"[\t\x0B\f\r]", " ")).otherwise(low)
 
 
 def _split(evened: Column) -> Column:
@@ -170,46 +181,42 @@ def _prefixes(lines: DataFrame, repeated: DataFrame, percent: int) -> DataFrame:
         own = F.call_function("shiftright", F.get("classes", word.cast("int")), place.cast("int")).bitwiseAND(F.lit((1 << _CLASS_BITS) - 1))
         return F.call_function("shiftleft", own, F.lit(_TOKEN_BITS)).bitwiseOR(t)
 
-    def bits(upper: int) -> Column:
-        """64 bits of the tokens whose seventh bit is `upper`."""
+    def bits(upper: bool) -> Column:
+        """64 bits of the tokens, or of those whose seventh bit is set."""
 
         def put(x: Column, t: Column) -> Column:
-            bit = F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
-            return F.when(t.bitwiseAND(F.lit(64)) == 64 * upper, x.bitwiseXOR(bit)).otherwise(x)
+            with_it = x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int")))
+            return F.when(t.bitwiseAND(F.lit(64)) == 64, with_it).otherwise(x) if upper else with_it
 
         return F.aggregate("tokens", F.lit(0).cast("long"), put)
 
+    # Order by rarity; a line's words of one line only come first, then its other rare ones, then the crowded ones.
     ranked = firsts.select(
         "doc_id", "pos", F.sort_array(F.transform("tokens", key)).alias("keys"),
-        bits(0).alias("lower"), bits(1).alias("upper"),
-    ).withColumn("sig", F.col("lower").bitwiseXOR(F.col("upper")))
+        bits(False).alias("sig"), F.when(F.size("tokens") > FEW, bits(True)).alias("more"),
+    )
     n = F.size("keys")
     need = F.ceil(n * percent / 100).cast("int")
-    last = n - need  # of the places that can hold the first shared token; the second is at most one further
-    none = F.array().cast("array<struct<key: bigint, i: int>>")
-    alone = (need == 1) | (100 * n >= percent * (LONG + 1))
-
-    def entry(k: Column, i: Column) -> Column:
-        return F.array(F.struct(k.alias("key"), i.cast("int").alias("i")))
-
-    def entries(k: Column, i: Column) -> Column:
-        own = _class_of(k)
-        second = F.transform(
-            F.slice("keys", i + 2, last + 1 - i),
-            lambda k2: F.struct(F.xxhash64(k, k2).bitwiseOR(F.lit(-(1 << 63))).alias("key"), i.cast("int").alias("i")),
-        )
-        crowded = F.concat(F.when(alone, entry(k, i)).otherwise(none), F.when(n <= LONG, second).otherwise(none))
-        return F.when(own <= _class(1), none).when(own <= _class(RARE), entry(k, i)).otherwise(crowded)
-
-    dealt = F.flatten(F.transform(F.slice("keys", F.lit(1), last + 1), entries))
-    more = F.when(n > FEW, F.col("upper")).alias("more")
-    own = ranked.select("doc_id", "pos", "sig", more, n.cast("long").alias("n"), F.explode(dealt).alias("e"))
-    return own.select("e.key", "doc_id", "pos", F.call_function("shiftleft", "n", F.lit(32)).bitwiseOR(F.col("e.i")).alias("n_i"), "sig", "more")
+    counted = ranked.select(
+        "doc_id", "pos", "keys", "sig", "more", n.alias("n"), (n - need).alias("spare"),
+        _upto("keys", _class(1)).alias("own"), _upto("keys", _class(RARE)).alias("rare"),
+    )
+    n, spare, own, rare = (F.col(c) for c in ("n", "spare", "own", "rare"))
+    # A pair of similar lines that share no rare token has two neighbours in common if one of the lines is `sure`.
+    sure = n - 1 >= 2 * spare + 1
+    ends = F.when(sure, F.least(rare, spare + 1)).otherwise(spare + 1)
+    alone = F.slice("keys", own + 1, F.greatest(F.lit(0), ends - own))
+    pairs = F.greatest(F.lit(0), F.least(2 * (spare - rare) + 1, n - rare - 1))
+    twos = F.zip_with(F.slice("keys", rare + 1, pairs), F.slice("keys", rare + 2, pairs), lambda k, k2: F.xxhash64(k, k2).bitwiseOR(F.lit(-(1 << 63))))
+    dealt = counted.select("doc_id", "pos", "sig", "more", "n", "own", F.posexplode(F.concat(alone, twos)).alias("at", "key"))
+    # neighbours say nothing of the place of the first shared token
+    place = F.when(F.col("key") >= 0, F.col("own") + F.col("at")).otherwise(0).cast("long")
+    return dealt.select("key", "doc_id", "pos", F.call_function("shiftleft", n.cast("long"), F.lit(32)).bitwiseOR(place).alias("n_i"), "sig", "more")
 
 
-def _class_of(key: Column) -> Column:
-    """Of a key that is one token; that of two tokens is negative."""
-    return F.shiftright(key, _TOKEN_BITS)
+def _upto(keys: str, most: int) -> Column:
+    """How many of a line's keys are of class `most` or a rarer one."""
+    return F.size(F.filter(keys, lambda k: k < ((most + 1) << _TOKEN_BITS)))
 
 
 def _may_match(a, b, percent: int) -> Column:
@@ -259,39 +266,36 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int, by_word: bool, fo
     return out
 
 
-def _joined(a: DataFrame, b: DataFrame, how: str, percent: int, *more: Column, later: str = "a") -> DataFrame:
-    """Rows of a and rows of b that share a key and pass the filters, those of `later` being the later lines."""
+def _joined(a: DataFrame, b: DataFrame, how: str, percent: int, *more: Column, later: str | None = "a") -> DataFrame:
+    """Rows of a and rows of b that share a key and pass the filters, those of `later` being the later lines, or of either order."""
     a, b = a.alias("a"), b.alias("b")
-    e = "b" if later == "a" else "a"
-    both = (F.col(f"{e}.doc_id") < F.col(f"{later}.doc_id")) | ((F.col(f"{e}.doc_id") == F.col(f"{later}.doc_id")) & (F.col(f"{e}.pos") < F.col(f"{later}.pos")))
+    if later is None:
+        both = (F.col("a.doc_id") != F.col("b.doc_id")) | (F.col("a.pos") != F.col("b.pos"))
+    else:
+        e = "b" if later == "a" else "a"
+        both = (F.col(f"{e}.doc_id") < F.col(f"{later}.doc_id")) | ((F.col(f"{e}.doc_id") == F.col(f"{later}.doc_id")) & (F.col(f"{e}.pos") < F.col(f"{later}.pos")))
     for x in (_may_match(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"), percent), *more):
         both &= x
     return a.join(b, (F.col("a.key") == F.col("b.key")) & both, how)
 
 
-def _sharing(rows: DataFrame, others: DataFrame, name: str) -> DataFrame:
-    """Rows whose key is one of `others`, and a few more."""
-    return kept(rows.filter(may_hold(kept(sketch(others, "key"), f"{name}-sketch"), "key")), name)
-
-
-def _verified_in_groups(docs: DataFrame, undecided: DataFrame, own: DataFrame, percent: int, by_word: bool, folded: bool) -> DataFrame:
+def _verified_in_groups(docs: DataFrame, undecided: DataFrame, linked: DataFrame, percent: int, by_word: bool, folded: bool) -> DataFrame:
     """(doc_id, pos, h) of undecided lines that reach the threshold with an earlier line of their key other than its pivot.
 
     Semi joins leave the rows on either side that pass the filters with any of the other. These carry their tokens and the
     last join verifies, so that a line gives a row at most for each of its keys, however large their groups. A line of over
     CARRIED tokens has too many keys for that; such lines, few, are paired.
     """
-    same = _sharing(own, undecided, "same-keys")
     fresh = F.struct("b.doc_id", "b.pos") != F.col("a.pivot")
-    rest = kept(_joined(undecided, same, "left_semi", percent, fresh), "rest")
-    mates = kept(_joined(_sharing(same, rest, "rest-keys"), rest, "left_semi", percent, later="b"), "mates")
+    rest = kept(_joined(undecided, linked, "left_semi", percent, fresh), "rest")
+    mates = kept(_joined(linked, rest, "left_semi", percent, later="b"), "mates")
     n = F.shiftright("n_i", 32)
     short, others = rest.filter(n <= CARRIED), mates.filter(percent * n <= 100 * CARRIED)
     tokens = _tokens(docs, short.select("doc_id", "pos").unionByName(others.select("doc_id", "pos")), by_word, folded)
     a, b = (x.join(tokens, ["doc_id", "pos"]) for x in (short, others))
     similar = _similar(F.col("a.tokens"), F.col("b.tokens"), percent)
     out = kept(_joined(a, b, "left_semi", percent, similar).select("doc_id", "pos", "h").distinct(), "verified")
-    discard(same, tokens)
+    discard(tokens)
     long = rest.filter(n > CARRIED)
     if not long.isEmpty():
         pairs = _joined(long, mates, "inner", percent).select("a.doc_id", "a.pos", F.col("b.doc_id").alias("e_doc"), F.col("b.pos").alias("e_pos"))
@@ -304,10 +308,11 @@ def _near(docs: DataFrame, lines: DataFrame, repeated: DataFrame, percent: int,
     """(doc_id, pos, h) of lines that are no copies and have an earlier similar line."""
     prefixes = kept(_prefixes(lines, repeated, percent), "prefixes")
     discard(lines)
-    open_ = kept(_joined(prefixes, prefixes, "left_semi", percent), "open-prefixes")
-    own = _sharing(prefixes, open_, "own-prefixes")
+    # both lines of a pair, so that all that follows reads these rows only
+    linked = kept(_joined(prefixes, prefixes, "left_semi", percent, later=None), "linked-prefixes")
     discard(prefixes)
-    pivots = own.groupBy("key").agg(F.min(F.struct("doc_id", "pos", "n_i", "sig", "more")).alias("pivot"))
+    open_ = kept(_joined(linked, linked, "left_semi", percent), "open-prefixes")
+    pivots = linked.groupBy("key").agg(F.min(F.struct("doc_id", "pos", "n_i", "sig", "more")).alias("pivot"))
     held = kept(open_.join(pivots, "key"), "held")
     discard(open_)
     e_doc, e_pos = F.col("pivot.doc_id"), F.col("pivot.pos")
@@ -315,8 +320,8 @@ def _near(docs: DataFrame, lines: DataFrame, repeated: DataFrame, percent: int,
     first = _verified(docs, by_pivot, percent, by_word, folded)
     undecided = held.withColumn("pivot", F.struct(e_doc.alias("doc_id"), e_pos.alias("pos"))).join(first, ["doc_id", "pos"], "left_anti")
     undecided = kept(undecided, "undecided")
-    out = first if undecided.isEmpty() else first.unionByName(_verified_in_groups(docs, undecided, own, percent, by_word, folded))
-    discard(own, held, undecided)
+    out = first if undecided.isEmpty() else first.unionByName(_verified_in_groups(docs, undecided, linked, percent, by_word, folded))
+    discard(linked, held, undecided)
     return out
 
 

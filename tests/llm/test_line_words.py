@@ -166,3 +166,52 @@ def test_a_group_whose_first_line_decides_little_makes_few_rows(spark, monkeypat
     got = {(r["doc_id"], i) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() for i in r["_removed"]}
     assert got == brute(rows, 80) and len(got) > 400
     assert carried == 10 or seen["pairs"] + seen["rest"] + seen["mates"] < 40 * len(rows)
+
+
+@pytest.mark.parametrize("percent", [50, 60, 75, 80])
+def test_neighbours_of_crowded_words_lose_no_link(spark, monkeypatch, percent):
+    """Lines of one to fourteen words of which none is rare, and of one word only."""
+    rnd, texts = random.Random(percent), []
+    for _ in range(110):
+        own = rnd.sample([f"w{i}" for i in range(60)], rnd.randint(1, 14))
+        near = [w for w in own if rnd.random() < 0.9] or own
+        texts += [" ".join(own), " ".join([*near, *rnd.sample([f"w{i}" for i in range(60)], rnd.randint(0, 2))])]
+    rnd.shuffle(texts)
+    rows = list(enumerate(texts))
+    monkeypatch.setattr(lines, "RARE", 1)
+    got = {(r["doc_id"], i) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect() for i in r["_removed"]}
+    assert got == brute(rows, percent) and 20 < len(got) < 200
+
+
+def _rows_by_label(monkeypatch):
+    """How many rows `kept` wrote, label by label, in order."""
+    seen, own = [], lines.kept
+
+    def counted(df, label):
+        out = own(df, label)
+        seen.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(lines, "kept", counted)
+    return seen
+
+
+def test_keys_of_crowded_words_grow_with_the_line_not_its_square(spark, monkeypatch):
+    rnd = random.Random(8)
+    rows = [(d, " ".join(rnd.sample([f"v{i}" for i in range(300)], 50))) for d in range(120)]
+    rows.append((120, rows[3][1].replace(" ", " own ", 1)))
+    monkeypatch.setattr(lines, "RARE", 1)
+    seen = _rows_by_label(monkeypatch)
+    got = {r["doc_id"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["_removed"]}
+    assert got == {120} and 0 < dict(seen)["prefixes"] <= 21 * len(rows)
+
+
+def test_lines_that_only_share_a_word_with_a_candidate_go_no_further(spark, monkeypatch):
+    rnd = random.Random(5)
+    base, common = [f"b{i}" for i in range(30)], [f"c{i}" for i in range(60)]
+    rows = [(0, " ".join(base)), (1, " ".join([*base[:29], "own"]))]
+    rows += [(d, " ".join([*rnd.sample(base, 3), *rnd.sample(common, 27)])) for d in range(2, 302)]
+    seen = _rows_by_label(monkeypatch)
+    got = {r["doc_id"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["_removed"]}
+    after = [n for _, n in seen[[label for label, _ in seen].index("prefixes") + 1 :]]
+    assert got == {1} and max(after) < 100
